@@ -7,18 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .quality_rules import quality_filter
+from .secrets import scan_secrets, secret_digest
+from .url_filter import filter_urls
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(documents(spark, sf_dir)))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_filter(documents(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_quality_rules": op2_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_url_filter": op6_url_filter,
     "op9_mixing": op9_mixing,
 }
 
