@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, labels
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .pii import scan_pii
+from .quality_model import classify_quality
 from .quality_rules import quality_filter
 from .secrets import scan_secrets, secret_digest
+from .toxicity import classify_toxicity
 from .url_filter import filter_urls
 
 
@@ -20,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -28,6 +35,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -35,8 +50,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
 }
 
