@@ -1,0 +1,29 @@
+"""Connected components by repeated minimum labels and pointer jumping, as joins and aggregations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import persist_shared
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component: the least node of its component, for every node of the edges (a, b).
+
+    Each round takes the least label among a node and its neighbours, then the label's own label, so long chains
+    shorten by half; it ends when no label changes. Edges without a node are left out.
+    """
+    edges = edges.select("a", "b").where("a is not null and b is not null")
+    both = persist_shared(edges.union(edges.select("b", "a")).distinct(), "component-edges")
+    labels = persist_shared(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "component-labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        least = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("least"))
+        least = persist_shared(least, "component-least")
+        jump = least.select(F.col("node").alias("least"), F.col("least").alias("next"))
+        moved = least.join(jump, "least", "left").select("node", "component", F.coalesce("next", "least").alias("now"))
+        moved = persist_shared(moved, "component-moved")
+        labels = moved.select("node", F.col("now").alias("component"))
+        if moved.where("now <> component").isEmpty():
+            return labels

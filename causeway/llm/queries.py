@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, labels
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_classes
 from .mixing import mix
+from .packing import pack
 from .pii import scan_pii
 from .quality_model import classify_quality
 from .quality_rules import quality_filter
@@ -31,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -47,15 +53,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {
