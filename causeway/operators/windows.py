@@ -47,13 +47,13 @@ def trailing_days(agg: Column, keys: Sequence[str], day: str, days: int) -> Colu
     return agg.over(Window.partitionBy(*keys).orderBy(day).rangeBetween(-days, -1))
 
 
-def rows_since(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str], name: str, never: int = 999) -> DataFrame:
-    """Rows since the last earlier row with the flag: 0 right after it, ``never`` before the first."""
+def rows_since(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str], name: str, never: int | None = 999) -> DataFrame:
+    """Rows since the last earlier row with the flag: 0 right after it, ``never`` before the first (None: counted on)."""
     w = ordered(keys, *order)
     epoch = F.coalesce(F.sum(F.col(flag).cast("int")).over(w.rowsBetween(*BEFORE)), F.lit(0))
     out = df.withColumn("_epoch", epoch)
     nth = F.row_number().over(ordered([*keys, "_epoch"], *order)) - 1
-    return out.withColumn(name, F.when(F.col("_epoch") == 0, F.lit(never)).otherwise(nth)).drop("_epoch")
+    return out.withColumn(name, nth if never is None else F.when(F.col("_epoch") == 0, F.lit(never)).otherwise(nth)).drop("_epoch")
 
 
 def runs(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -64,13 +64,8 @@ def runs(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def consecutive_prior(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Length of the unbroken run of unflagged rows right before this one."""
-    w = ordered(keys, *order)
-    epoch = F.coalesce(F.sum(F.col(flag).cast("int")).over(w.rowsBetween(*BEFORE)), F.lit(0))
-    out = df.withColumn("_epoch", epoch)
-    nth = F.row_number().over(ordered([*keys, "_epoch"], *order)) - 1
-    # Within an epoch the flagged row that opened it comes first, but for the epoch before any flag.
-    return out.withColumn(name, nth).drop("_epoch")
+    """Length of the unbroken run of unflagged rows right before this one: the rows since the last flag."""
+    return rows_since(df, flag, keys, order, name, None)
 
 
 def last_before(col: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
