@@ -8,6 +8,7 @@ from .common import documents, labels
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_classes
 from .mixing import mix
+from .oracles import QUALITY_SQL, secret_sql
 from .packing import pack
 from .pii import scan_pii
 from .quality_model import classify_quality
@@ -71,6 +72,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_secret_scan": secret_sql(),
+    "op2_quality_rules": QUALITY_SQL,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
