@@ -95,7 +95,8 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     groups = named.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "row_id")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
-    return named.join(groups, ["n_blocks", "name"]).select(
+    # Written first: both sides of the join are then plain shuffles, which Spark can split where a group is large.
+    return named.join(persist_shared(groups, "naming-groups"), ["n_blocks", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
