@@ -44,7 +44,7 @@ class Entity:
         if kind == "csv":
             df = read_csv(self.spark, path, self.schemas.get(version))
         elif kind == "json":
-            df = reader.option("multiLine", "true").json(path)
+            df = reader.json(path)
         else:
             df = reader.parquet(path)
         return df.select(*columns) if columns else df
@@ -87,6 +87,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", "true").csv(path)
 
 
+def read_json_dict(spark: SparkSession, path: str) -> DataFrame:
+    """One row: a JSON document over many lines, its keys as columns."""
+    return spark.read.option("multiLine", "true").json(path)
+
+
 @dataclass
 class Accessor:
     """Ways to take a part of a table that has a key and a date."""
