@@ -20,7 +20,7 @@ WORD_RE = re.compile(r"\w+")
 #: Words and n-grams of fewer texts aren't learned.
 FEWEST_TEXTS = 4
 #: The most words whose inputs a worker keeps; beyond it the store is started afresh.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -78,6 +78,10 @@ class Network:
             }
         )
 
+    def forget(self) -> None:
+        """Empty the store of inputs, which isn't to be sent to tasks."""
+        self._known, self._inputs = {}, None
+
     def embed(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         grams, begin = char_grams(words)
         count = np.diff(np.append(begin, len(grams)))
@@ -247,9 +251,8 @@ class Adam:
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 96, steps: int = 300, rate: float = 0.02, seed: int = 7) -> Network:
     """Multiple-instance training: of a positive text the window that scores highest now counts as positive (at
-    first a random one), of a negative text its highest and a random window count as negative. A fifth of the
-    texts is held back and calibrates the texts' scores, if the sample has a hundred of each label; a smaller one is
-    learned from whole and left uncalibrated. Small samples are gone through more often: ``steps`` updates at least.
+    first a random one), of a negative text its highest and a random window count as negative. Small samples
+    are gone through more often: ``steps`` updates at least. Scores are uncalibrated; see ``platt``.
     """
     net, r = Network.fresh(seed), np.random.default_rng(seed)
     if not len(texts) or labels.sum() in (0, len(labels)):
@@ -260,8 +263,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 96,
     place = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws} | {"\x02"}))}
     vocabulary = list(place)
     wins = [windows_of(np.array([place[w] for w in ws], dtype=np.int64)) for ws in words]
-    calibrated = min(labels.sum(), len(labels) - labels.sum()) >= 100
-    fit_on = [i for i in range(len(texts)) if i % 5 != 4 or not calibrated]
+    fit_on = list(range(len(texts)))
     # Words and n-grams of a few texts would be learned by heart: their embeddings stay zero. The rest give each word
     # a log odds of standing in positive texts, by which positive windows are chosen until the network can choose.
     # The log odds also start the first place of both embeddings.
@@ -302,9 +304,6 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 96,
             for k in ("wx", "u", "w"):
                 grads[k] = grads[k] + 1e-4 * net.p[k]
             adam.step(grads, {"word": (wb, dw), "char": (cb, dc * taught[cb][:, None])})
-    if calibrated:
-        held = [i for i in range(len(texts)) if i % 5 == 4]
-        _platt(net, net.text_logits([texts[i] for i in held]), labels[held])
     return net
 
 
@@ -339,7 +338,8 @@ def _best_windows(net: Network, vocabulary: list[str], wins: list[np.ndarray], r
     return {i: int(logits[e - n : e].argmax()) for i, n, e in zip(rows, sizes, ends)}
 
 
-def _platt(net: Network, z: np.ndarray, y: np.ndarray, rounds: int = 60) -> None:
+def platt(net: Network, z: np.ndarray, y: np.ndarray, rounds: int = 60) -> None:
+    """Set the network's scale and shift so that scores of these logits are probabilities."""
     if not 0 < y.sum() < len(y):
         return
     z, target = z.astype(np.float64), np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))

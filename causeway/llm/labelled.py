@@ -11,17 +11,18 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, per_class: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, per_class: int | tuple[int, int], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """text and label of at most ``per_class`` rows of each label, in the order of a hash of the id.
 
-    ``allowed`` is a condition on ``_id``. Rows without id, label or text are left out, as are labels but 0 and 1.
+    ``per_class`` may be a pair, for labels 0 and 1. ``allowed`` is a condition on ``_id``. Rows without id, label or text are left out, as are labels but 0 and 1.
     """
     chosen = None
     for label in (0, 1):
         rows = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("label"))
         rows = rows.where(F.col("_id").isNotNull() & (F.col("label") == label) & allowed).distinct()
-        rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        most = per_class if isinstance(per_class, int) else per_class[label]
+        rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(most)
         chosen = rows if chosen is None else chosen.union(rows)
-    # At most 2 * per_class ids: bounded by the parameter.
+    # As many ids as the parameter allows.
     texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("text")).where("text is not null")
     return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label")

@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gru import Network, fit
+from .gru import Network, fit, platt
 from .labelled import fold, labelled_sample
 
 #: Bounds of what is learned from: labelled rows of each class, and characters of a text.
 ROWS_PER_CLASS, MOST_CHARS = 900, 20_000
+#: Further labelled rows, clean and toxic, that calibrate the scores; near the proportions of the corpus.
+CALIBRATION_ROWS = (4000, 500)
+#: With fewer labelled rows of a label apart, all are trained on and scores stay uncalibrated.
+LEAST_CALIBRATION = 20
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -25,11 +29,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     short = docs.where(F.length(docs[text_col].cast("string")) <= MOST_CHARS)
     ids = short.select(short[id_col].cast("long").alias("_short"))
     named = labels.join(ids, labels[id_col].cast("long") == ids["_short"], "left_semi")
-    sample = labelled_sample(short, named, "toxic", fold(F.col("_id"), FOLDS) != HELD_OUT, rows_per_class, text_col, id_col)
+    allowed, apart = fold(F.col("_id"), FOLDS) != HELD_OUT, F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(5)) == 0
+    rare = named.select(named[id_col].cast("long").alias("_id"), "toxic").where(allowed & apart).groupBy("toxic").count().where("toxic in (0, 1)").collect()
+    calibrated = len(rare) == 2 and min(r["count"] for r in rare) >= LEAST_CALIBRATION
+    sample = labelled_sample(short, named, "toxic", allowed & ~apart if calibrated else allowed, rows_per_class, text_col, id_col)
     rows = sorted(sample.collect())
-    rng = np.random.default_rng(1)
-    rows = [rows[i] for i in rng.permutation(len(rows))]
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.float64))
+    rows = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]
+    model = fit([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.float64))
+    return _calibrate(model, labelled_sample(docs, labels, "toxic", allowed & apart, CALIBRATION_ROWS, text_col, id_col)) if calibrated else model
+
+
+def _calibrate(model: Network, sample: DataFrame) -> Network:
+    """Calibrate on rows that weren't trained on, scored where they are."""
+    model.forget()
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = np.concatenate([model.text_logits(b.column("text")[at : at + 256].to_pylist()) for at in range(0, max(b.num_rows, 1), 256)])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("label"), pa.array(z.astype(np.float64))], ["_id", "label", "logit"])
+
+    rows = sorted(sample.mapInArrow(logits, "_id long, label int, logit double").collect())
+    platt(model, np.array([r["logit"] for r in rows]), np.array([r["label"] for r in rows], dtype=np.float64))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -38,7 +59,7 @@ def score_toxicity(docs: DataFrame, model: Network, text_col: str = "text", id_c
     A text's score is that of its most toxic window. Null texts count as empty, and a text without words is scored
     as one window of padding; repeated rows are scored alike; extra columns are ignored.
     """
-    model._known, model._inputs = {}, None  # not to be sent along
+    model.forget()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,7 +80,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFram
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns, in one pass over the texts."""
     model = fit_toxicity(docs, labels, text_col, id_col)
-    model._known, model._inputs = {}, None
+    model.forget()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
