@@ -10,9 +10,13 @@ from ..functions.text import grams, tokens
 
 
 def term_counts(df: DataFrame, key: str, text: Column, pairs: bool = True) -> DataFrame:
-    """key, term, tf."""
-    words = tokens(text)
-    return df.select(key, F.explode(grams(words) if pairs else words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """key, term, tf.
+
+    Texts are dealt by key before they are taken apart, so that counting needs no shuffle of the many terms.
+    """
+    texts = df.select(key, text.alias("_text")).repartition(key)
+    words = tokens(F.col("_text"))
+    return texts.select(key, F.explode(grams(words) if pairs else words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def normalized(weights: DataFrame, key: str) -> DataFrame:

@@ -76,9 +76,9 @@ def a08(spark, d):
     return A.value_counts(table(spark, d, "documents"), "source", 10)
 
 
-@query("A09_quantiles_linear", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q0, quantile_cont(l_extendedprice, 0.5) AS q1, quantile_cont(l_extendedprice, 0.9) AS q2 FROM lineitem GROUP BY 1")
+@query("A09_quantiles_linear", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q0, round(quantile_cont(l_extendedprice, 0.5), 6) AS q1, round(quantile_cont(l_extendedprice, 0.9), 6) AS q2 FROM lineitem GROUP BY 1")
 def a09(spark, d):
-    return B.quantile_cuts(_lines(spark, d), "l_extendedprice", [0.25, 0.5, 0.9], ["l_returnflag"])
+    return B.quantile_cuts(_lines(spark, d), "l_extendedprice", [0.25, 0.5, 0.9], ["l_returnflag"]).withColumns({f"q{i}": F.round(f"q{i}", 6) for i in range(3)})
 
 
 @query("A09_quantiles_nearest", """WITH r AS (SELECT l_returnflag, l_extendedprice AS value, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_returnflag) AS n

@@ -69,9 +69,9 @@ def x07(spark, d):
     return table(spark, d, "events").select("event_id", F.round(F.log1p(v), 6).alias("l1"), F.round(F.log10(v + 1), 6).alias("l10"), F.round(1 / (1 + F.exp(-v / 100)), 6).alias("s"), F.greatest(F.lit(0.0), F.least(F.lit(50.0), v)).alias("clipped"))
 
 
-@query("X08_ratios", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <> 0 THEN round(l_extendedprice / l_quantity, 6) END AS unit_price, CASE WHEN l_discount <> 0 THEN round(l_tax / l_discount, 6) END AS r FROM lineitem")
+@query("X08_ratios", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS unit_price, CASE WHEN l_discount <> 0 THEN l_tax / l_discount END AS r FROM lineitem")
 def x08(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.try_divide("l_extendedprice", "l_quantity"), 6).alias("unit_price"), F.round(F.try_divide("l_tax", "l_discount"), 6).alias("r"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"), F.try_divide("l_tax", "l_discount").alias("r"))
 
 
 @query("X09_lists", "SELECT vec_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings")
