@@ -35,4 +35,6 @@ def asof_backward(
         timed = dict(left.dtypes)[left_on].startswith(("timestamp", "date"))
         gap = micros(F.col("_time")) - micros(F.col("_hit._at")) if timed else F.col("_time") - F.col("_hit._at")
         hit = hit.withColumn("_hit", F.when(gap <= tolerance, F.col("_hit")))
-    return hit.select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in take])
+    # The keys come from the window's own partitioning columns, so that later windows by key need no new shuffle.
+    kept = [F.col(c) if c in by else F.col(f"_left.{c}").alias(c) for c in left.columns]
+    return hit.select(*kept, *[F.col(f"_hit.{c}").alias(c) for c in take])
