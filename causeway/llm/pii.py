@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,13 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = (*BASE, "address", "number", "account")
+#: The same in forms that stay linear on very long runs of word characters or digits.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_IP = re.compile("(?<![0-9])" + BASE["ip"].pattern)
 #: Generators of proposals.
 PROPOSE = {
-    "address": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+"),
+    "address": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+"),
     "number": re.compile(r"\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,18}"),
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
@@ -60,13 +66,28 @@ def _passes(kind: str, match: str) -> bool:
     return True
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """The matches of the email pattern, from each @ outward: its local part is what stands before it."""
+    out, end = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            end = m.end()
+            out.append((start, end))
+        at = text.find("@", max(end, at + 1))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end), sorted."""
-    out = []
+    out = [(a, 0, b) for a, b in _emails(text)]
     for n, (kind, pattern) in enumerate(BASE.items()):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(m.start(), n, m.end()) for m in pattern.finditer(text) if _passes(kind, m[0])]
+        if kind != "email" and (kind != "phone" or "+" in text):
+            out += [(m.start(), n, m.end()) for m in (_IP if kind == "ip" else pattern).finditer(text) if _passes(kind, m[0])]
     return sorted(out)
 
 
@@ -145,19 +166,20 @@ def find_pii(texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]],
         quick = re.search("[0-9@]|[\\[(] ?at", t) is not None
         base = base_spans(t) if quick else []
         offer = proposals(t) if quick else []
-        covered = np.array([b[:1] + b[2:] for b in base], dtype=np.int64).reshape(-1, 2)
-        offer = [o for o in offer if not ((covered[:, 0] < o[2]) & (covered[:, 1] > o[0])).any()]
+        starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+        offer = [o for o in offer if not (at := bisect_left(starts, o[2])) or reach[at - 1] <= o[0]]
         bases.append(base)
         offers.append(offer)
         features += [describe(t, o) for o in offer]
     p = iter(model.predict(np.array(features, dtype=np.float64)) if features else ())
     out = []
     for base, offer in zip(bases, offers):
-        taken: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int, int]] = []  # sorted and apart, so only the neighbours can overlap
         for score, o in sorted(((next(p), o) for o in offer), key=lambda x: (-x[0], x[1])):
-            if score >= limits[o[1]] and all(o[2] <= a or o[0] >= b for a, _, b in taken):
-                taken.append(o)
-        out.append((base, sorted(taken)))
+            at = bisect_left(taken, o)
+            if score >= limits[o[1]] and (at == 0 or taken[at - 1][2] <= o[0]) and (at == len(taken) or taken[at][0] >= o[2]):
+                taken.insert(at, o)
+        out.append((base, taken))
     return out
 
 

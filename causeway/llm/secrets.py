@@ -43,7 +43,7 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}"),
-    Rule("url_password", r"[a-z][a-z0-9+]*://[A-Za-z0-9._%-]+:[^\x20\x09-\x0D/@:]{6,}@[A-Za-z0-9.-]+"),
+    Rule("url_password", r"[a-z][a-z0-9+]{0,20}://[A-Za-z0-9._%-]+:[^\x20\x09-\x0D/@:]{6,}@[A-Za-z0-9.-]+"),
 )
 
 

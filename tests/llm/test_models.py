@@ -23,6 +23,23 @@ def test_base_pii():
     assert ("card", "4111 1111 1111 1111") in got and not any(k == "ip" and "256" in s for k, s in got)
 
 
+def test_base_spans_are_the_patterns_matches():
+    r = random.Random(12)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "B", "7", "19", "@", ".", "-", "_", "+", "%", " ", "(", ")", "255", "256", "x.y", "@b.c"]) for _ in range(r.randrange(30)))
+        want = sorted((m.start(), n, m.end()) for n, (k, p) in enumerate(pii.BASE.items()) for m in p.finditer(t) if pii._passes(k, m[0]))
+        assert pii.base_spans(t) == want, t
+
+
+def test_very_long_runs_take_linear_time():
+    import time
+
+    for t in ("a" * 400_000 + " 1", "a" * 400_000 + "@", "1" * 400_000, "a@" * 100_000):
+        began = time.perf_counter()
+        pii.find_pii([t])
+        assert time.perf_counter() - began < 5
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
