@@ -35,6 +35,6 @@ QUALITY_SQL = rf"""
       FROM d JOIN l USING (rid) LEFT JOIN r USING (rid)),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
     SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
-      NOT (base_failed OR n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 15 * n_words OR n_dup_lines > 0.3 * n_lines
+      NOT (base_failed OR n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 15 * n_words OR (n_dup_lines > 0.3 * n_lines AND n_dup_lines >= 4)
         OR length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) > 0.4 * length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) OR len(regexp_extract_all(text, '!')) > 0.2 * n_words OR bare > 0.3 * n_words
         OR len(regexp_extract_all(text, '(?m)(\.\.\.|…)[ \t]*$')) > 0.3 * n_lines OR len(regexp_extract_all(text, '(?m)^[ \t]*[•‣*-][ \t]')) > 0.9 * n_lines) AS kept FROM b"""

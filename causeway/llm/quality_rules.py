@@ -96,7 +96,7 @@ def default_rules() -> tuple[Rule, ...]:
     return (
         Rule("symbols", F.col("n_symbols") > 0.1 * F.col("n_words")),
         Rule("word_length", (F.col("word_chars") < 2.5 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
-        Rule("duplicate_lines", F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
+        Rule("duplicate_lines", (F.col("n_dup_lines") > 0.3 * F.col("n_lines")) & (F.col("n_dup_lines") >= 4)),  # not a repeated header or footer
         Rule("shouting", upper > 0.4 * letters),
         Rule("exclamations", F.regexp_count(text, F.lit("!")) > 0.2 * F.col("n_words")),
         Rule("letterless_words", F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")) > 0.3 * F.col("n_words")),
