@@ -268,7 +268,7 @@ def d12(spark, d):
 
 
 @query("D13_rate_sanity", f"""{_TOTALS}, q AS (SELECT quantile_cont(total_sent, [0.2, 0.4, 0.6, 0.8]) AS q FROM tot)
-    SELECT (total_sent > q[1])::INT + (total_sent > q[2])::INT + (total_sent > q[3])::INT + (total_sent > q[4])::INT AS bucket, count(*) AS n, round(median(total_opens / total_sent), 6) AS open_rate, round(median(total_clicks / total_sent), 6) AS click_rate,
+    SELECT (total_sent > q[1])::INT + (total_sent > q[2])::INT + (total_sent > q[3])::INT + (total_sent > q[4])::INT AS bucket, count(*) AS n, round(median(CASE WHEN total_sent > 0 THEN total_opens / total_sent END), 6) AS open_rate, round(median(CASE WHEN total_sent > 0 THEN total_clicks / total_sent END), 6) AS click_rate,
       count(*) FILTER (total_clicks > total_opens) AS clicks_gt_opens, count(*) FILTER (total_actions = 0) AS zero_actions FROM tot, q GROUP BY 1""")
 def d13(spark, d):
     from ..operators.buckets import quantile_bucket
