@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import grams, tokens
+from ..sources.shared import persist_shared
 
 
 def term_counts(df: DataFrame, key: str, text: Column, pairs: bool = True) -> DataFrame:
@@ -77,22 +78,50 @@ def sparse_top_k(queries: DataFrame, query_key: str, docs: DataFrame, key: str,
     return hits.withColumn("place", place).where(F.col("place") <= k)
 
 
-def all_pairs(vectors: DataFrame, key: str, least: float) -> DataFrame:
+#: Rows of a term or class in one block: a cell of a self-join meets two blocks at most.
+BLOCK = 256
+
+
+def _met(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """by, src < dst, product of their weights: pairs of the keys ``k`` with the same ``by``, each once; large groups are dealt out as pairs of bounded blocks."""
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(by, F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
+    placed = rows.join(sizes, by).withColumn("_b", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
+    dealt = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")})
+    a = dealt.where("_b = _x").select(by, "_x", "_y", F.col("k").alias("_k"), F.col("weight").alias("_v"))
+    b = dealt.where("_b = _y").select(by, "_x", "_y", F.col("k").alias("_l"), F.col("weight").alias("_w"))
+    met = a.join(b, [by, "_x", "_y"]).where("_x < _y or _k < _l")
+    return met.select(by, F.least("_k", "_l").alias("src"), F.greatest("_k", "_l").alias("dst"), (F.col("_v") * F.col("_w")).alias("product"))
+
+
+def all_pairs(vectors: DataFrame, key: str, least: float, block: int = BLOCK) -> DataFrame:
     """src < dst, similarity of all pairs of unit vectors with a cosine of at least ``least`` (above 0).
 
-    Prefix filter: with terms from rare to frequent, a pair that reaches the threshold shares a term of both
-    prefixes, behind which each vector's rest is shorter than the threshold. So frequent terms make few candidates.
+    Equal vectors (to twelve decimals) are compared once, by their least key, and come back as pairs of members.
+    Prefix filter: with terms from rare to frequent, each vector's rest behind its prefix is shorter than half the
+    threshold. All that a pair shares outside both prefixes lies in the rest of the one whose prefix ends first, so a
+    pair that reaches the threshold has at least half of it from both prefixes. So frequent terms make few candidates,
+    and nearly only hits are summed over all terms.
     """
-    df = Window.partitionBy("term")
-    ranked = vectors.withColumn("_df", F.count(F.lit(1)).over(df))
-    rest = Window.partitionBy(key).orderBy(F.col("_df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = ranked.withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(rest)).where(F.col("_rest") >= least * least - 1e-9)
-    a, b = prefix.select(F.col(key).alias("src"), "term"), prefix.select(F.col(key).alias("dst"), "term")
-    candidates = a.join(b, "term").where("src < dst").select("src", "dst").distinct()
-    left = vectors.select(F.col(key).alias("src"), "term", F.col("weight").alias("_a"))
-    right = vectors.select(F.col(key).alias("dst"), "term", F.col("weight").alias("_b"))
+    vectors = persist_shared(vectors.select(F.col(key).alias("k"), "term", "weight"), "pair-vectors")
+    whole = F.sort_array(F.collect_list(F.struct("term", F.round("weight", 12).alias("weight"))))
+    named = persist_shared(vectors.groupBy("k").agg(F.sha2(F.to_json(whole), 256).alias("h"), F.sum(F.col("weight") * F.col("weight")).alias("own")), "pair-names")
+    members = persist_shared(named.select("k", "h").join(named.groupBy("h").agg(F.min("k").alias("rep")), "h").select("k", "rep"), "pair-members")
+    single = persist_shared(vectors.join(members.where("k = rep").select("k"), "k", "left_semi"), "pair-single")
+
+    ranked = single.join(single.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "term")
+    rest = Window.partitionBy("k").orderBy(F.col("_df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = ranked.withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(rest)).where(F.col("_rest") >= least * least / 4 - 1e-9)
+    partial = _met(persist_shared(prefix.select("k", "term", "weight"), "pair-prefix"), "term", block).groupBy("src", "dst").agg(F.sum("product").alias("partial"))
+    candidates = partial.where(F.col("partial") >= least / 2 - 1e-6).select("src", "dst")
+    left = single.select(F.col("k").alias("src"), "term", F.col("weight").alias("_a"))
+    right = single.select(F.col("k").alias("dst"), "term", F.col("weight").alias("_b"))
     dots = candidates.join(left, "src").join(right, ["dst", "term"]).groupBy("src", "dst").agg(F.sum(F.col("_a") * F.col("_b")).alias("similarity"))
-    return dots.where(F.col("similarity") >= least)
+    found = dots.where(F.col("similarity") >= least)
+
+    l, r = (members.select(F.col("rep").alias(c), F.col("k").alias(n)) for c, n in (("src", "_k"), ("dst", "_l")))
+    across = found.join(l, "src").join(r, "dst").select(F.least("_k", "_l").alias("src"), F.greatest("_k", "_l").alias("dst"), "similarity")
+    alike = _met(members.withColumn("weight", F.lit(1.0)), "rep", block).join(named.where(F.col("own") >= least).select(F.col("k").alias("rep"), F.col("own").alias("similarity")), "rep")
+    return across.unionByName(alike.select("src", "dst", "similarity"))
 
 
 def fuse(layers: list[tuple[DataFrame, float]], key: str, k: int) -> DataFrame:

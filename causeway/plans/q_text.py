@@ -215,6 +215,13 @@ def v10(spark, d):
     return S.all_pairs(S.tfidf(_docs(spark, d), "doc_id", F.col("text"), 2, 0.1), "doc_id", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("V10_all_pairs_whole", f"""WITH {tfidf_sql('documents', 'doc_id', 'text', 2, 0.5)} SELECT a.doc_id AS src, b.doc_id AS dst, round(sum(a.weight * b.weight), 6) AS similarity
+    FROM vec a JOIN vec b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.5""")
+def v10_whole(spark, d):
+    """V10 over the vocabulary of the other vector queries: terms of up to half of all documents."""
+    return S.all_pairs(S.tfidf(_docs(spark, d), "doc_id", F.col("text"), 2, 0.5), "doc_id", 0.5).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("V11_attribute_edges", """WITH e AS (SELECT DISTINCT p_partkey, 'types' AS attribute_type, unnest(string_split(p_type, ' ')) AS value FROM part UNION SELECT p_partkey, 'names', unnest(string_split(p_name, ' ')) FROM part),
     f AS (SELECT attribute_type, value FROM e WHERE trim(value) <> '' GROUP BY ALL HAVING count(*) BETWEEN 2 AND 500) SELECT p_partkey, attribute_type, value FROM e JOIN f USING (attribute_type, value)""")
 def v11(spark, d):

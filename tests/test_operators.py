@@ -147,6 +147,29 @@ def test_all_pairs_prefix_filter_loses_nothing(spark):
     assert {(x["src"], x["dst"]) for x in S.all_pairs(v, "d", 0.6).collect()} == want
 
 
+def test_all_pairs_of_equal_vectors_in_small_blocks(spark):
+    r = random.Random(4)
+    kinds = [[(f"t{t}", r.random()) for t in r.sample(range(8), 3)] for _ in range(6)]
+    vec = [(d, t, w) for d in range(60) for t, w in kinds[d % 6 if d > 20 else 0]]
+    v = S.normalized(spark.createDataFrame(vec, "d long, term string, weight double"), "d")
+    by = {}
+    for x in v.collect():
+        by.setdefault(x["d"], {})[x["term"]] = x["weight"]
+    want = {(a, b): sum(w * by[b].get(t, 0) for t, w in by[a].items()) for a in by for b in by if a < b}
+    got = [(x["src"], x["dst"], round(x["similarity"], 9)) for x in S.all_pairs(v, "d", 0.5, 4).collect()]
+    assert sorted(got) == sorted((*k, round(s, 9)) for k, s in want.items() if s >= 0.5)
+
+
+def test_near_copies_of_many_rows_keep_their_pairs(spark, tmp_path):
+    """Copies that hold more than a tenth of all rows lie beyond a vocabulary of rarer terms only."""
+    from causeway.plans.all_queries import QUERIES
+
+    rows = [(i, f"shared words of one large group stray{i % 3}") for i in range(12)] + [(i, f"other{i} text{i % 9} line{i % 7}") for i in range(12, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x["src"], x["dst"]) for x in QUERIES["V10_all_pairs_whole"](spark, str(tmp_path)).collect()}
+    assert {(a, b) for a in range(12) for b in range(a + 1, 12)} <= got
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 40)], "a long, b long")
     got = {r["node"]: r["component"] for r in G.connected_components(edges, "a", "b").collect()}
