@@ -43,12 +43,15 @@ def modularity(edges: DataFrame, a: str, b: str, labels: DataFrame, node: str, l
         (F.col("inside") / F.col("m") - F.col("sq") / (m2 * m2)).alias("modularity"))
 
 
-def attribute_edges(df: DataFrame, key: str, lists: Sequence[str], least: int = 2, most: int = 5000) -> DataFrame:
-    """key, attribute_type, value for each list column's values that between least and most keys have."""
+def attribute_edges(df: DataFrame, key: str, lists: Sequence[str], least: int = 2, most: int | None = 5000) -> DataFrame:
+    """key, attribute_type, value for each list column's values that between least and most (None: any number of) keys have."""
     parts = [df.select(key, F.lit(c).alias("attribute_type"), F.explode(c).alias("value")) for c in lists]
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
     edges = edges.where(F.trim("value") != "").distinct()
-    often = edges.groupBy("attribute_type", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most))
+    if least <= 1 and most is None:
+        return edges
+    n = F.col("n")
+    often = edges.groupBy("attribute_type", "value").agg(F.count(F.lit(1)).alias("n")).where(n >= least if most is None else n.between(least, most))
     return edges.join(often, ["attribute_type", "value"], "left_semi")

@@ -344,4 +344,4 @@ def d14(spark, d):
     from ..operators.joins import co_occurrence
 
     p = table(spark, d, "part").select("p_partkey", F.split("p_type", " ").alias("types"), F.split("p_name", " ").alias("names"))
-    return co_occurrence(G.attribute_edges(p, "p_partkey", ["types", "names"], 1, 1_000_000), "p_partkey", ["attribute_type", "value"], 1, 2)
+    return co_occurrence(G.attribute_edges(p, "p_partkey", ["types", "names"], 1, None), "p_partkey", ["attribute_type", "value"], 1, 2)

@@ -170,6 +170,15 @@ def test_near_copies_of_many_rows_keep_their_pairs(spark, tmp_path):
     assert {(a, b) for a in range(12) for b in range(a + 1, 12)} <= got
 
 
+def test_related_by_values_of_more_than_a_million_parts(spark, tmp_path):
+    from causeway.plans.all_queries import QUERIES
+
+    parts = spark.range(1, 1_000_003).select(F.col("id").alias("p_partkey"), F.lit("HOT PLATED").alias("p_type"), F.concat(F.lit("n"), F.col("id")).alias("p_name"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["D14_related_by_attribute"](spark, str(tmp_path)).agg(F.count(F.lit(1)).alias("n"), F.min("shared").alias("low"), F.max("shared").alias("high")).first()
+    assert tuple(got) == (1_000_001, 2, 2)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 40)], "a long, b long")
     got = {r["node"]: r["component"] for r in G.connected_components(edges, "a", "b").collect()}
