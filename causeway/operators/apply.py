@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .ranking import with_row_number
 
 
 def group_apply(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -14,6 +17,26 @@ def group_apply(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame],
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
+#: Rows of one task's group where a long history is cut into blocks.
+BLOCK_ROWS = 2048
+
+
+def block_apply(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The function over blocks of at most ``block_rows`` rows of a group, as they lie in the order, which must be total.
+
+    The frame has ``_before``, the number of the group's rows in earlier blocks; so no group need fit in memory.
+    """
+    placed, _ = with_row_number(df, [*keys, *order], "_n")
+    placed = placed.withColumn("_block", F.floor((F.col("_n") - 1) / block_rows)).drop("_n")
+    sizes = placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same &= placed[k].eqNullSafe(starts[f"_k{i}"])
+    return placed.join(starts, same).select(*placed.columns, "_before").groupBy(*keys, "_block").applyInPandas(fn, schema)
+
+
 def partition_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """The function over each Arrow batch of each partition."""
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine, norm
+from ..sources.shared import persist_shared
+from .apply import BLOCK_ROWS
+from .ranking import with_row_number
 
 
 def dense_top_k(df: DataFrame, vector: str, query: Sequence[float], k: int, least: float, key: str) -> DataFrame:
@@ -64,36 +67,66 @@ def pairs_within_cells(celled: DataFrame, key: str, vector: str, least: float) -
     return l.join(r, "cell").where("src < dst").select("src", "dst", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def causal_affinity(rows: DataFrame, vectors: DataFrame, user: str, item: str, order: Sequence[str], acted: str, key: str, shrink: float = 0.0) -> DataFrame:
+def causal_affinity(rows: DataFrame, vectors: DataFrame, user: str, item: str, order: Sequence[str], acted: str, key: str, shrink: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """key, n_prior, affinity: cosine of a row's vector with the sum of its user's earlier acted-on vectors.
 
     With ``shrink`` the centroid is pulled toward the mean vector of all items: (sum + shrink * mean) / (n + shrink).
-    0 without earlier actions (unless shrunk) or without a vector. One user's rows are one group: the sums run in
-    numpy over the user's own history.
+    0 without earlier actions (unless shrunk) or without a vector. Rows in the order of users and time are cut into
+    blocks, each a group in numpy; a history that goes on from earlier blocks starts from the running sum of their totals.
     """
-    vec = vectors.select(item, "vector")
+    vec = vectors.select(item, F.col("vector").cast("array<double>").alias("vector"))
     mean = np.zeros(0)
     if shrink:
         rows_mean = vec.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()  # one number for each dimension
         mean = np.array([r["m"] for r in rows_mean])
-    joined = rows.select(key, user, item, *[c for c in order if c not in (key, user, item)], F.col(acted).alias("_acted")).join(vec, item, "left")
+    width = len(mean) or max(vec.agg(F.max(F.size("vector"))).first()[0] or 0, 1)
+
+    thin = rows.select(key, user, item, *[c for c in order if c not in (key, user, item)], F.coalesce(F.col(acted), F.lit(False)).alias("_acted"))
+    numbered, _ = with_row_number(thin, [user, *[c for c in order if c != user], *([] if key in order else [key])], "_n")
+    name = F.coalesce(F.concat(F.lit("u"), F.col(user).cast("string")), F.lit(""))
+    blocks = numbered.withColumns({"_user": name, "_block": F.floor((F.col("_n") - 1) / block_rows)}).join(vec, item, "left")
+    weight = (F.col("_acted") & F.col("vector").isNotNull()).cast("long")
+    joined = persist_shared(blocks.select(key, "_user", "_block", "_n", weight.alias("_count"), "vector"), "affinity-rows")
+
+    def arrays(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[int]]:
+        """The block in order, its vectors (zeros where there is none), and where its users' rows begin and end."""
+        g = g.sort_values("_n", kind="stable")
+        v = np.zeros((len(g), width))
+        for i, x in enumerate(g["vector"]):
+            if x is not None:
+                v[i] = x
+        users = g["_user"].to_numpy()
+        return g, v, [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(g)]
+
+    def tail(g: pd.DataFrame) -> pd.DataFrame:
+        g, v, cuts = arrays(g)
+        n = g["_count"].to_numpy()[cuts[-2] :]
+        return pd.DataFrame({"_user": [g["_user"].iloc[-1]], "_block": [g["_block"].iloc[0]], "_count": [n.sum()], "vector": [v[cuts[-2] :][n > 0].sum(axis=0)]})
+
+    # Only a block's last user can go on in the next one.
+    tails = persist_shared(joined.groupBy("_block").applyInPandas(tail, "_user string, _block long, _count long, vector array<double>"), "affinity-tails")
+    upto = Window.partitionBy("_user", "i").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = tails.select("_user", "_block", "_count", F.posexplode("vector").alias("i", "x")).select("_user", "_block", "i", F.sum("x").over(upto).alias("x"), F.sum("_count").over(upto).alias("n"))
+    states = sums.groupBy("_user", "_block").agg(F.max("n").alias("_count"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+    kind = dict(joined.dtypes)[key]
+    begun = states.select(F.lit(0).cast(kind).alias(key), "_user", (F.col("_block") + 1).alias("_block"), F.lit(0).cast("long").alias("_n"), "_count", F.col("v.x").alias("vector"))
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(list(order), kind="stable")
-        there = g["vector"].map(lambda v: v is not None).to_numpy()
-        width = len(mean) or next((len(v) for v, t in zip(g["vector"], there) if t), 1)
-        v = np.array([np.asarray(x, dtype=np.float64) if t else np.zeros(width) for x, t in zip(g["vector"], there)])
-        act = g["_acted"].to_numpy(dtype=bool) & there
-        total = np.cumsum(v * act[:, None], axis=0) - v * act[:, None]
-        n = np.cumsum(act) - act
+        g, v, cuts = arrays(g)
+        count, start = g["_count"].to_numpy(), g["_n"].to_numpy() == 0
+        w = np.where(start, 1.0, count)[:, None] * v
+        total, n = np.empty_like(v), np.empty(len(g), dtype=np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            total[a:b] = np.cumsum(w[a:b], axis=0) - w[a:b]
+            n[a:b] = np.cumsum(count[a:b]) - count[a:b]
         center = (total + shrink * mean) / (n + shrink)[:, None] if shrink else total
         size = np.linalg.norm(center, axis=1) * np.linalg.norm(v, axis=1)
         cos = np.divide((center * v).sum(axis=1), size, out=np.zeros(len(g)), where=size > 1e-12)
         if not shrink:
             cos[n == 0] = 0.0
-        return pd.DataFrame({key: g[key], "n_prior": n.astype("int64"), "affinity": cos})
+        return pd.DataFrame({key: g[key], "n_prior": n, "affinity": cos})[~start]
 
-    return joined.groupBy(user).applyInPandas(work, f"{key} long, n_prior long, affinity double")
+    return joined.unionByName(begun).groupBy("_block").applyInPandas(work, f"{key} long, n_prior long, affinity double")
 
 
 def embedding_report(df: DataFrame, vector: str, tolerance: float = 1e-4) -> DataFrame:

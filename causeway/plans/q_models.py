@@ -235,13 +235,13 @@ def l01(spark, d):
 
 @query("F02_grouped_apply", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events")
 def f02(spark, d):
-    from ..operators.apply import group_apply
+    from ..operators.apply import block_apply
 
     def number(g):
         g = g.sort_values(["ts", "event_id"])
-        return g.assign(nth=range(1, len(g) + 1))[["event_id", "nth"]]
+        return g.assign(nth=g["_before"] + range(1, len(g) + 1))[["event_id", "nth"]]
 
-    return group_apply(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], number, "event_id long, nth long")
+    return block_apply(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], number, "event_id long, nth long")
 
 
 @query("F03_partition_map", "SELECT doc_id, length(text) AS n FROM documents")

@@ -198,6 +198,42 @@ def test_causal_affinity_uses_earlier_rows_only(spark):
     assert got == {1: (0, 0.0), 2: (1, 0.6), 3: (1, 1.0)}
 
 
+def test_causal_affinity_of_histories_over_several_blocks(spark):
+    """Small blocks, some without a vector or an action, give what one group of each user gives; no group is larger."""
+    r = random.Random(9)
+    data = [(i, (None if i % 11 == 0 else r.choice([1, 1, 1, 2, 3])), r.randrange(8), r.randrange(50), r.random() < 0.4 and not 60 < i < 90) for i in range(150)]
+    v = {e: [r.gauss(0, 1) for _ in range(3)] for e in range(6)}
+    rows = spark.createDataFrame(data, "i long, u long, e long, t long, a boolean")
+    vec = spark.createDataFrame(list(v.items()), "e long, vector array<double>")
+    mean = [sum(x[j] for x in v.values()) / len(v) for j in range(3)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for shrink in (0.0, 5.0):
+        want = {}
+        for i, u, e, t, _ in data:
+            past = [v[e2] for i2, u2, e2, t2, a2 in data if u2 == u and (t2, i2) < (t, i) and a2 and e2 in v]
+            c = [sum(x[j] for x in past) + shrink * mean[j] for j in range(3)]
+            ok = e in v and (past or shrink)
+            want[i] = (len(past), round(dot(c, v[e]) / math.sqrt(dot(c, c) * dot(v[e], v[e])), 9) if ok else 0.0)
+        for block in (1, 7, 4096):
+            got = {x["i"]: (x["n_prior"], round(x["affinity"], 9)) for x in causal_affinity(rows, vec, "u", "e", ["t", "i"], "a", "i", shrink, block).collect()}
+            assert got == want
+
+
+def test_block_apply_bounds_a_group(spark):
+    from causeway.operators.apply import block_apply
+
+    df = spark.createDataFrame([(i, (None if i % 5 == 0 else i % 2), (i * 7) % 40) for i in range(100)], "i long, u long, t long")
+
+    def number(g):
+        assert len(g) <= 8
+        g = g.sort_values(["t", "i"])
+        return g.assign(n=g["_before"] + range(1, len(g) + 1))[["i", "n"]]
+
+    got = {x["i"]: x["n"] for x in block_apply(df, ["u"], ["t", "i"], number, "i long, n long", 8).collect()}
+    rows = [tuple(x) for x in df.collect()]
+    assert got == {i: sum(u2 == u and (t2, i2) <= (t, i) for i2, u2, t2 in rows) for i, u, t in rows}
+
+
 def test_leak_audit_catches_a_leak(spark):
     df = spark.createDataFrame([(1, 1, 1, True), (1, 2, 2, True)], "user_id long, email_id long, day long, actioned_24h boolean").withColumn("date_sent", F.timestamp_seconds(F.col("day") * 86400))
     good = features.confound_scores(df)
