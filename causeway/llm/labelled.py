@@ -14,7 +14,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, per_class: int | tuple[int, int], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """text and label of at most ``per_class`` rows of each label, in the order of a hash of the id.
 
-    ``per_class`` may be a pair, for labels 0 and 1. ``allowed`` is a condition on ``_id``. Rows without id, label or text are left out, as are labels but 0 and 1.
+    An id that many rows share gives one row, with the text whose hash is least. ``per_class`` may be a pair, for labels 0 and 1. ``allowed`` is a condition on ``_id``. Rows without id, label or text are left out, as are labels but 0 and 1.
     """
     chosen = None
     for label in (0, 1):
@@ -25,4 +25,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed:
         chosen = rows if chosen is None else chosen.union(rows)
     # As many ids as the parameter allows.
     texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(first.alias("first")).select("_id", "first.text", "label")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from causeway.llm import boosting, gru, pii, quality_model, toxicity
 from causeway.llm.doc_stats import NAMES, stats_matrix
@@ -99,6 +100,18 @@ def test_document_stats_of_odd_texts():
     assert m.shape == (5, len(NAMES)) and np.isfinite(m).all() and m[3][NAMES.index("duplicate_lines")] > 0
 
 
+def test_labelled_sample_takes_one_row_of_an_id(spark):
+    """A labelled id that holds most rows doesn't swell the sample."""
+    from causeway.llm.labelled import labelled_sample
+
+    docs = documents(spark, [(1, f"text {i % 7}", "a") for i in range(300)] + [(i, f"other {i}", "a") for i in range(2, 20)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 20)], "doc_id long, quality int, toxic int")
+    for _ in range(2):
+        got = labelled_sample(docs.repartition(3), labels, "quality", F.lit(True), 12).collect()
+        assert sorted(r["_id"] for r in got) == list(range(1, 20)) and {r["label"] for r in got} == {0, 1}
+    assert len({r["text"] for r in labelled_sample(docs, labels.where("doc_id = 1"), "toxic", F.lit(True), 12).collect()} - {next(r["text"] for r in got if r["_id"] == 1)}) == 0
+
+
 def test_windows_cover_everything():
     for n in (0, 1, 31, 32, 33, 48, 100):
         w = gru.windows_of(np.arange(n))
