@@ -1,7 +1,7 @@
 """Row numbers, prefix sums and ranks over a whole table without a single-task window.
 
-The table is sorted by range, each sorted partition is summed, and the few partition totals (one row for each
-partition) become offsets. The sort order must be total, so a recomputed partition is the same.
+The table is sorted by range and written to the shared folder, each sorted partition is summed, and the few partition
+totals (one row for each partition) become offsets. What is placed once isn't sorted again, whatever is lost meanwhile.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import persist_shared
+
 
 def _placed(df: DataFrame, order: Sequence) -> DataFrame:
     # monotonically_increasing_id: the partition above bit 33, the row within it below.
-    return df.sort(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).persist()
+    return persist_shared(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "placed")
 
 
 def _offset(totals: dict[int, float], part: Column, kind: str) -> Column:

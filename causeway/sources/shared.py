@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is named (tests)."""
+    """The folder named by spark.checkpoint.dir. Without one a local folder serves a local master only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else f"file://{tempfile.gettempdir()}/causeway-shared"
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir is not set: on {master} intermediate tables need a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/causeway-shared"
 
 
 def persist_shared(df: DataFrame, name: str) -> DataFrame:
