@@ -134,6 +134,30 @@ def test_secrets(spark, odd_rows):
     assert "github:0:40" in more and "url_password:41:" in more
 
 
+def test_text_of_very_many_matches(spark):
+    """A text of 100,000 matches takes seconds, and each match is where Python's re finds it."""
+    import time
+
+    r = random.Random(8)
+    mixed = " ".join(r.choice(["token=abcdefg", "secret: xyz", "api_key='ABCDEF123'", "é😀", "deadbeef" * 4, "AKIA" + "Z" * 17, "plain words"]) for _ in range(3000))
+    rows = [(1, "token=abcdefg " * 100_000, "s"), (2, mixed, "s")]
+    began = time.perf_counter()
+    got = {x["doc_id"]: x for x in secrets.secret_digest(secrets.scan_secrets(documents(spark, rows))).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1]["n_assign"] == 100_000 and got[1]["spans"].endswith("assign:1399986:1399999")
+    assert got[2]["base_sha256"] == hashlib.sha256(brute_secrets(mixed).encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    from causeway.llm.spans import running_sums
+
+    r = random.Random(1)
+    lists = [[r.randrange(9) for _ in range(n)] for n in (0, 1, 2, 3, 7, 8, 9, 64, 1000)]
+    df = spark.createDataFrame([(x,) for x in lists], "v array<int>")
+    got = sorted((list(x["s"]) for x in df.select(running_sums(F.col("v")).alias("s")).collect()), key=len)
+    assert got == [[sum(x[: k + 1]) for k in range(len(x))] for x in lists]
+
+
 def brute_quality(t):
     w = WORD.findall(t)
     windows = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
