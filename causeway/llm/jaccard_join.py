@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import persist_shared, text_of
-from .components import connected_components
 from .shingles import band_hashes, choose_bands, fingerprint, shingle_set
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 96
@@ -183,7 +183,7 @@ def jaccard_classes(
     verified = found.join(wanted.select("cid", "copies", "bands"), "cid").join(sets, "cid").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     links = persist_shared(verified.mapInArrow(_verifier(threshold), "cid long, root long, links long"), "jaccard-links")
 
-    trees = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    trees = connected_components(links, "cid", "root")
     degree = links.groupBy("cid").agg(F.sum("links").alias("links"))
     labelled = classes.join(trees.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     firsts = labelled.groupBy("component").agg(F.min("rep").alias("first"))

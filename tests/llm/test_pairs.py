@@ -10,7 +10,6 @@ import pytest
 
 import corpus_pipeline
 from causeway.llm import jaccard_join, packing, shingles
-from causeway.llm.components import connected_components
 from causeway.llm.toxicity import drop_toxic
 from tests.llm.conftest import documents
 
@@ -107,26 +106,6 @@ def test_near_dedup_keeps_one_of_each_class(spark, odd_rows):
     assert jaccard_join.near_dedup(documents(spark, [])).count() == 0
 
 
-def test_components(spark):
-    r = random.Random(2)
-    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
-    root = {}
-    for a, b in edges:
-        for x in (a, b):
-            root.setdefault(x, x)
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in root}
-
-
 def brute_pack(sizes, sources, clusters, capacity):
     """Best fit by looking at every bin."""
     pieces, bins, out = [], [], []
