@@ -5,15 +5,16 @@ fraction is decided by pivotal rounding: two documents meet, mass moves between
 two probabilities becomes 0 or 1, and the other document goes on to meet the next. Mass is counted in words, so
 each meeting keeps the expected words of the pair exactly, and only the last document of a source is rounded
 freely. Documents meet in groups of bounded size; what is left of each group goes up a reduction tree.
-All randomness is a hash of the document, so reruns agree.
+All randomness is a hash of the document, and all sums that decide anything are sums of whole numbers, so reruns agree
+whatever the order of the shuffles.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import count_words, let, persist_shared, text_of
 
@@ -22,6 +23,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 FAN_IN = 64
+#: What tells documents apart, besides ``k``, which numbers repeated ones.
+IDENTITY = ("doc_id", "source", "size", "print")
+#: Repeated documents are numbered in runs of so many, which are dealt over the tasks.
+RUN = 65_536
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -52,9 +57,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     level, capped_n = 0.0, -1
     while True:
         over = F.col("weight") * F.lit(level) > F.col("cap")
-        cap_sum, weight_sum, n = ranked.agg(
-            F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.sum(over.cast("long"))
-        ).first()
+        # Few distinct weights: the sources left are counted for each, so nothing depends on the order of a sum.
+        sums = ranked.groupBy(over.alias("over"), "weight").agg(F.sum("source_size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
+        cap_sum = most * sum(r["words"] for r in sums if r["over"])
+        weight_sum = math.fsum(r["weight"] * r["n"] for r in sums if not r["over"])
+        n = sum(r["n"] for r in sums if r["over"])
         if n == capped_n or not weight_sum:
             break
         capped_n, level = n, (wanted - cap_sum) / weight_sum
@@ -62,7 +69,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return ranked.select("source", "n_docs", "source_size", target.alias("target"))
 
 
-_ITEM = "struct<doc_id:bigint,k:int,size:bigint,source:string,bucket:bigint,p:double,u:double>"
+_FIELDS = ("doc_id", "k", "size", "source", "print", "bucket", "p", "u")
+_ITEM = "struct<doc_id:bigint,k:bigint,size:bigint,source:string,print:bigint,bucket:bigint,p:double,u:double>"
 
 
 def _meet(left: Column, item: Column) -> Column:
@@ -95,9 +103,9 @@ def _meet(left: Column, item: Column) -> Column:
 
 def _round_groups(items: DataFrame) -> DataFrame:
     """Let the items of each (source, bucket) meet, largest first: done and at most one left for each group."""
-    key = F.struct((-F.col("size")).alias("order"), "doc_id", "k", "size", "source", "bucket", "p", "u")
+    key = F.struct((-F.col("size")).alias("order"), *_FIELDS)
     grouped = items.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(key)).alias("all"))
-    plain = F.transform("all", lambda x: F.struct(*[x[c].alias(c) for c in ("doc_id", "k", "size", "source", "bucket", "p", "u")]).cast(_ITEM))
+    plain = F.transform("all", lambda x: F.struct(*[x[c].alias(c) for c in _FIELDS]).cast(_ITEM))
     start = F.struct(F.lit(None).cast(f"array<{_ITEM}>").alias("done"), F.lit(None).cast(_ITEM).alias("left"))
     start = F.struct(F.array().cast(f"array<{_ITEM}>").alias("done"), start["left"].alias("left"))
 
@@ -111,15 +119,15 @@ def _round_groups(items: DataFrame) -> DataFrame:
 
 
 def _draw(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "k"), F.lit(1 << 53)) / float(1 << 53)
+    return F.pmod(F.xxhash64(F.lit(seed), *IDENTITY, "k"), F.lit(1 << 53)) / float(1 << 53)
 
 
 def _settle(items: DataFrame, most_docs: int, seed: int) -> DataFrame:
-    """doc_id, k, size, source, p with p rounded to 0 or 1; n is the number of items of a source."""
-    sure = items.where("p = 0 or p = 1").select("doc_id", "k", "size", "source", "p")
+    """doc_id, k, size, source, print, p with p rounded to 0 or 1; n is the number of items of a source."""
+    sure = items.where("p = 0 or p = 1").select("doc_id", "k", "size", "source", "print", "p")
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN_IN))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "k"), n_buckets)
-    level = items.where("p > 0 and p < 1").select("doc_id", "k", "size", "source", bucket.alias("bucket"), "p")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *IDENTITY, "k"), n_buckets)
+    level = items.where("p > 0 and p < 1").select("doc_id", "k", "size", "source", "print", bucket.alias("bucket"), "p")
     width, depth, done = -(-most_docs // FAN_IN), 0, sure
     while True:
         met = persist_shared(_round_groups(level.withColumn("u", _draw(seed + 1 + depth))), f"mix-level{depth}")
@@ -132,6 +140,18 @@ def _settle(items: DataFrame, most_docs: int, seed: int) -> DataFrame:
     return done.union(last.select(*sure.columns))
 
 
+def _numbered(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> DataFrame:
+    """IDENTITY and k for each row: documents alike in id, source and text are counted first and numbered from the
+    count, in runs, so that no task gathers the rows of one document however often it is repeated."""
+    text = text_of(docs, text_col)
+    thin = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), count_words(text).alias("size"), F.xxhash64(text).alias("print"))
+    counted = thin.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("m"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {RUN}"))))
+    runs = runs.where("m = 1").union(runs.where("m > 1").repartition(*IDENTITY, "run"))
+    last = F.least(F.col("m"), (F.col("run") + 1) * RUN)
+    return runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN + 1, last))).select(*IDENTITY, "k")
+
+
 def mix(
     docs: DataFrame,
     text_col: str = "text",
@@ -142,13 +162,14 @@ def mix(
     most: float = MOST,
     seed: int = 20,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, k, source, size, source_size, target, copies, taken.
+    """One row per row of ``docs``: doc_id, k, source, size, print, source_size, target, copies, taken.
 
-    k numbers rows that share a doc_id. Null texts have size 0 and are never taken; null sources are one source;
-    an empty table gives an empty result; other columns are ignored.
+    k numbers rows alike in id, source and text (print is the text's hash), which are interchangeable. Null and empty
+    texts have size 0 and are never taken; null sources are one source, null ids are ids like others; very long texts
+    are counted whole; of items of equal size the lesser id, then k, meets first; an empty table gives an empty result;
+    other columns are ignored, so clashing names cannot arise.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), count_words(text_of(docs, text_col)).alias("size"))
-    rows = persist_shared(rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))), "mix-rows")
+    rows = persist_shared(_numbered(docs, text_col, id_col, source_col), "mix-rows")
     targets = persist_shared(source_targets(rows, weights, share, most), "mix-targets")
     t = targets.withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -160,44 +181,47 @@ def mix(
     # class, whose probabilities shift alike; the last rounding of a source is then one of a small document.
     mean = F.col("source_size") / F.col("n_docs")
     fractional = all_rows.where("size > 0 and p > 0").withColumn("class", F.when(F.col("size") > mean, 0).when(F.col("size") > mean / 4, 1).otherwise(2))
-    fractional = persist_shared(fractional.select("doc_id", F.col("k").cast("int").alias("k"), "size", "source", "n_docs", "p", "class"), "mix-items")
-    classes = fractional.groupBy("source", "class").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("p")).alias("due"), F.count(F.lit(1)).alias("n"))
+    fractional = persist_shared(fractional.select(*IDENTITY, "k", "p", "class"), "mix-items")
+    # p is the same for all items of a source, so what is due is one product of a sum of whole numbers.
+    classes = fractional.groupBy("source", "class").agg(F.sum("size").alias("words"), F.max("p").alias("p"), F.count(F.lit(1)).alias("n"))
     classes = persist_shared(classes, "mix-classes")
     chosen = None
     for nth in range(3):
         owed = classes.where(F.col("class") <= nth).groupBy("source").agg(
-            F.sum("due").alias("due"), F.max(F.when(F.col("class") == nth, F.col("words"))).alias("words"), F.max(F.when(F.col("class") == nth, F.col("n"))).alias("n")
+            (F.sum("words") * F.max("p")).alias("due"), F.max(F.when(F.col("class") == nth, F.col("words"))).alias("words"), F.max(F.when(F.col("class") == nth, F.col("n"))).alias("n")
         )
         if chosen is not None:
-            given = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("given")).withColumnRenamed("source", "_given")
+            given = chosen.groupBy("source").agg(F.sum(F.when(F.col("p") == 1, F.col("size")).otherwise(0)).alias("given")).withColumnRenamed("source", "_given")
             owed = owed.join(given, owed["source"].eqNullSafe(given["_given"]), "left")
         else:
-            owed = owed.withColumn("given", F.lit(0.0))
-        owed = owed.where("words is not null").select(F.col("source").alias("_source"), "n", ((F.col("due") - F.coalesce("given", F.lit(0.0))) / F.col("words")).alias("_p"))
+            owed = owed.withColumn("given", F.lit(0))
+        owed = owed.where("words is not null").select(F.col("source").alias("_source"), "n", ((F.col("due") - F.coalesce("given", F.lit(0))) / F.col("words")).alias("_p"))
         owed = persist_shared(owed, "mix-owed")
         now = fractional.where(F.col("class") == nth)
         now = now.join(owed, now["source"].eqNullSafe(owed["_source"])).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p"))))
         settled = _settle(now, owed.agg(F.max("n")).first()[0] or 0, seed + 100 * nth)
         chosen = settled if chosen is None else chosen.union(settled)
-    chosen = chosen.where("p = 1").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), F.lit(1).alias("extra"))
-    out = all_rows.join(chosen, all_rows["doc_id"].eqNullSafe(chosen["_id"]) & (all_rows["k"] == chosen["_k"]), "left")
-    out = out.withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    return out.select("doc_id", "k", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    chosen = chosen.where("p = 1").select(*[F.col(c).alias(f"_{c}") for c in (*IDENTITY, "k")], F.lit(1).alias("extra"))
+    same = all_rows["k"] == chosen["_k"]
+    for c in IDENTITY:
+        same &= all_rows[c].eqNullSafe(chosen[f"_{c}"])
+    out = all_rows.join(chosen, same, "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
+    return out.select("doc_id", "k", "source", "size", "print", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix with their columns, each as often as it is taken.
 
-    Rows that share doc_id, source and size are interchangeable to ``mix``; here they are told apart by text.
+    Rows alike in id, source and text are one document, taken as often as all of them are; of rows that differ in other
+    columns only, the one whose columns hash lowest stands for it. Null and empty texts are never taken; null ids and
+    sources count as values; an empty table gives an empty result; columns that clash with the operator's keep their names.
     """
-    doc_id, source = docs[id_col].cast("long"), docs[source_col].cast("string")
-    plan = mix(docs, text_col, id_col, source_col, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("_least"), F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    plan = plan.where("_sum > 0").select(F.xxhash64("doc_id", "source", "size").alias("_plan"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"), "_least", (F.col("_sum") - F.col("_least") * F.col("_n")).alias("_more"))
-    keyed = docs.withColumn("_size", count_words(text_of(docs, text_col))).withColumn("_key", F.xxhash64(doc_id, source, "_size"))
-    same = keyed[id_col].cast("long").eqNullSafe(plan["_id"]) & keyed[source_col].cast("string").eqNullSafe(plan["_of"]) & (keyed["_size"] == plan["_words"])
-    joined = keyed.join(plan, (keyed["_key"] == plan["_plan"]) & same)
-    # Partitioned by _key already: the texts are shuffled once.
-    nth = F.row_number().over(Window.partitionBy("_key", "_id", "_of", "_words").orderBy(F.xxhash64(keyed[text_col])))
-    joined = joined.withColumn("_copies", F.col("_least") + F.when(nth <= F.col("_more"), 1).otherwise(0)).where("_copies > 0")
-    times = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return times.select(*[keyed[c] for c in docs.columns])
+    key = F.struct("doc_id", "source", "print").alias("_key")  # structs are equal where their nulls are
+    plan = mix(docs, text_col, id_col, source_col, **options).groupBy(key).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    own = F.struct(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.xxhash64(text_of(docs, text_col)).alias("print"))
+    keyed = docs.select(own.alias("_key"), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
+    # Repeated rows become one in the tasks that read them: they meet in no task. Texts are shuffled once, for the join too.
+    single = keyed.groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d"))
+    times = single.join(persist_shared(plan, "mix-plan"), "_key").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return times.select(*[F.col(f"d.{n}").alias(c) for c, n in zip(docs.columns, names)])

@@ -87,6 +87,60 @@ def test_mix_odd_rows(spark, odd_rows):
     assert out.columns == docs.columns and out.count() == sum(x["copies"] for x in got)
 
 
+def test_meetings_match_plain_pivotal_rounding(spark):
+    """Each meeting of every group, in plain Python: who rises, who is settled, and what mass is left."""
+    r = random.Random(7)
+    rows = [(i, 1, r.randrange(1, 40), r.choice(["a", None]), 5, r.randrange(4), r.random(), r.random()) for i in range(200)]
+    schema = "doc_id long, k long, size long, source string, print long, bucket long, p double, u double"
+    got = mixing._round_groups(spark.createDataFrame(rows, schema)).collect()
+    groups = collections.defaultdict(list)
+    for x in rows:
+        groups[x[3], x[5]].append(x)
+    assert len(got) == len(groups)
+    for g in got:
+        done, left = {x["doc_id"]: x["p"] for x in g["met"]["done"]}, g["met"]["left"]
+        some = left or g["met"]["done"][0]
+        items = sorted(groups[some["source"], some["bucket"]], key=lambda x: (-x[2], x[0]))
+        want, holder = {}, None
+        for i, _, size, _, _, _, p, u in items:
+            if holder is None:
+                holder = [i, size, p]
+                continue
+            j, s, q = holder
+            up, down = min((1 - q) * s, p * size), min(q * s, (1 - p) * size)
+            change = up if u * (up + down) < down else -down
+            q, p = q + change / s, p - change / size
+            ends = [(j, s, q), (i, size, p)]
+            free = [x for x in ends if 1e-9 < x[2] < 1 - 1e-9]
+            want |= {x[0]: round(x[2]) for x in ends if x not in free}
+            assert len(free) < 2
+            holder = list(free[0]) if free else None
+        assert {k: round(v, 9) for k, v in done.items()} == want
+        assert (left is None) == (holder is None) and (left is None or (left["doc_id"] == holder[0] and abs(left["p"] - holder[2]) < 1e-9))
+
+
+def test_mix_of_one_id_with_many_rows(spark, monkeypatch):
+    """An id that holds half of all rows is counted, not gathered; its repeated rows are taken as one document's copies."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(1, "same words here", "a")] * 100 + [(1, f"other {i}", "a") for i in range(50)] + [(i, "w " * (i % 9), "b") for i in range(2, 150)]
+    docs = documents(spark, rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) == len({(x["doc_id"], x["print"], x["source"], x["k"]) for x in got})
+    assert sorted(x["k"] for x in got if x["doc_id"] == 1 and x["size"] == 3) == list(range(1, 101))
+    plan = mixing.mix(docs)._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    taken = collections.Counter(x["text"] for x in mixing.mixed_documents(docs).collect() if x["doc_id"] == 1)
+    assert taken["same words here"] == sum(x["copies"] for x in got if x["doc_id"] == 1 and x["size"] == 3)
+
+
+def test_mixed_documents_of_rows_that_differ_elsewhere(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", n) for n in ("x", "y", "z")] + [(None, "d e", None, "x"), (2, None, "s", "x")], "doc_id long, text string, source string, print string")
+    out = mixing.mixed_documents(df)
+    got = out.collect()
+    assert out.columns == df.columns and len({x["print"] for x in got if x["doc_id"] == 1}) == 1 and any(x["doc_id"] is None for x in got)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixed_documents(df.repartition(3)).collect()))
+
+
 def test_pivotal_rounding_keeps_probabilities(spark):
     docs = documents(spark, [(i, "w " * (1 + i % 9), "a") for i in range(40)] + [(100, "w " * 300, "b")])
     total = collections.Counter()
@@ -168,7 +222,7 @@ def brute_quality(t):
 
 def test_quality_stats_and_order(spark, odd_rows):
     r = random.Random(6)
-    rows = [x for x in odd_rows if x[0]] + [(50 + i, " ".join(r.choice(["a", "b", "c", "d#", "E\nf"]) for _ in range(r.randrange(120))), "s") for i in range(60)]
+    rows = odd_rows + [(50 + i, " ".join(r.choice(["a", "b", "c", "d#", "E\nf"]) for _ in range(r.randrange(120))), "s") for i in range(60)]
     docs = documents(spark, rows)
     text = {i: t or "" for i, t, _ in rows}
     got = quality_rules.quality_filter(docs, sample_rows=20).collect()
@@ -184,6 +238,21 @@ def test_quality_stats_and_order(spark, odd_rows):
     assert {(x["doc_id"], x["kept"]) for x in flipped} == {(x["doc_id"], x["kept"]) for x in got}
 
 
+def test_rule_costs_tell_cheap_rules_from_dear_ones(spark):
+    """A comparison of two numbers costs far less than a pattern over the text; equal texts don't decide the sample."""
+    rows = [(i, "word after word in a line of some length, " * 40, "s") for i in range(3000)]
+    rules = (quality_rules.Rule("cheap", F.col("n_symbols") > 10_000), quality_rules.Rule("dear", F.regexp_count("_text", F.lit(r"(?i)[aeiou]+[^aeiou]+")) > 1_000_000))
+    got = {x["name"]: x for x in quality_rules.order_rules(documents(spark, rows), rules, sample_rows=200)}
+    assert got["dear"]["cost"] > 5 * got["cheap"]["cost"]
+
+
+def test_duplicate_line_rule_is_a_parameter(spark):
+    text = "\n".join(["header line"] * 3 + [" ".join(f"w{i}x{k}" for k in range(9)) for i in range(7)])
+    docs = documents(spark, [(1, text, "s")])
+    strict = quality_rules.default_rules(duplicate_share=0.1, fewest_duplicates=0)
+    assert quality_rules.quality_filter(docs).first()["kept"] and not quality_rules.quality_filter(docs, rules=strict).first()["kept"]
+
+
 URLS = {
     "https://WWW.Example.ORG/es/1": ("www.example.org", "/es/1", "example.org/es/", "block"), "http://example.org/en/12?x=/": ("example.org", "/en/12", "example.org/en/1", "block"),
     "http://a.org?x": ("a.org", "", None, None), "http://a.org/": ("a.org", "/", "org/", "allow"), "http://b.com/fr/2#y": ("b.com", "/fr/2", "com/fr/", "allow"), "http://b.com/de/": ("b.com", "/de/", "com/de/", "block"),
