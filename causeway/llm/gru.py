@@ -251,23 +251,24 @@ class Adam:
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 96, steps: int = 300, rate: float = 0.02, seed: int = 7) -> Network:
     """Multiple-instance training: of a positive text the window that scores highest now counts as positive (at
-    first a random one), of a negative text its highest and a random window count as negative. Small samples
-    are gone through more often: ``steps`` updates at least. Scores are uncalibrated; see ``platt``.
+    first one with words that positive texts have more often), of a negative text its highest and a random window count as negative. Small samples
+    are gone through more often: ``steps`` updates at least. Scores are uncalibrated; see ``platt``. Without texts, or
+    with one label only, all windows have the logit 0 and the shift is the smoothed log odds of the label, below 0.
     """
     net, r = Network.fresh(seed), np.random.default_rng(seed)
     if not len(texts) or labels.sum() in (0, len(labels)):
         net.p["w"][:] = 0
-        net.shift = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
+        net.shift = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 1.5)))
         return net
     words = [tokens(t) for t in texts]
     place = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws} | {"\x02"}))}
     vocabulary = list(place)
     wins = [windows_of(np.array([place[w] for w in ws], dtype=np.int64)) for ws in words]
     fit_on = list(range(len(texts)))
-    # Words and n-grams of a few texts would be learned by heart: their embeddings stay zero. The rest give each word
-    # a log odds of standing in positive texts, by which positive windows are chosen until the network can choose.
-    # The log odds also start the first place of both embeddings.
-    odds, common, taught = _word_odds(net, vocabulary, [np.unique(w[w >= 0]) for w in wins], labels, fit_on)
+    # Words and n-grams of a few texts would be learned by heart: their embeddings stay zero.
+    # The rest give each word a log odds of standing in positive texts. It starts no weight: it only picks the windows
+    # of long positive texts in the first epochs, until the network can.
+    odds, common, taught = _word_odds(vocabulary, [np.unique(w[w >= 0]) for w in wins], labels)
     top = {i: np.where(wins[i] >= 0, odds[wins[i]], -1.0).max(axis=1) for i in fit_on if labels[i]}
     first = {i: np.flatnonzero(x >= x.max() - 1.0) for i, x in top.items()}
     adam = Adam(net.p, rate)
@@ -307,26 +308,22 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 96,
     return net
 
 
-def _word_odds(net: Network, vocabulary: list[str], sets: list[np.ndarray], labels: np.ndarray, rows: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_odds(vocabulary: list[str], sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's highest log odds, its own or an n-gram's; whether enough texts have it; the same of n-gram buckets."""
     grams, begin = char_grams(vocabulary)
     ends = np.append(begin[1:], len(grams))
-    n = np.array([(labels[rows] == c).sum() for c in (0, 1)])
+    n = np.array([(labels == c).sum() for c in (0, 1)])
     words, chars = np.zeros((2, len(vocabulary))), np.zeros((2, BUCKETS))
-    for i in rows:
-        c = int(labels[i])
-        words[c, sets[i]] += 1
-        if len(sets[i]):
-            chars[c, np.unique(np.concatenate([grams[begin[w] : ends[w]] for w in sets[i]]))] += 1
+    for s, label in zip(sets, labels):
+        words[int(label), s] += 1
+        if len(s):
+            chars[int(label), np.unique(np.concatenate([grams[begin[w] : ends[w]] for w in s]))] += 1
 
     def log_odds(df: np.ndarray) -> np.ndarray:
         return np.where(df[1] >= 2, np.log((df[1] + 0.1) / (n[1] + 1)) - np.log((df[0] + 0.1) / (n[0] + 1)) + 0.5 * np.log1p(df[1]), -9.0)
 
-    enough = words.sum(axis=0) >= FEWEST_TEXTS, chars.sum(axis=0) >= FEWEST_TEXTS
-    net.p["word"][word_buckets(vocabulary), 0] = np.where(enough[0], np.clip(log_odds(words), 0, 8) / 8, 0)
-    net.p["char"][:, 0] = np.where(enough[1], np.clip(log_odds(chars) - 2, 0, 8) / 16, 0)
     best = np.maximum(log_odds(words), np.maximum.reduceat(log_odds(chars)[grams], begin) - 0.5)
-    return best, enough[0], enough[1].astype(np.float32)
+    return best, words.sum(axis=0) >= FEWEST_TEXTS, (chars.sum(axis=0) >= FEWEST_TEXTS).astype(np.float32)
 
 
 def _best_windows(net: Network, vocabulary: list[str], wins: list[np.ndarray], rows: list[int]) -> dict[int, int]:
@@ -338,17 +335,19 @@ def _best_windows(net: Network, vocabulary: list[str], wins: list[np.ndarray], r
     return {i: int(logits[e - n : e].argmax()) for i, n, e in zip(rows, sizes, ends)}
 
 
-def platt(net: Network, z: np.ndarray, y: np.ndarray, rounds: int = 60) -> None:
-    """Set the network's scale and shift so that scores of these logits are probabilities."""
-    if not 0 < y.sum() < len(y):
-        return
+def platt(net: Network, z: np.ndarray, y: np.ndarray, rounds: int = 60, prior: float = 0.1) -> None:
+    """Set the network's scale and shift so that scores of these logits are probabilities.
+
+    Both are drawn toward what they were with the weight ``prior``, which many rows outweigh: few rows, none, or rows of
+    one label only move them little.
+    """
     z, target = z.astype(np.float64), np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a, b = 1.0, 0.0
+    a, b = a0, b0 = net.scale, net.shift
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         w = np.maximum(p * (1 - p), 1e-9)
-        ga, gb = ((target - p) * z).sum() - 1e-2 * (a - 1), (target - p).sum()
-        haa, hab, hbb = (w * z * z).sum() + 1e-2, (w * z).sum(), w.sum() + 1e-6
+        ga, gb = ((target - p) * z).sum() - prior * (a - a0), (target - p).sum() - prior * (b - b0)
+        haa, hab, hbb = (w * z * z).sum() + prior, (w * z).sum(), w.sum() + prior
         det = haa * hbb - hab * hab
         a, b = a + np.clip((hbb * ga - hab * gb) / det, -0.5, 0.5), b + np.clip((haa * gb - hab * ga) / det, -1, 1)
     net.scale, net.shift = float(max(a, 1e-3)), float(b)

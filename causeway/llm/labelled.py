@@ -12,9 +12,11 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, per_class: int | tuple[int, int], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """text and label of at most ``per_class`` rows of each label, in the order of a hash of the id.
+    """_id, text and label of at most ``per_class`` rows of each label, in the order of a hash of the id.
 
-    An id that many rows share gives one row, with the text whose hash is least. ``per_class`` may be a pair, for labels 0 and 1. ``allowed`` is a condition on ``_id``. Rows without id, label or text are left out, as are labels but 0 and 1.
+    An id that many rows share gives one row, with the text whose hash is least, so the bound holds for rows too.
+    ``per_class`` may be a pair, for labels 0 and 1. ``allowed`` is a condition on ``_id``. Rows without id, label or
+    text are left out, as are labels but 0 and 1.
     """
     chosen = None
     for label in (0, 1):

@@ -12,31 +12,24 @@ from pyspark.sql import functions as F
 from .gru import Network, fit, platt
 from .labelled import fold, labelled_sample
 
-#: Bounds of what is learned from: labelled rows of each class, and characters of a text.
-ROWS_PER_CLASS, MOST_CHARS = 900, 20_000
-#: Further labelled rows, clean and toxic, that calibrate the scores; near the proportions of the corpus.
+#: The most labelled rows of each class that are learned from; their whole texts come to the driver.
+ROWS_PER_CLASS = 900
+#: The most labelled rows, clean and toxic, that calibrate the scores: near the proportions of the corpus, never trained
+#: on, and scored on the executors.
 CALIBRATION_ROWS = (4000, 500)
-#: With fewer labelled rows of a label apart, all are trained on and scores stay uncalibrated.
-LEAST_CALIBRATION = 20
 FOLDS, HELD_OUT = 5, 0
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS) -> Network:
-    """Learns from a bounded sample of labelled rows outside the held-out fold, of texts of at most MOST_CHARS.
-
-    Only the sample is bounded so; every text is scored whole.
+    """Learns from bounded samples of labelled rows outside the held-out fold, of four fifths of the ids, and calibrates
+    on the last fifth. Texts are learned from whole. An id of many rows gives one row; rows without id, text or label
+    are left out; without labels of both kinds nothing is predicted toxic.
     """
-    short = docs.where(F.length(docs[text_col].cast("string")) <= MOST_CHARS)
-    ids = short.select(short[id_col].cast("long").alias("_short"))
-    named = labels.join(ids, labels[id_col].cast("long") == ids["_short"], "left_semi")
     allowed, apart = fold(F.col("_id"), FOLDS) != HELD_OUT, F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(5)) == 0
-    rare = named.select(named[id_col].cast("long").alias("_id"), "toxic").where(allowed & apart).groupBy("toxic").count().where("toxic in (0, 1)").collect()
-    calibrated = len(rare) == 2 and min(r["count"] for r in rare) >= LEAST_CALIBRATION
-    sample = labelled_sample(short, named, "toxic", allowed & ~apart if calibrated else allowed, rows_per_class, text_col, id_col)
-    rows = sorted(sample.collect())
+    rows = sorted(labelled_sample(docs, labels, "toxic", allowed & ~apart, rows_per_class, text_col, id_col).collect())
     rows = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]
     model = fit([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.float64))
-    return _calibrate(model, labelled_sample(docs, labels, "toxic", allowed & apart, CALIBRATION_ROWS, text_col, id_col)) if calibrated else model
+    return _calibrate(model, labelled_sample(docs, labels, "toxic", allowed & apart, CALIBRATION_ROWS, text_col, id_col))
 
 
 def _calibrate(model: Network, sample: DataFrame) -> Network:
@@ -56,8 +49,10 @@ def _calibrate(model: Network, sample: DataFrame) -> Network:
 def score_toxicity(docs: DataFrame, model: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    A text's score is that of its most toxic window. Null texts count as empty, and a text without words is scored
-    as one window of padding; repeated rows are scored alike; extra columns are ignored.
+    A text's score is that of its most toxic window. Null and empty texts, and others without words, are scored as one
+    window of padding; very long texts are scored whole, some windows at a time; repeated rows are scored alike; rows
+    with a null id count as of the empty id; an empty table gives an empty result; other columns are ignored, so
+    clashing names cannot arise.
     """
     model.forget()
 
@@ -78,7 +73,11 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns, in one pass over the texts."""
+    """The rows of ``docs`` that are not predicted toxic, with their columns, in one pass over the texts.
+
+    Rows are judged as in ``score_toxicity``, one by one, repeated ones and those with a null id too; columns of any name
+    pass through; an empty table gives an empty result, and without labels of both kinds all rows stay.
+    """
     model = fit_toxicity(docs, labels, text_col, id_col)
     model.forget()
 

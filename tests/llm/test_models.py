@@ -223,6 +223,53 @@ def test_gru_gradients():
             assert abs((up - down) / (2 * e) - g[k][at]) < 2e-3 + 0.05 * abs(g[k][at]), k
 
 
+def test_gru_forward_matches_plain_loops():
+    """Windows, both directions, attention, pooling and the maximum over windows, one number at a time."""
+    import math
+
+    r = np.random.default_rng(4)
+    net = gru.Network.fresh(5)
+    for k, v in net.p.items():
+        net.p[k] = (v + 0.3 * r.standard_normal(v.shape)).astype(np.float32)
+    k, u, sig = gru.WIDTH, net.p["u"].astype(float), lambda x: 1 / (1 + math.exp(-x))
+
+    def one(words):
+        states = []
+        for way, order in ((0, words), (1, words[::-1])):
+            h, own = [0.0] * k, []
+            for w in order:
+                x, _ = net.embed([w])
+                pre = [sum(float(x[0, i]) * float(net.p["wx"][way, i, j]) for i in range(2 * k)) + float(net.p["b"][way, 0, j]) for j in range(3 * k)]
+                a = [sum(h[i] * u[way, i, j] for i in range(k)) for j in range(3 * k)]
+                z, g = [sig(pre[j] + a[j]) for j in range(k)], [sig(pre[k + j] + a[k + j]) for j in range(k)]
+                c = [math.tanh(pre[2 * k + j] + g[j] * a[2 * k + j]) for j in range(k)]
+                h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(k)]
+                own.append(h)
+            states.append(own if way == 0 else own[::-1])
+        both = [f + b for f, b in zip(*states)]
+        say = [math.exp(sum(x * float(v) for x, v in zip(s, net.p["v"]))) for s in both]
+        pooled = [sum(e * s[j] for e, s in zip(say, both)) / sum(say) for j in range(2 * k)]
+        return sum(x * float(w) for x, w in zip(pooled, net.p["w"])) + float(net.p["bo"][0])
+
+    for n in (1, 5, 32, 33, 75):
+        words = [f"w{r.integers(9)}" for _ in range(n)]
+        starts = sorted({*range(0, max(n - gru.WINDOW, 0), gru.STRIDE), max(n - gru.WINDOW, 0)})
+        want = max(one(words[s : s + gru.WINDOW]) for s in starts)
+        assert abs(float(net.text_logits([" ".join(words)])[0]) - want) < 1e-3
+
+
+def test_platt_with_few_rows_or_one_label():
+    z = np.linspace(-3, 3, 200)
+    y = (z + 0.1 > 0).astype(float)
+    net = gru.Network.fresh(1)
+    gru.platt(net, z, y)
+    assert np.mean((net.scores(z) >= 0.5) == y) > 0.98 and net.scale > 1
+    for some in (0, 1, 3):
+        net = gru.Network.fresh(1)
+        gru.platt(net, np.zeros(some), np.zeros(some))
+        assert abs(net.scale - 1) < 1e-6 and net.shift <= 0
+
+
 def test_long_text_in_pieces_scores_like_in_one():
     net = gru.Network.fresh(3)
     net.p["char"][:] = np.random.default_rng(1).standard_normal(net.p["char"].shape).astype(np.float32)
@@ -252,11 +299,39 @@ def test_classifiers_on_odd_rows_without_labels(spark, odd_rows):
     for out in (toxicity.classify_toxicity(docs, none), quality_model.classify_quality(docs, none)):
         rows = out.collect()
         assert len(rows) == len(odd_rows) and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5) for x in rows)
+    assert toxicity.drop_toxic(docs, none).count() == len(odd_rows)  # nothing is toxic that no label says to be
     assert toxicity.classify_toxicity(documents(spark, []), none).count() == 0 and quality_model.classify_quality(documents(spark, []), none).count() == 0
 
 
+def test_toxicity_learns_from_whole_long_texts(spark):
+    """Toxic words that stand only at the very end of texts of 3,000 words are learned."""
+    r = random.Random(3)
+    text = lambda bad: " ".join([r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(3000)] + (["vilejerk"] * 3 if bad else []))
+    rows = [(i, text(i % 3 == 0), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.classify_toxicity(documents(spark, rows), labels).collect()
+    assert np.mean([x["predicted"] == (x["doc_id"] % 3 == 0) for x in got]) > 0.9
+
+
+def per_class_recall(got, label):
+    return [np.mean([x["predicted"] == v for x in got if x[label] == v]) for v in (0, 1)]
+
+
+@needs_data
+def test_toxicity_held_out_recall_of_both_classes(spark):
+    """Few labels: 44 toxic ones to learn from and calibrate on, 6 held out."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    clean, toxic = per_class_recall(got, "toxic")
+    assert clean >= 0.95 and toxic >= 0.5
+
+
 @needs_data
 def test_quality_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.classify_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([x["predicted"] == x["quality"] for x in got]) > 0.95
+    bad, good = per_class_recall(got, "quality")
+    assert bad >= 0.9 and good >= 0.95
+    low, high = ([x["score"] for x in got if x["quality"] == v] for v in (0, 1))
+    auc = np.mean([(h > x) + (h == x) / 2 for h in high for x in low])
+    assert auc > 0.97
