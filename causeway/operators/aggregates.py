@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .buckets import quantile_cuts
 from .ranking import with_average_rank, with_prefix_sums, with_row_number
 
 
@@ -131,9 +132,13 @@ def missingness(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, cols: Sequence[str], outcome: str) -> DataFrame:
-    """column, n, n_null, mean, std, min, p50, max and correlation with the outcome, in one aggregation."""
-    names = {"n": F.count, "n_null": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg, "std": F.stddev_pop, "low": F.min, "p50": lambda c: F.percentile(c, F.lit(0.5)), "high": F.max,
+    """column, n, n_null, mean, std, min, p50, max and correlation with the outcome: one aggregation and a sort for each median."""
+    names = {"n": F.count, "n_null": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg, "std": F.stddev_pop, "low": F.min, "high": F.max,
              "corr": lambda c: F.corr(F.col(c).cast("double"), F.col(outcome).cast("double"))}
     wide = df.agg(*[f(c).cast("double").alias(f"{c}::{k}") for c in cols for k, f in names.items()])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}::{k}`").alias(k) for k in names]) for c in cols])
-    return wide.select(F.explode(rows).alias("x")).select("x.*")
+    medians = [quantile_cuts(df, c, [0.5]).select(F.lit(c).alias("column"), F.col("q0").alias("p50")) for c in cols]
+    every = medians[0]
+    for m in medians[1:]:
+        every = every.union(m)
+    return wide.select(F.explode(rows).alias("x")).select("x.*").join(every, "column")

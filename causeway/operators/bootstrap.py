@@ -1,42 +1,111 @@
-"""Clustered bootstrap as weights: replicates are (replicate, user) multiplicities, rows are never copied."""
+"""Clustered bootstrap as weights: replicates are (replicate, cluster) multiplicities, rows are never copied."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import auc_by
+from ..sources.shared import persist_shared
+from .ranking import with_row_number
 
+#: Cumulative probabilities of a Poisson(1) draw of 0, 1, 2, ...
+_STEPS = np.cumsum([np.exp(-1.0) / x for x in np.cumprod([1.0, *range(1, 12)])])
 
-def poisson_weight(key: Column, replicate: Column, seed: int) -> Column:
-    """A Poisson(1) draw that is a hash of the cluster and the replicate: the same wherever it is computed."""
-    u = F.pmod(F.xxhash64(F.lit(seed), replicate, key), F.lit(1 << 53)) / float(1 << 53)
-    out, mass, total = F.lit(0), 0.36787944117144233, 0.0
-    steps = []
-    for k in range(1, 12):
-        total += mass
-        steps.append(total)
-        mass /= k
-    for k, s in enumerate(steps):
-        out = F.when(u >= s, k + 1).otherwise(out)
-    return out.cast("long")
+
+def poisson_weights(cluster_hash: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) draws (clusters, replicates): a hash of the cluster's hash and the replicate, the same wherever it is
+    computed. They stand for multinomial multiplicities, which need the number of clusters; for many clusters both agree."""
+    h = cluster_hash.astype(np.int64).view(np.uint64)[:, None] ^ ((np.arange(replicates, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(_STEPS, u, side="right").astype(np.float64)
+
+
+def _passes(rows: DataFrame, order: list, replicates: int, seed: int) -> DataFrame:
+    """group, replicate, area, pos, neg with area the sum over positive rows of the negative weight before them in the
+    order, of all replicates at once.
+
+    Sorted partitions are read twice: for their totals, of which each group's earlier ones are the start of its rows
+    in a later partition, and for the areas. One sort serves all replicates; a row is never multiplied.
+    """
+    placed = persist_shared(rows.sort("group", *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "bootstrap-rows")
+
+    def read(starts: dict[tuple[int, int], np.ndarray]):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, sums = None, np.zeros((3, replicates))
+
+            def answer() -> pa.RecordBatch:
+                arrays = [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), *[pa.array([x.tolist()], pa.list_(pa.float64())) for x in sums]]
+                return pa.RecordBatch.from_arrays(arrays, ["part", "group", "area", "pos", "neg"])
+
+            for b in batches:
+                part, group, hashes, label, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "group", "hash", "label", "n"))
+                cuts = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
+                for at, end in zip([0, *cuts], [*cuts, len(group)]):
+                    if end == at:
+                        continue
+                    key = (int(part[at]), int(group[at]))
+                    if key != now:
+                        if now is not None:
+                            yield answer()
+                        now, sums = key, np.zeros((3, replicates))
+                    for lo in range(at, end, 4096):
+                        some = slice(lo, min(lo + 4096, end))
+                        w = poisson_weights(hashes[some], replicates, seed) * n[some, None]
+                        pos, neg = w * (label[some] == 1)[:, None], w * (label[some] != 1)[:, None]
+                        before = np.cumsum(neg, axis=0) - neg + sums[2] + starts.get(key, 0.0)
+                        sums[0] += (pos * before).sum(axis=0)
+                        sums[1] += pos.sum(axis=0)
+                        sums[2] += neg.sum(axis=0)
+            if now is not None:
+                yield answer()
+
+        # Rows of a sorted partition may come back in several files: they are put together again.
+        again = placed.repartition("_part").sortWithinPartitions("_at")
+        return again.mapInArrow(work, "part int, group long, area array<double>, pos array<double>, neg array<double>")
+
+    starts: dict[tuple[int, int], np.ndarray] = {}
+    running: dict[int, np.ndarray] = {}
+    for r in sorted(read({}).select("part", "group", "neg").collect(), key=lambda r: (r["group"], r["part"])):  # a row for each partition and group
+        starts[r["part"], r["group"]] = running.get(r["group"], np.zeros(replicates))
+        running[r["group"]] = starts[r["part"], r["group"]] + np.array(r["neg"])
+    each = read(starts).select("group", F.posexplode(F.arrays_zip("area", "pos", "neg")).alias("replicate", "x"))
+    return each.groupBy("group", "replicate").agg(*[F.sum(f"x.{c}").alias(c) for c in ("area", "pos", "neg")])
 
 
 def bootstrap_auc(df: DataFrame, score: str, label: str, cluster: str, replicates: int = 100, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """replicate, keys, auc of each replicate that has both classes.
 
-    Rows are summed by (cluster, score) first, which bounds what is multiplied by the number of replicates.
+    Rows are summed by (cluster, score, label) first. Ties count half: the mean of the areas with positives before and
+    behind the negatives of their score. Groups by ``keys`` should be few (folds, strata): their totals meet on the driver.
     """
-    small = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(cluster, score, label, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    each = small.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    weight = F.col("_n") * poisson_weight(F.col(cluster), F.col("replicate"), seed)
-    return auc_by(each.withColumn("_w", weight).where("_w > 0"), score, label, ["replicate", *keys], F.col("_w")).select("replicate", *keys, "auc")
+    there = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    small = there.groupBy(*keys, cluster, score, label).agg(F.count(F.lit(1)).alias("n"))
+    named = small.select(*keys).distinct().withColumn("group", F.monotonically_increasing_id()) if keys else None
+    if named is not None:
+        named = persist_shared(named, "bootstrap-groups")
+        other = named.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "group")
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= small[k].eqNullSafe(other[f"_k{i}"])
+        small = small.join(other, same)
+    else:
+        small = small.withColumn("group", F.lit(0).cast("long"))
+    rows = small.select("group", F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label"), F.xxhash64(cluster).alias("hash"), "n")
+    strict = _passes(rows, ["score", F.col("label").desc(), "hash"], replicates, seed)
+    loose = _passes(rows, ["score", F.col("label").asc(), "hash"], replicates, seed).select("group", "replicate", F.col("area").alias("_loose"))
+    both = strict.join(loose, ["group", "replicate"]).where("pos > 0 and neg > 0")
+    out = both.select("group", "replicate", ((F.col("area") + F.col("_loose")) / 2 / F.col("pos") / F.col("neg")).alias("auc"))
+    return (out.join(named, "group") if named is not None else out).select("replicate", *keys, "auc")
 
 
 def interval(values: DataFrame, col: str, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
-    """keys, low, high: the middle ``level`` of the values, nulls and NaN left out."""
+    """keys, low, high: the middle ``level`` of the values (one for each replicate), nulls and NaN left out."""
     tail = (1 - level) / 2
     good = values.where(F.col(col).isNotNull() & ~F.isnan(col))
     return good.groupBy(*keys).agg(F.percentile(col, F.lit(tail)).alias("low"), F.percentile(col, F.lit(1 - tail)).alias("high"))
@@ -50,10 +119,10 @@ def pooled_bootstrap(df: DataFrame, score: str, label: str, cluster: str, fold:
 
 
 def permute_within(df: DataFrame, col: str, bucket: Sequence[str], key: str, name: str, seed: int = 42) -> DataFrame:
-    """The column shuffled among the rows of each bucket: a true permutation, by hash order against key order."""
-    from pyspark.sql.window import Window
+    """The column shuffled among the rows of each bucket: a true permutation, by hash order against key order.
 
-    w = Window.partitionBy(*bucket)
-    left = df.withColumn("_i", F.row_number().over(w.orderBy(key)))
-    right = df.select(*bucket, F.col(col).alias(name), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), key), key)).alias("_i"))
-    return left.join(right, [*bucket, "_i"]).drop("_i")
+    Both orders put buckets first, so a bucket's rows have the same numbers in both; no window holds a bucket.
+    """
+    left, _ = with_row_number(df, [*bucket, key], "_i")
+    right, _ = with_row_number(df.select(*bucket, key, F.col(col).alias(name)), [*bucket, F.xxhash64(F.lit(seed), key), key], "_i")
+    return left.join(right.select("_i", name), "_i").drop("_i")

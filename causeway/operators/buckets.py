@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .ranking import with_row_number
 
@@ -33,9 +32,38 @@ def cut_left(value: Column, breaks: Sequence[float], labels: Sequence[str]) -> C
     return out.otherwise(labels[-1])
 
 
+def _at_places(df: DataFrame, col: str, keys: Sequence[str], wanted: Callable[[Column], list[tuple[Column, Column]]]) -> DataFrame:
+    """keys, i, weight, value: the elements at places (from 0) of each key's sorted non-null values.
+
+    ``wanted`` gives (place, weight) pairs from the number of values. The table is sorted by range once and numbered, so
+    a key's values may lie in many partitions and no task holds them all; only the wanted rows are joined.
+    """
+    placed, _ = with_row_number(df.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias("value")), [*keys, "value"], "_n")
+    bounds = placed.groupBy(*keys).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), place.cast("long").alias("at"), weight.cast("double").alias("weight")) for i, (place, weight) in enumerate(wanted(F.col("_rows")))]))
+    points = bounds.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], "_first", pairs.alias("p"))
+    points = points.select(*[c for c in points.columns if c.startswith("_k")], (F.col("_first") + F.col("p.at")).alias("_n"), "p.i", "p.weight")
+    if not keys:
+        points = F.broadcast(points)  # two rows for each quantile
+    return placed.select("_n", "value").join(points, "_n").select(*[F.col(f"_k{j}").alias(k) for j, k in enumerate(keys)], "i", "weight", "value")
+
+
 def quantile_cuts(df: DataFrame, col: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """One row (for each key) with linear quantiles q0, q1, ..."""
-    return df.groupBy(*keys).agg(*[F.percentile(col, F.lit(float(s))).alias(f"q{i}") for i, s in enumerate(shares)])
+    """One row (for each key) with linear quantiles q0, q1, ...; keys without a value have none."""
+
+    def wanted(n: Column) -> list[tuple[Column, Column]]:
+        out = []
+        for s in shares:
+            at = F.lit(float(s)) * (n - 1)
+            out += [(F.floor(at), F.ceil(at) - at), (F.ceil(at), at - F.floor(at))]
+        return out
+
+    found = _at_places(df, col, keys, wanted)
+    low, high = ({i: F.max(F.when(F.col("i") == 2 * i + side, F.col("value"))) for i in range(len(shares))} for side in (0, 1))
+    weight = {i: F.max(F.when(F.col("i") == 2 * i, F.col("weight"))) for i in range(len(shares))}
+    # Where both elements are equal, or the place is one, nothing is interpolated.
+    cut = lambda i: F.when((low[i] == high[i]), low[i].cast("double")).otherwise(weight[i] * low[i] + (1 - weight[i]) * high[i])
+    return found.groupBy(*keys).agg(*[cut(i).alias(f"q{i}") for i in range(len(shares))])
 
 
 def quantile_bucket(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
@@ -47,10 +75,8 @@ def quantile_bucket(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
 
 def nearest_quantile(df: DataFrame, col: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """The element at place ``round(q * (n - 1))`` (half to even) of the sorted non-null values: keys, share, value."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias("value"), (F.row_number().over(w.orderBy(col)) - 1).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
-    return ranked.withColumn("share", wanted).where(F.col("at") == F.bround(F.col("share") * (F.col("n") - 1))).select(*keys, "share", "value")
+    found = _at_places(df, col, keys, lambda n: [(F.bround(F.lit(float(s)) * (n - 1)), F.lit(1.0)) for s in shares])
+    return found.select(*keys, F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("i") + 1).alias("share"), "value")
 
 
 def equal_chunks(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.times import quarter_label
-from .buckets import fixed_bins
-from .ranking import with_prefix_sums
+from .buckets import fixed_bins, quantile_cuts
+from .ranking import with_keyed_prefix_sums, with_prefix_sums
 
 
 def _by_score(df: DataFrame, score: str, label: str, weight: Column | None, keys: Sequence[str]) -> DataFrame:
@@ -32,8 +32,7 @@ def auc(df: DataFrame, score: str, label: str, weight: Column | None = None) ->
 
 def auc_by(df: DataFrame, score: str, label: str, keys: Sequence[str], weight: Column | None = None, least_rows: int = 0) -> DataFrame:
     """keys, auc, n_pos, n_neg for each group with both classes and at least ``least_rows`` rows."""
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    summed = _by_score(df, score, label, weight, keys).withColumn("_neg", F.sum("neg").over(w))
+    summed = with_keyed_prefix_sums(_by_score(df, score, label, weight, keys), keys, [score], {"_neg": F.col("neg")})
     out = summed.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("_neg") - F.col("neg") / 2)).alias("area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     out = out.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") >= least_rows))
     return out.select(*keys, (F.col("area") / F.col("n_pos") / F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
@@ -86,7 +85,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str) -> DataFrame:
 
 def label_noise(df: DataFrame, score: str, label: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose label fights their score: 0 above the upper, 1 below the lower score quantile; with gap."""
-    cuts = df.agg(F.percentile(score, F.lit(low)).alias("_low"), F.percentile(score, F.lit(high)).alias("_high"))
+    cuts = quantile_cuts(df, score, [low, high]).select(F.col("q0").alias("_low"), F.col("q1").alias("_high"))
     rows = df.crossJoin(F.broadcast(cuts))  # one row of two numbers
     noisy = ((F.col(label) == 0) & (F.col(score) > F.col("_high"))) | ((F.col(label) == 1) & (F.col(score) < F.col("_low")))
     return rows.where(noisy).withColumn("gap", F.abs(F.col(score) - F.col(label))).drop("_low", "_high")

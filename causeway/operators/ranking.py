@@ -53,6 +53,25 @@ def with_prefix_sums(df: DataFrame, order: Sequence, sums: dict[str, Column]) ->
     return out.drop("_at", "_part", *[f"_v_{k}" for k in sums]), {k: sum(r[k] or 0 for r in parts) for k in sums}
 
 
+def with_keyed_prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict[str, Column]) -> DataFrame:
+    """The table with the running sum (this row included) of each expression within its key; null keys are one key.
+
+    A key's rows may lie in many sorted partitions: each is summed on its own and starts from the totals of the key's
+    earlier ones, one row for each key and partition. So no task holds all rows of a key.
+    """
+    placed = _placed(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), [*keys, *order])
+    parts = placed.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), *[F.sum(f"_t_{k}").over(earlier).alias(f"_s_{k}") for k in sums])
+    within = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({f"_w_{k}": F.sum(f"_v_{k}").over(within) for k in sums})
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= summed[k].eqNullSafe(starts[f"_k{i}"])
+    out = summed.join(starts, same).withColumns({k: F.col(f"_w_{k}") + F.coalesce(F.col(f"_s_{k}"), F.lit(0)) for k in sums})
+    return out.select(*df.columns, *sums)
+
+
 def with_average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
     """Rank of each row by ``col``, ties at their mean: ranks of distinct values joined back."""
     ties = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))

@@ -13,6 +13,7 @@ from ..operators.aggregates import crosstab
 from ..operators.buckets import TENURE_BREAKS, TENURE_LABELS, cut_right, quantile_cuts
 from ..operators.joins import left_with_domain, require_unique
 from ..operators.windows import exclusive_sum, last_before, rolling_prior_sum, rows_since, strict_prior, trailing_days
+from ..sources.shared import persist_shared
 from .gates import GateError
 
 
@@ -96,7 +97,7 @@ def user_risk_stats(df: DataFrame) -> DataFrame:
 def risk_crosstab(stats: DataFrame, a: str, b: str) -> DataFrame:
     """Tertiles of two measures against each other: n, share and the unsubscribe rate of all nine cells."""
     bands = ["low", "mid", "high"]
-    out = stats
+    out = stats = persist_shared(stats, "risk-stats")
     for c in (a, b):
         cuts = quantile_cuts(stats, c, [0.3333, 0.6667])
         label = F.when(F.col(c) <= F.col("q0"), "low").when(F.col(c) <= F.col("q1"), "mid").otherwise("high")

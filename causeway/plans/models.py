@@ -13,7 +13,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.buckets import equal_chunks
+from ..operators.buckets import equal_chunks, quantile_cuts
 from ..operators.evaluation import auc
 from ..operators.ranking import with_average_rank
 
@@ -155,8 +155,8 @@ def worst_decile(df: DataFrame, feature: str, key: str, error: str) -> DataFrame
 
 def temporal_auc(df: DataFrame, features: Sequence[str], label: str, at: str, share: float = 0.8) -> DataFrame:
     """feature, auc on the rows behind the time's ``share`` quantile: each feature alone, then all together."""
-    cut = df.agg(F.percentile(F.unix_micros(F.col(at).cast("timestamp")), F.lit(share)).alias("c")).first()["c"]
     micros = F.unix_micros(F.col(at).cast("timestamp"))
+    cut = quantile_cuts(df.select(micros.alias("_t")), "_t", [share]).first()["q0"]
     train, test = df.where(micros <= cut), df.where(micros > cut)
     out = [(f, auc(test, f, label).first()["auc"]) for f in features]
     rows = _vector(train, features, False)

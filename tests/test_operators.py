@@ -122,6 +122,74 @@ def test_bootstrap_covers_and_repeats(spark):
     assert a == b and a["low"] < point < a["high"]
 
 
+def test_bootstrap_replays_in_numpy(spark):
+    """Every replicate's AUC, from the same weights over the plain rows; groups, ties, null groups and small partitions."""
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(f"u{i % 13}", float(r.randrange(9)), r.randrange(2), r.choice(["a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "u string, s double, y int, g string").repartition(7)
+    hashes = {x["u"]: x["h"] for x in df.select("u", F.xxhash64("u").alias("h")).distinct().collect()}
+    got = {(x["g"], x["replicate"]): x["auc"] for x in Boot.bootstrap_auc(df, "s", "y", "u", 8, 5, ["g"]).collect()}
+    weight = dict(zip(hashes, Boot.poisson_weights(np.array(list(hashes.values())), 8, 5)))
+    for g in ("a", "b", None):
+        some = [x for x in rows if x[3] == g]
+        for k in range(8):
+            area = sum(weight[p[0]][k] * weight[n[0]][k] * ((p[1] > n[1]) + (p[1] == n[1]) / 2) for p in some if p[2] for n in some if not n[2])
+            pos, neg = (sum(weight[x[0]][k] for x in some if x[2] == v) for v in (1, 0))
+            assert math.isclose(got[g, k], area / pos / neg)
+
+
+def test_bootstrap_interval_agrees_with_multinomial(spark):
+    """The interval of Poisson weights against the same bootstrap with clusters drawn with replacement."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    u = np.arange(3000) % 300
+    y = (r.random(3000) < 0.3).astype(int)
+    s = r.normal(size=3000) + 0.8 * y + r.normal(size=300)[u] * 0.5
+    df = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(u, s, y)], "u long, s double, y int")
+    got = Boot.interval(Boot.bootstrap_auc(df, "s", "y", "u", 400), "auc").first()
+    order = np.argsort(s)
+    draws = []
+    for _ in range(400):
+        w = np.bincount(r.integers(0, 300, 300), minlength=300)[u][order]
+        p, n = w * y[order], w * (1 - y[order])
+        draws.append((p * (np.cumsum(n) - n)).sum() / p.sum() / n.sum())
+    low, high = np.quantile(draws, [0.025, 0.975])
+    assert abs(got["low"] - low) < 0.006 and abs(got["high"] - high) < 0.006
+
+
+def test_keyed_prefix_sums_of_split_keys(spark):
+    from causeway.operators.ranking import with_keyed_prefix_sums
+
+    r = random.Random(5)
+    rows = [(r.choice(["hot", "hot", "hot", "x", None]), i, r.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t long, v long").repartition(9)
+    got = {x["t"]: x["c"] for x in with_keyed_prefix_sums(df, ["k"], ["t"], {"c": F.col("v")}).collect()}
+    run = {}
+    for k, t, v in sorted(rows, key=lambda x: x[1]):
+        run[k] = run.get(k, 0) + v
+        assert got[t] == run[k]
+
+
+def test_quantiles_match_numpy(spark):
+    import numpy as np
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", "c"]), r.choice([None, 1.0, 2.5, r.random(), r.random() * 10])) for _ in range(300)] + [("lone", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    shares = [0.0, 0.1, 0.5, 0.99, 1.0]
+    for keys, groups in (([], {None: [v for _, v in rows if v is not None]}), (["k"], {k: [v for q, v in rows if q == k and v is not None] for k in "a b c lone".split()})):
+        linear = {x["k"] if keys else None: [x[f"q{i}"] for i in range(5)] for x in B.quantile_cuts(df, "v", shares, keys).collect()}
+        nearest = {((x["k"] if keys else None), x["share"]): x["value"] for x in B.nearest_quantile(df, "v", shares, keys).collect()}
+        assert set(linear) == set(groups)
+        for k, vs in groups.items():
+            assert np.allclose(linear[k], np.quantile(vs, shares))
+            assert [nearest[k, s] for s in shares] == [sorted(vs)[round(s * (len(vs) - 1))] for s in shares]
+    assert B.quantile_cuts(df.where("v > 100"), "v", [0.5]).first()["q0"] is None
+
+
 def test_permutation_is_a_permutation(spark):
     df = spark.range(50).select("id", (F.col("id") % 3).alias("b"), (F.col("id") * 2).alias("v"))
     rows = Boot.permute_within(df, "v", ["b"], "id", "p").collect()
