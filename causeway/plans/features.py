@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.times import day_number, days_between, micros
 from ..operators.aggregates import crosstab
+from ..operators.asof import asof_backward
 from ..operators.buckets import TENURE_BREAKS, TENURE_LABELS, cut_right, quantile_cuts
 from ..operators.joins import left_with_domain, require_unique
-from ..operators.windows import exclusive_sum, last_before, rolling_prior_sum, rows_since, strict_prior, trailing_days
+from ..operators.ranking import with_keyed_prefix_sums
+from ..operators.windows import exclusive_sum, last_before, rolling_prior_sum, rows_since, trailing_days
 from ..sources.shared import persist_shared
 from .gates import GateError
 
@@ -26,25 +28,44 @@ def prior_action_recency(df: DataFrame, order: Sequence[str] = ("date_sent", "em
     return rows.withColumn("action_in_last_5", F.col("actioned_last_5") >= 1).withColumn("is_in_action_streak", F.col("actioned_last_3") == 3).drop("_a")
 
 
+def _strictly_prior(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """key, _t and the sums over the key's rows at earlier instants: rows of one instant are summed first, and a key's
+    instants may lie in many partitions, so one large mailing isn't one task. Null keys are one key."""
+    by = df.groupBy(key, "_t").agg(*[v.alias(k) for k, v in sums.items()])
+    upto = with_keyed_prefix_sums(by, [key], ["_t"], {f"_upto_{k}": F.col(k) for k in sums})
+    return upto.select(F.col(key).alias("_key"), F.col("_t").alias("_at"), *[(F.col(f"_upto_{k}") - F.col(k)).alias(k) for k in sums])
+
+
+def _with_prior(rows: DataFrame, key: str, prior: DataFrame) -> DataFrame:
+    return rows.join(prior, rows[key].eqNullSafe(prior["_key"]) & (rows["_t"] == prior["_at"])).drop("_key", "_at")
+
+
 def confound_scores(df: DataFrame, at: str = "date_sent") -> DataFrame:
     """The rows with user_prior_engagement_score and email_popularity_score, from strictly earlier instants only."""
-    rows = require_unique(df, ["user_id", "email_id", at]).withColumn("_t", micros(F.col(at)))
-    acted = F.col("actioned_24h").cast("int")
-    n = F.coalesce(strict_prior(F.sum(acted), ["user_id"], "_t"), F.lit(0))
-    sends, acts = (F.coalesce(strict_prior(x, ["email_id"], "_t"), F.lit(0)) for x in (F.count(F.lit(1)), F.sum(acted)))
-    return rows.withColumn("user_prior_engagement_score", F.log1p(n)).withColumn("email_popularity_score", (acts + 1) / (sends + 2)).drop("_t")
+    rows = persist_shared(require_unique(df, ["user_id", "email_id", at]).withColumn("_t", micros(F.col(at))), "confound-rows")
+    acted = F.sum(F.col("actioned_24h").cast("long"))
+    out = _with_prior(rows, "user_id", _strictly_prior(rows, "user_id", {"_user_acts": F.coalesce(acted, F.lit(0))}))
+    out = _with_prior(out, "email_id", _strictly_prior(rows, "email_id", {"_sends": F.count(F.lit(1)), "_acts": F.coalesce(acted, F.lit(0))}))
+    out = out.withColumn("user_prior_engagement_score", F.log1p("_user_acts")).withColumn("email_popularity_score", (F.col("_acts") + 1) / (F.col("_sends") + 2))
+    return out.select(*df.columns, "user_prior_engagement_score", "email_popularity_score")
 
 
-def leak_audit(df: DataFrame, at: str, sample: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """n_checked, max_diff: engagement scores of the sampled users derived anew by aggregation, not by windows.
+def leak_audit(df: DataFrame, at: str, tolerance: float = 1e-9) -> DataFrame:
+    """n_checked, max_diff of both confound scores against scores derived anew, by another way: totals up to each instant
+    are looked up strictly before a row's own by an as-of join.
 
     GateError if a score differs: it then knows its own or a later instant.
     """
-    rows = df.join(sample.select("user_id").distinct(), "user_id", "left_semi").withColumn("_t", micros(F.col(at)))
-    daily = rows.groupBy("user_id", "_t").agg(F.sum(F.col("actioned_24h").cast("int")).alias("n"))
-    prior = daily.alias("a").join(daily.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b._t") < F.col("a._t")), "left")
-    fresh = prior.groupBy(F.col("a.user_id").alias("user_id"), F.col("a._t").alias("_t")).agg(F.log1p(F.coalesce(F.sum("b.n"), F.lit(0))).alias("fresh"))
-    out = rows.join(fresh, ["user_id", "_t"]).agg(F.count(F.lit(1)).alias("n_checked"), F.max(F.abs(F.col("fresh") - F.col("user_prior_engagement_score"))).alias("max_diff"))
+    rows = df.withColumn("_t", micros(F.col(at)))
+    checked = rows
+    for key, n, a in (("user_id", "_n_user", "_a_user"), ("email_id", "_n_email", "_a_email")):
+        steps = rows.where(F.col(key).isNotNull()).groupBy(key, "_t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("actioned_24h").cast("long")).alias("a"))
+        upto = Window.partitionBy(key).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+        totals = steps.select(key, "_t", F.sum("n").over(upto).alias(n), F.sum("a").over(upto).alias(a))
+        checked = asof_backward(checked, totals, [key], "_t", "_t", [n, a], strict=True)
+    engaged, popular = F.log1p(F.coalesce("_a_user", F.lit(0))), (F.coalesce("_a_email", F.lit(0)) + 1) / (F.coalesce("_n_email", F.lit(0)) + 2)
+    diff = F.greatest(F.abs(engaged - F.col("user_prior_engagement_score")), F.abs(popular - F.col("email_popularity_score")))
+    out = persist_shared(checked.agg(F.count(F.lit(1)).alias("n_checked"), F.max(diff).alias("max_diff")), "leak-audit")
     seen = out.first()
     if seen["max_diff"] is not None and seen["max_diff"] > tolerance:
         raise GateError(f"scores look ahead: they differ by up to {seen['max_diff']}")

@@ -49,7 +49,10 @@ def w04(spark, d):
 @query("W05_strict_prior", f"""{_UE} SELECT activity_id, CAST(coalesce(sum(actioned_24h::INT) OVER (PARTITION BY user_id ORDER BY CAST(date_sent AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS BIGINT) AS prior FROM ue""")
 def w05(spark, d):
     ue = user_emails(spark, d).withColumn("day", day_number(F.col("date_sent")))
-    return ue.select("activity_id", F.coalesce(W.strict_prior(F.sum(F.col("actioned_24h").cast("int")), ["user_id"], "day"), F.lit(0)).alias("prior"))
+    # A user's days are few; its rows are not: they are summed by day before the window.
+    daily = ue.groupBy("user_id", "day").agg(F.sum(F.col("actioned_24h").cast("int")).alias("n"))
+    prior = daily.select("user_id", "day", F.coalesce(W.strict_prior(F.sum("n"), ["user_id"], "day"), F.lit(0)).alias("prior"))
+    return ue.join(prior, ["user_id", "day"]).select("activity_id", "prior")
 
 
 _CONF = """RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"""
@@ -225,10 +228,12 @@ def d07(spark, d):
     return X.prior_action_recency(user_emails(spark, d), ["date_sent", "activity_id"]).drop("user_id", "email_id", "date_sent", "n_actions_24h", "actioned_24h")
 
 
-def _rate(c, k):
-    n = f"coalesce((SELECT sum({c}) FROM daily x WHERE x.user_id = r.user_id AND x.day BETWEEN r.day - {k} AND r.day - 1), 0)"
-    s = f"coalesce((SELECT sum(n_sends) FROM daily x WHERE x.user_id = r.user_id AND x.day BETWEEN r.day - {k} AND r.day - 1), 0)"
-    return f"round({n} / ({s} + 1e-9), 6)"
+def _days(c, k):
+    return f"coalesce((SELECT sum({c}) FROM daily x WHERE x.user_id = r.user_id AND x.day BETWEEN r.day - {k} AND r.day - 1), 0)"
+
+
+_RATES = {f"{name}_rate_{k}d": f"round({_days(c, k)} / ({_days('n_sends', k)} + 1e-9), 6)" for name, c in (("action", "n_act"), ("open", "n_opens"), ("click", "n_clicks")) for k in (7, 30, 90)}
+_SINCE = {f"days_since_last_{n}": f"coalesce(day - (SELECT max(day) FROM daily x WHERE x.user_id = r.user_id AND x.day < r.day AND {c} > 0), 999)" for n, c in (("open", "n_opens"), ("click", "n_clicks"))}
 
 
 @query("D09_rfm", f"""{_UE}, ev AS (SELECT user_id, CAST(date_sent AS DATE) AS day, actioned_24h::INT AS n_act, 1 AS n_sends, 0 AS n_opens, 0 AS n_clicks FROM ue
@@ -236,18 +241,21 @@ def _rate(c, k):
     daily AS (SELECT user_id, day, sum(n_act) AS n_act, sum(n_sends) AS n_sends, sum(n_opens) AS n_opens, sum(n_clicks) AS n_clicks FROM ev GROUP BY ALL),
     r AS (SELECT *, CAST(date_sent AS DATE) AS day, coalesce(sum(actioned_24h::INT) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior,
       max(CASE WHEN actioned_24h THEN CAST(date_sent AS DATE) END) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS acted, min(CAST(date_sent AS DATE)) OVER (PARTITION BY user_id) AS first FROM ue)
-    SELECT activity_id, {_rate('n_act', 7)} AS action_rate_7d, {_rate('n_act', 30)} AS action_rate_30d, {_rate('n_opens', 7)} AS open_rate_7d, {_rate('n_clicks', 30)} AS click_rate_30d, round(ln(1 + prior), 6) AS log1p_prior_action_count,
-      coalesce(day - acted, 999) AS days_since_last_action, coalesce(day - (SELECT max(day) FROM daily x WHERE x.user_id = r.user_id AND x.day < r.day AND n_opens > 0), 999) AS days_since_last_open,
-      CASE WHEN day - first <= 7 THEN '0-7d' WHEN day - first <= 30 THEN '8-30d' ELSE '31-90d' END AS tenure_bucket FROM r""")
+    SELECT activity_id, user_id, email_id, date_sent, actioned_24h, {', '.join(f'{v} AS {k}' for k, v in (_RATES | _SINCE).items())}, CAST({_days('n_sends', 30)} AS BIGINT) AS sends_last_30d, round(ln(1 + prior), 6) AS log1p_prior_action_count,
+      coalesce(day - acted, 999) AS days_since_last_action, day - first AS tenure_days, CASE WHEN day - first <= 7 THEN '0-7d' WHEN day - first <= 30 THEN '8-30d' ELSE '31-90d' END AS tenure_bucket FROM r""")
 def d09(spark, d):
     out = X.rfm(user_emails(spark, d), activities(spark, d))
-    return out.select("activity_id", *[F.round(c, 6).alias(c) for c in ("action_rate_7d", "action_rate_30d", "open_rate_7d", "click_rate_30d", "log1p_prior_action_count")], *[F.col(c).cast("long").alias(c) for c in ("days_since_last_action", "days_since_last_open")], "tenure_bucket")
+    long = ["sends_last_30d", "days_since_last_action", "days_since_last_open", "days_since_last_click", "tenure_days"]
+    return out.select("activity_id", "user_id", "email_id", "date_sent", "actioned_24h", *[F.round(c, 6).alias(c) for c in (*_RATES, "log1p_prior_action_count")], *[F.col(c).cast("long").alias(c) for c in long], "tenure_bucket")
 
 
-@query("D10_leak_audit", f"{_UE} SELECT count(*) AS n_checked, 0.0::DOUBLE AS max_diff FROM ue")
+@query("D10_leak_audit", f"""{_UE}, s AS (SELECT *, ln(1 + coalesce(sum(actioned_24h::INT) OVER (PARTITION BY user_id ORDER BY date_sent {_CONF}), 0)) AS e,
+      (coalesce(sum(actioned_24h::INT) OVER (PARTITION BY email_id ORDER BY date_sent {_CONF}), 0) + 1) / (count(*) OVER (PARTITION BY email_id ORDER BY date_sent {_CONF}) + 2) AS p FROM ue),
+    pu AS (SELECT a.activity_id, sum(b.actioned_24h::INT) AS n FROM ue a JOIN ue b ON a.user_id = b.user_id AND b.date_sent < a.date_sent GROUP BY 1),
+    pe AS (SELECT a.activity_id, sum(b.actioned_24h::INT) AS n, count(*) AS c FROM ue a JOIN ue b ON a.email_id = b.email_id AND b.date_sent < a.date_sent GROUP BY 1)
+    SELECT count(*) AS n_checked, round(max(greatest(abs(e - ln(1 + coalesce(pu.n, 0))), abs(p - (coalesce(pe.n, 0) + 1) / (coalesce(pe.c, 0) + 2)))), 9) AS max_diff FROM s LEFT JOIN pu USING (activity_id) LEFT JOIN pe USING (activity_id)""")
 def d10(spark, d):
-    scored = X.confound_scores(user_emails(spark, d))
-    return X.leak_audit(scored, "date_sent", scored).withColumn("max_diff", F.round("max_diff", 9))
+    return X.leak_audit(X.confound_scores(user_emails(spark, d)), "date_sent").withColumn("max_diff", F.round("max_diff", 9))
 
 
 @query("D11_hazard_curve", f"""{_UE}, e AS ({_EPOCH}), g AS (SELECT row_number() OVER (PARTITION BY user_id, ep ORDER BY date_sent, activity_id) - 1 AS lag, actioned_24h FROM e), h AS (SELECT lag, avg(actioned_24h::INT) AS hazard, count(*) AS n FROM g GROUP BY 1)

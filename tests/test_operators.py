@@ -305,9 +305,10 @@ def test_block_apply_bounds_a_group(spark):
 def test_leak_audit_catches_a_leak(spark):
     df = spark.createDataFrame([(1, 1, 1, True), (1, 2, 2, True)], "user_id long, email_id long, day long, actioned_24h boolean").withColumn("date_sent", F.timestamp_seconds(F.col("day") * 86400))
     good = features.confound_scores(df)
-    assert features.leak_audit(good, "date_sent", good).first()["max_diff"] == 0
-    with pytest.raises(gates.GateError):
-        features.leak_audit(good.withColumn("user_prior_engagement_score", F.lit(math.log(2))), "date_sent", good)
+    assert features.leak_audit(good, "date_sent").first()["max_diff"] == 0
+    for score, value in (("user_prior_engagement_score", math.log(2)), ("email_popularity_score", 0.9)):
+        with pytest.raises(gates.GateError):
+            features.leak_audit(good.withColumn(score, F.lit(value)), "date_sent")
 
 
 def test_gates(spark):
