@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,10 +15,31 @@ from pyspark.sql.types import StringType
 WORDS, SENTENCES, SHOUTED = r"\S+", r"[.!?]+", r"\b[A-Z]{3,}\b"
 URGENCY = r"(?i)\b(urgent|today|now|last chance|deadline|hurry|immediate|ending|expires|don'?t miss|act fast|final)\b"
 CALLS = r"(?i)\b(sign|click|donate|act|join|support|vote|contact|share|tell|stand)\b"
-#: Entities that are spelled out, and accented letters with their plain forms.
+#: Entities that are spelled out.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-STOP_WORDS = ("the", "of", "and", "to", "in", "is", "it", "for", "on", "that", "this", "with", "as", "by", "be", "are", "was", "or", "an", "at", "from")
+#: The English stop words of Spark ML's StopWordsRemover that are tokens here (no apostrophes).
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it
+    its itself they them their theirs themselves what which who whom this that these those am is are was were be been
+    being have has had having do does did doing a an the and but if or because as until while of at by for with about
+    against between into through during before after above below to from up down in out on off over under again further
+    then once here there when where why how all any both each few more most other some such no nor not only own same so
+    than too very s t can will just don should now ought cannot could would""".split()
+)
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and their plain forms, then the marks themselves, by Unicode decomposition."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c == c.lower() and len(base) == 1 and base != c:
+            pairs.append((c, base))
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(c for c, _ in pairs) + marks, "".join(p for _, p in pairs)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -90,15 +112,30 @@ def token_estimate(text: Column) -> Column:
 
 
 def tokens(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
-    """Lower-case runs of two or more letters or digits without accents, stop words left out."""
-    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)), lambda t: ~t.isin(list(stop)))
+    """Lower-case runs of two or more letters, digits or underscores without accents, stop words left out."""
+    plain = F.translate(F.lower(text), ACCENTED, PLAIN)  # marks have no plain form and go
+    return F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~t.isin(list(stop)))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row, also where lambdas use it for each element."""
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def grams(words: Column) -> Column:
     """Single tokens and pairs of neighbours."""
-    pairs = F.transform(F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
-    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return once(words, lambda w: F.when(F.size(w) > 1, F.concat(w, pairs(w))).otherwise(w))
+
+
+def counted(items: Column) -> Column:
+    """array<struct<term, tf>> of an array's distinct items, sorted: counted within the row, by where runs of equals begin."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return once(begins, lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - at).cast("long").alias("tf"))))
+
+    return once(F.sort_array(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>")))
 
 
 def bias_score(labels: Column) -> Column:

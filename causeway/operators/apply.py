@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +39,28 @@ def block_apply(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Ca
     return placed.join(starts, same).select(*placed.columns, "_before").groupBy(*keys, "_block").applyInPandas(fn, schema)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each group from batches that are sorted by whole-number keys; holds one group at a time."""
+    held: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        key = np.stack([t.column(c).to_numpy() for c in keys])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if held and any(held[-1].column(c)[-1].as_py() != t.column(c)[0].as_py() for c in keys):
+            yield pa.concat_tables(held)
+            held = []
+        edges = [0, *cuts.tolist(), t.num_rows]
+        for at, end in zip(edges[:-1], edges[1:]):
+            held.append(t.slice(at, end - at))
+            if end < t.num_rows:
+                yield pa.concat_tables(held)
+                held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
 def partition_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """The function over each Arrow batch of each partition."""
 

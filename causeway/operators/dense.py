@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine, norm
 from ..sources.shared import persist_shared
-from .apply import BLOCK_ROWS
+from .apply import BLOCK_ROWS, sorted_groups
 from .ranking import with_row_number
 
+#: Rows of one block of an all-pairs comparison.
+PAIR_ROWS = 1024
+
 
 def dense_top_k(df: DataFrame, vector: str, query: Sequence[float], k: int, least: float, key: str) -> DataFrame:
     """The k rows most similar to one query vector, of at least ``least``: one scan, k rows kept by each task."""
@@ -22,16 +26,81 @@ def dense_top_k(df: DataFrame, vector: str, query: Sequence[float], k: int, leas
     return df.withColumn("similarity", F.round(cosine(F.col(vector), q), 9)).where(F.col("similarity") >= least).orderBy(F.col("similarity").desc(), key).limit(k)
 
 
-def exact_pairs(df: DataFrame, key: str, vector: str, least: float, blocks: int = 8) -> DataFrame:
-    """src < dst, similarity of all pairs with a cosine of at least ``least``.
+def _hits(least: float):
+    """Pairs of a block pair (g, x, y) with a cosine of at least ``least``: side 0 against side 1, side 2 among itself."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, ["g", "x", "y"]):
+            lists = t.column("v").combine_chunks()
+            v = lists.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            size = np.linalg.norm(v, axis=1)
+            v = v / np.where(size == 0, 1.0, size)[:, None]
+            k, side = t.column("k").combine_chunks(), t.column("side").to_numpy()
+            for a, b in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (np.flatnonzero(side == 2),) * 2):
+                if len(a) and len(b):
+                    cos = v[a] @ v[b].T
+                    near = cos >= least
+                    if a is b:
+                        near = np.triu(near, 1)
+                    i, j = np.nonzero(near)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([k.take(pa.array(a[i])), k.take(pa.array(b[j])), pa.array(cos[i, j])], ["a", "b", "similarity"])
+
+    return work
+
+
+def _near(dealt: DataFrame, key: str, least: float) -> DataFrame:
+    """src < dst, similarity of the hits of all block pairs of rows g, x, y, side, k, v."""
+    kind = dict(dealt.dtypes)["k"]
+    met = dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(_hits(least), f"a {kind}, b {kind}, similarity double")
+    return met.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "similarity")
 
-    Rows are dealt into blocks; a task joins two blocks, so the work spreads evenly without a cross join.
+
+def _placed(df: DataFrame, key: str, vector: str, group: Column, block_rows: int) -> DataFrame:
+    """g, k, v, b (the row's block in its group) and n_b, the blocks of the group: as many as its rows ask for."""
+    rows = df.where(F.col(vector).isNotNull()).select(group.cast("long").alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_b"))
+    return rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("n_b")).cast("int"))
+
+
+def exact_pairs(df: DataFrame, key: str, vector: str, least: float, group: Column | None = None, block_rows: int = PAIR_ROWS) -> DataFrame:
+    """src < dst, similarity of all pairs (of a group) with a cosine of at least ``least``.
+
+    Rows are dealt into blocks of about ``block_rows``, however many there are; two blocks meet as matrices in a task,
+    which answers hits only. All pairs are compared: the work grows with the square of the rows. See ``cell_pairs``.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")})
-    l, r = (dealt.select("x", "y", F.col("k").alias(k), F.col("v").alias(v), F.col("b").alias(c)) for k, v, c in (("src", "va", "ba"), ("dst", "vb", "bb")))
-    met = l.join(r, ["x", "y"]).where((F.col("src") < F.col("dst")) & (F.least("ba", "bb") == F.col("x")) & (F.greatest("ba", "bb") == F.col("y")))
-    return met.select("src", "dst", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+    placed = _placed(df, key, vector, F.lit(0) if group is None else group, block_rows)
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1))).withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")})
+    side = F.when(F.col("x") == F.col("y"), 2).when(F.col("b") == F.col("x"), 0).otherwise(1)
+    return _near(dealt.select("g", "x", "y", side.alias("side"), "k", "v"), key, least)
+
+
+def cell_pairs(df: DataFrame, key: str, vector: str, least: float, n_cells: int, n_probe: int, seed: int = 42, sample_rows: int = 500_000, block_rows: int = PAIR_ROWS) -> DataFrame:
+    """src < dst, similarity of pairs of which one lies in one of the ``n_probe`` cells nearest to the other.
+
+    The centers come from a bounded sample, but every row is in the index, in its nearest cell, and every row asks. With
+    cells that grow in number with the rows the work stays near linear; what recall it has is measured in the tests.
+    """
+    centers = np.array(_centers(df, vector, n_cells, seed, sample_rows))
+
+    def nearest_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, centers.shape[1]))
+            far = (centers**2).sum(axis=1)[None, :] - 2 * v @ centers.T
+            order = np.argsort(far, axis=1, kind="stable")[:, :n_probe].astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * order.shape[1], pa.int32()), pa.array(order.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), lists], ["k", "v", "cells"])
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    celled = persist_shared(rows.mapInArrow(nearest_cells, f"k {dict(rows.dtypes)['k']}, v array<double>, cells array<bigint>"), "cells")
+    own = _placed(celled.withColumn("g", F.element_at("cells", 1)), "k", "v", F.col("g"), block_rows)
+    asks = _placed(celled.select("k", "v", F.explode("cells").alias("g")), "k", "v", F.col("g"), block_rows)
+    blocks = own.select("g", "n_b").distinct().join(asks.select("g", F.col("n_b").alias("m_b")).distinct(), "g")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = own.drop("n_b").join(blocks.select("g", "m_b"), "g").select("g", F.col("b").alias("x"), others("m_b").alias("y"), F.lit(0).alias("side"), "k", "v")
+    asking = asks.drop("n_b").join(blocks.select("g", "n_b"), "g").select("g", others("n_b").alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "k", "v")
+    found = _near(members.union(asking), key, least)
+    return found.groupBy("src", "dst").agg(F.max("similarity").alias("similarity"))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -42,16 +111,23 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return kept.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("similarity").alias("similarity"))
 
 
-def cells(df: DataFrame, vector: str, n_cells: int, seed: int = 42, sample_rows: int = 500_000) -> tuple[DataFrame, list[list[float]]]:
-    """The rows with the cell whose center is nearest, and the centers, trained by k-means on a bounded sample."""
+def _centers(df: DataFrame, vector: str, n_cells: int, seed: int, sample_rows: int) -> list[list[float]]:
+    """Centers of k-means on a bounded sample."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    df = df.where(F.col(vector).isNotNull())
     n = df.count()
     sample = df if n <= sample_rows else df.where(F.pmod(F.xxhash64(vector), F.lit(-(-n // sample_rows))) == 0)
-    model = KMeans(k=n_cells, seed=seed, featuresCol="_f", predictionCol="cell").fit(sample.select(array_to_vector(vector).alias("_f")))
-    out = model.transform(df.withColumn("_f", array_to_vector(vector))).drop("_f")
-    return out, [c.tolist() for c in model.clusterCenters()]
+    model = KMeans(k=n_cells, seed=seed, featuresCol="_f").fit(sample.select(array_to_vector(vector).alias("_f")))
+    return [c.tolist() for c in model.clusterCenters()]
+
+
+def cells(df: DataFrame, vector: str, n_cells: int, seed: int = 42, sample_rows: int = 500_000) -> tuple[DataFrame, list[list[float]]]:
+    """The rows with the cell whose center is nearest, and the centers, trained by k-means on a bounded sample."""
+    centers = _centers(df, vector, n_cells, seed, sample_rows)
+    far = F.array(*[F.struct(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)])
+    return df.withColumn("cell", F.when(F.col(vector).isNotNull(), F.array_min(far)["cell"])), centers
 
 
 def probe(celled: DataFrame, centers: list[list[float]], query: Sequence[float], n_probe: int, vector: str, k: int, least: float, key: str) -> DataFrame:
@@ -63,8 +139,7 @@ def probe(celled: DataFrame, centers: list[list[float]], query: Sequence[float],
 
 def pairs_within_cells(celled: DataFrame, key: str, vector: str, least: float) -> DataFrame:
     """src < dst, similarity of pairs of one cell."""
-    l, r = (celled.select("cell", F.col(key).alias(k), F.col(vector).alias(v)) for k, v in (("src", "va"), ("dst", "vb")))
-    return l.join(r, "cell").where("src < dst").select("src", "dst", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+    return exact_pairs(celled, key, vector, least, F.col("cell"))
 
 
 def causal_affinity(rows: DataFrame, vectors: DataFrame, user: str, item: str, order: Sequence[str], acted: str, key: str, shrink: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:

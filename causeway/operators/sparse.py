@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import grams, tokens
+from ..functions.text import STOP_WORDS, counted, grams, once, tokens
 from ..sources.shared import persist_shared
 
 
-def term_counts(df: DataFrame, key: str, text: Column, pairs: bool = True) -> DataFrame:
-    """key, term, tf.
+def term_lists(df: DataFrame, key: str, text: Column, pairs: bool = True, carry: Sequence[str] = (), stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """key, carry, terms: each row's distinct terms with their counts.
 
-    Texts are dealt by key before they are taken apart, so that counting needs no shuffle of the many terms.
+    Counted within the row, so neither texts nor terms are shuffled, and written once for all that reads them. ``key``
+    must tell rows apart.
     """
-    texts = df.select(key, text.alias("_text")).repartition(key)
-    words = tokens(F.col("_text"))
-    return texts.select(key, F.explode(grams(words) if pairs else words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = tokens(text, stop)
+    return persist_shared(df.select(key, *carry, counted(grams(words) if pairs else words).alias("terms")), "term-lists")
+
+
+def in_rows(lists: DataFrame, key: str, *carry: str) -> DataFrame:
+    """key, carry, term, tf: a row for each term."""
+    return lists.select(key, *carry, F.explode("terms").alias("t")).select(key, *carry, "t.*")
 
 
 def normalized(weights: DataFrame, key: str) -> DataFrame:
-    """Weights over the length of each key's vector."""
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.withColumn("weight", F.col("weight") / F.when(length == 0, 1.0).otherwise(length))
+    """Weights over the length of each key's vector: gathered by key once, a vector in a row."""
+    rows = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("v"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return rows.select(key, "length", F.explode("v").alias("t")).select(key, "t.term", (F.col("t.weight") / F.when(F.col("length") == 0, 1.0).otherwise(F.col("length"))).alias("weight"))
 
 
-def tfidf(df: DataFrame, key: str, text: Column, min_df: int = 2, max_df: float = 0.5, most_terms: int | None = None) -> DataFrame:
+def tfidf(df: DataFrame, key: str, text: Column, min_df: int = 2, max_df: float = 0.5, most_terms: int | None = None, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """key, term, weight: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), L2-normalised.
 
     Terms of fewer than ``min_df`` texts or more than the share ``max_df`` are left out, then the most frequent
     ``most_terms`` stay (ties by term).
     """
-    tf = term_counts(df, key, text)
+    tf = in_rows(term_lists(df, key, text, True, (), stop), key)
     n = df.agg(F.count(F.lit(1)).alias("n"))
     vocabulary = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))  # one row
     vocabulary = vocabulary.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
@@ -42,19 +49,25 @@ def tfidf(df: DataFrame, key: str, text: Column, min_df: int = 2, max_df: float
     return normalized(tf.join(vocabulary.select("term", idf.alias("idf")), "term").select(key, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("weight")), key)
 
 
-def bm25(df: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, term, weight: tf / (tf + k1 (1 - b + b length / mean length)), L2-normalised."""
-    tf = term_counts(df, key, text, False)
-    length = tf.groupBy(key).agg(F.sum("tf").alias("length"))
-    mean = length.agg(F.avg("length").alias("mean"))
-    sized = tf.join(length, key).crossJoin(F.broadcast(mean))  # one row
-    return normalized(sized.select(key, "term", (F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("weight")), key)
+def bm25(df: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, carry: Sequence[str] = (), stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """key, carry, term, weight: tf / (tf + k1 (1 - b + b length / mean length)), L2-normalised.
+
+    Only the mean length comes from other rows: all else is worked out within the row. Texts without terms have none.
+    """
+    total = F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + t["tf"])
+    lists = term_lists(df, key, text, False, carry, stop).where(F.size("terms") > 0).withColumn("length", total)
+    mean = lists.agg(F.avg("length").alias("mean"))
+    sized = lists.crossJoin(F.broadcast(mean)).withColumn("_k", k1 * (1 - b + b * F.col("length") / F.col("mean")))  # one row
+    raw = once(F.col("_k"), lambda k: F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["tf"] / (t["tf"] + k)).alias("weight"))))
+    square = F.aggregate("raw", F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"])
+    rows = sized.select(key, *carry, raw.alias("raw")).select(key, *carry, F.sqrt(square).alias("length"), F.explode("raw").alias("t"))
+    return rows.select(key, *carry, "t.term", (F.col("t.weight") / F.col("length")).alias("weight"))
 
 
 def bm25_query(queries: DataFrame, key: str, text: Column, corpus: DataFrame, corpus_key: str) -> DataFrame:
     """key, term, weight: inverse document frequencies of the known terms of each query, summing to 1."""
-    terms = queries.select(key, F.explode(F.array_distinct(tokens(text))).alias("term"))
-    df = corpus.groupBy("term").agg(F.count_distinct(corpus_key).alias("df"))
+    terms = persist_shared(queries.select(key, F.explode(F.array_distinct(tokens(text))).alias("term")), "query-terms")
+    df = corpus.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = corpus.agg(F.count_distinct(corpus_key).alias("n"))
     idf = terms.join(df, "term").crossJoin(F.broadcast(n)).withColumn("weight", F.ln((F.col("n") + 1) / (F.col("df") + 0.5)))  # one row
     return idf.select(key, "term", (F.col("weight") / F.sum("weight").over(Window.partitionBy(key))).alias("weight"))
@@ -62,8 +75,9 @@ def bm25_query(queries: DataFrame, key: str, text: Column, corpus: DataFrame, co
 
 def tf_query(queries: DataFrame, key: str, text: Column, vocabulary: DataFrame) -> DataFrame:
     """key, term, weight: 1 + ln tf of the vocabulary's terms, L2-normalised, without corpus idf."""
-    tf = term_counts(queries, key, text).join(vocabulary.select("term").distinct(), "term", "left_semi")
-    return normalized(tf.select(key, "term", (1 + F.ln("tf")).alias("weight")), key)
+    tf = in_rows(term_lists(queries, key, text), key)
+    known = vocabulary.join(tf.select("term").distinct(), "term", "left_semi").select("term").distinct()
+    return normalized(tf.join(known, "term", "left_semi").select(key, "term", (1 + F.ln("tf")).alias("weight")), key)
 
 
 def sparse_top_k(queries: DataFrame, query_key: str, docs: DataFrame, key: str, k: int, least: float) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.text import ACCENTED, PLAIN, STOP_WORDS
+from ..functions.text import STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-TOKENS = f"list_filter(regexp_extract_all(translate(lower({{0}}), '{ACCENTED}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]{{{{2,}}}}'), lambda x: x NOT IN ({_STOP}))"
+TOKENS = f"list_filter(regexp_extract_all(strip_accents(lower({{0}})), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}'), lambda x: x NOT IN ({_STOP}))"
 
 
 def tfidf_sql(table: str, key: str, text: str, min_df: int, max_df: float) -> str:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import pytest
@@ -259,6 +260,36 @@ def test_exact_pairs_each_once(spark):
     assert len(rows) == len(set(rows)) == 25 * 24 // 2
 
 
+def test_exact_pairs_of_many_blocks_and_groups(spark):
+    r = random.Random(1)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], i % 2) for i in range(60)] + [(60, [0.0] * 4, 0), (61, None, 0)]
+    df = spark.createDataFrame(rows, "k long, v array<float>, g int")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.dist(a, [0] * 4) or 1) / (math.dist(b, [0] * 4) or 1)
+    for group in (None, F.col("g")):
+        want = {(a, b) for a, v, g in rows for b, w, h in rows if a < b and v and w and cos(v, w) >= 0.4 and (group is None or g == h)}
+        got = [(x["src"], x["dst"]) for x in exact_pairs(df, "k", "v", 0.4, group, block_rows=7).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cells_find_nine_tenths_of_all_pairs(spark):
+    """Recall of the cell graph against all pairs: on clustered vectors with blocks smaller than cells, and on the tables."""
+    from causeway.operators.dense import cell_pairs
+    from causeway.plans.q_text import cells_for
+
+    r = random.Random(6)
+    centers = [[r.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    rows = [(i, [c + r.gauss(0, 0.5) for c in centers[i % 20]]) for i in range(800)]
+    tables = [spark.createDataFrame(rows, "k long, v array<double>").repartition(3)]
+    if os.path.isdir("/root/testdata/sf0.01"):
+        tables.append(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS k", "embedding AS v"))
+    for df, least in zip(tables, (0.6, 0.5)):
+        want = {(x["src"], x["dst"]) for x in exact_pairs(df, "k", "v", least).collect()}
+        got = [(x["src"], x["dst"]) for x in cell_pairs(df, "k", "v", least, *cells_for(df.count()), block_rows=30).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want
+        print("recall", len(got) / len(want), "of", len(want))
+        assert len(got) >= 0.9 * len(want)
+
+
 def test_causal_affinity_uses_earlier_rows_only(spark):
     rows = spark.createDataFrame([(1, 1, 0, 1, True), (2, 1, 1, 2, False), (3, 1, 0, 3, False)], "i long, u long, e long, t long, a boolean")
     vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "e long, vector array<double>")
