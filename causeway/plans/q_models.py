@@ -158,11 +158,17 @@ def m21(spark, d):
     return E.kaplan_meier(t, "time", "event").withColumn("survival", F.round("survival", 6))
 
 
-@query("M22_prediction_equivalence", "SELECT count(*) AS n_a, count(*) AS n_b, count(*) AS n_both, true AS equal FROM customer")
+@query("M22_prediction_equivalence", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS s FROM customer), b AS (SELECT c_custkey AS k, c_acctbal * 1.0000001::DOUBLE AS s, c_nationkey FROM customer),
+    j AS (SELECT 'near' AS kind, a.s AS x, b.s AS y, a.k AS ka, b.k AS kb FROM a FULL JOIN b USING (k) UNION ALL SELECT 'partial', a.s, c.s, a.k, c.k FROM a FULL JOIN (SELECT * FROM b WHERE c_nationkey > 2) c USING (k)
+      UNION ALL SELECT 'noisy', a.s, c.s, a.k, c.k FROM a FULL JOIN (SELECT k, s + c_nationkey * 10 AS s FROM b) c USING (k))
+    SELECT kind, count(x) AS n_a, count(y) AS n_b, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_both, count(x) = count(y) AND count(x) = count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AND coalesce(corr(x, y), 1) >= 0.99999 AS equal FROM j GROUP BY 1""")
 def m22(spark, d):
     c = table(spark, d, "customer")
-    a, b = c.select("c_custkey", F.col("c_acctbal").alias("s")), c.select("c_custkey", (F.col("c_acctbal") * 1.0000001).alias("s"))
-    return M.compare_predictions(a, b, ["c_custkey"], "s").select("n_a", "n_b", "n_both", "equal")
+    a = c.select("c_custkey", F.col("c_acctbal").alias("s"))
+    b = c.select("c_custkey", (F.col("c_acctbal") * 1.0000001).alias("s"), "c_nationkey")
+    others = {"near": b, "partial": b.where("c_nationkey > 2"), "noisy": b.withColumn("s", F.col("s") + F.col("c_nationkey") * 10)}
+    out = [M.compare_predictions(a, o.select("c_custkey", "s"), ["c_custkey"], "s").select(F.lit(k).alias("kind"), "n_a", "n_b", "n_both", "equal") for k, o in others.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("M24_profile", """SELECT 'c_acctbal' AS "column", count(c_acctbal)::DOUBLE AS n, (count(*) - count(c_acctbal))::DOUBLE AS n_null, round(avg(c_acctbal), 4) AS mean, round(stddev_pop(c_acctbal), 4) AS std, min(c_acctbal) AS low, median(c_acctbal) AS p50, max(c_acctbal) AS high, round(corr(c_acctbal, c_nationkey), 6) AS corr FROM customer
@@ -189,19 +195,20 @@ def q02(spark, d):
     return G.one_to_one_gate(o, o.join(c, o["o_custkey"] == c["c_custkey"], "left"), ["o_orderkey"], "c_name", ["c_mktsegment"])
 
 
-@query("Q03_coverage", """SELECT count(*) FILTER (lang = 'en') AS n_scope, count(*) FILTER (lang = 'en' AND l.doc_id IS NOT NULL) AS n_found, count(*) FILTER (lang = 'en' AND l.doc_id IS NOT NULL) / count(*) FILTER (lang = 'en') AS share, 'ABORT' AS verdict
+@query("Q03_coverage", """SELECT count(*) FILTER (lang = 'en') AS n_scope, count(*) FILTER (lang = 'en' AND l.doc_id IS NOT NULL) AS n_found, count(*) FILTER (lang = 'en' AND l.doc_id IS NOT NULL) / count(*) FILTER (lang = 'en') AS share,
+    CASE WHEN count(*) FILTER (lang = 'en') = 0 THEN 'SKIP' WHEN count(*) FILTER (lang = 'en' AND l.doc_id IS NOT NULL) / count(*) FILTER (lang = 'en') < 0.95 THEN 'ABORT' WHEN count(*) FILTER (lang = 'en' AND l.doc_id IS NOT NULL) / count(*) FILTER (lang = 'en') < 0.99 THEN 'WARN' ELSE 'OK' END AS verdict
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def q03(spark, d):
     j = table(spark, d, "documents").join(table(spark, d, "labels").withColumn("m", F.lit(1)), "doc_id", "left")
     return G.coverage_gate(j, F.col("lang") == "en", F.col("m").isNotNull(), 0.99, 0.95)
 
 
-@query("Q04_missing_categories", "SELECT 'bounce' AS event_type")
+@query("Q04_missing_categories", "SELECT v AS event_type FROM (VALUES ('view'), ('click'), ('bounce'), ('open')) t(v) WHERE v NOT IN (SELECT event_type FROM events WHERE event_type IS NOT NULL)")
 def q04(spark, d):
-    return G.missing_categories(table(spark, d, "events"), "event_type", ["view", "click", "bounce"])
+    return G.missing_categories(table(spark, d, "events"), "event_type", ["view", "click", "bounce", "open"])
 
 
-@query("Q05_key_audit", "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys, 0::BIGINT AS n_null_keys, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_duplicates FROM lineitem")
+@query("Q05_key_audit", "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys, count(*) FILTER (l_orderkey IS NULL OR l_linenumber IS NULL) AS n_null_keys, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_duplicates FROM lineitem")
 def q05(spark, d):
     return G.key_audit(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 

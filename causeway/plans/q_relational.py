@@ -329,7 +329,7 @@ def k05(spark, d):
     return top.unionByName(r.orderBy("rate", "email_id").limit(10).withColumn("side", F.lit("bottom")))
 
 
-@query("K06_exact_sample")
+@query("K06_exact_sample", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 500")
 def k06(spark, d):
     return Accessor(table(spark, d, "orders"), "o_orderkey", "o_orderdate").sample_rows(500).select("o_orderkey")
 

@@ -63,12 +63,12 @@ def s07(spark, d):
     return L.read_jsonl(spark, path, "n_nationkey int, n_name string")
 
 
-@query("S08_ledger", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (1, 2)")
+@query("S08_ledger", "SELECT c_custkey, c_name FROM customer")
 def s08(spark, d):
     path, schema = _root(spark, "ledger"), T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType())])
     c = table(spark, d, "customer")
-    for nation in (1, 2):
-        L.append_rows(c.where(F.col("c_nationkey") == nation).select("c_custkey", "c_name"), path, "causeway")
+    for part in (0, 1):  # two appends
+        L.append_rows(c.where(F.col("c_nationkey") % 2 == part).select("c_custkey", "c_name"), path, "causeway")
     return L.read_ledger(spark, path, schema)
 
 
@@ -79,9 +79,11 @@ def s08b(spark, d):
     return L.read_together(spark, root, "runs")
 
 
-@query("S12_rows_to_table", "SELECT 1::BIGINT AS id, 'a' AS tag UNION ALL SELECT 2, NULL")
+@query("S12_rows_to_table", "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 3 = 2 THEN n_name END AS tag, n_regionkey::BIGINT AS region FROM nation")
 def s12(spark, d):
-    return R.rows_to_table(spark, [{"id": 1, "tag": "a"}, {"id": 2}])
+    rows = table(spark, d, "nation").collect()  # 25 rows: the documents of a client, of which most lack a field
+    said = [{"id": r["n_nationkey"], "in": {"region": r["n_regionkey"]}} | ({"tag": r["n_name"]} if r["n_nationkey"] % 3 == 2 else {}) for r in rows]
+    return R.rows_to_table(spark, said).select("id", "tag", F.col("in.region").alias("region"))
 
 
 @query("S13_vector_store_query", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS s FROM embeddings, q)

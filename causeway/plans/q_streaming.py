@@ -20,9 +20,14 @@ def t01(spark, d):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("T02_session_stream")
+@query("T02_session_stream", """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+    g AS (SELECT user_id, ts, sum((p IS NULL OR ts - p > INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+    s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM g GROUP BY user_id, k)
+    SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS stop, n FROM s WHERE b <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def t02(spark, d):
-    return S.run_to_table(lambda: S.session_counts(_stream(spark, d), "ts", "30 minutes", ["user_id"]), "sessions")
+    out = S.run_to_table(lambda: S.session_counts(_stream(spark, d), "ts", "30 minutes", ["user_id"]), "sessions")
+    said = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return out.select("user_id", said("start").alias("start"), said("end").alias("stop"), "n")
 
 
 @query("T03_dedup_stream", "SELECT event_id, user_id FROM events")

@@ -52,7 +52,13 @@ def x04(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
-@query("X05_html_parser")
+_VISIBLE = "string_split_regex(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '<s>', 'g'), '(?is)<style[^>]*>.*?</style>', '<s>', 'g'), '<[^>]*>')"
+_PLAIN = "x"
+for _e, _c in ({"&copy;": "©", "&middot;": "·"} | X.ENTITIES).items():  # those of the pages
+    _PLAIN = "replace({}, '{}', '{}')".format(_PLAIN, _e, (_c if _e != "&nbsp;" else "\xa0").replace("'", "''"))
+
+
+@query("X05_html_parser", rf"SELECT page_id, substring(array_to_string(list_filter(list_transform({_VISIBLE}, lambda x: regexp_replace(regexp_replace({_PLAIN}, '^[\s\x{{{{A0}}}}]+', ''), '[\s\x{{{{A0}}}}]+$', '')), lambda x: x <> ''), ' '), 1, 32000) AS text FROM pages".replace("{{", "{").replace("}}", "}"))
 def x05(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_visible_text("html").alias("text"))
 
@@ -307,9 +313,12 @@ def v16(spark, d):
     return D.nearest(D.pairs_within_cells(celled, "vec_id", "embedding", 0.3), 3)
 
 
-@query("V17_components")
+@query("V17_components", """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) >= 0.45),
+    r AS (SELECT a AS n, a AS c FROM e UNION SELECT b, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.n = e.a), l AS (SELECT n, min(c) AS c FROM r GROUP BY n), s AS (SELECT c, count(*) AS n FROM l GROUP BY c)
+    SELECT CAST(sum(n) AS BIGINT) AS n_nodes, count(*) AS n_components, max(n) / sum(n) AS share FROM s""")
 def v17(spark, d):
-    edges = D.exact_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
+    edges = D.exact_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.45)
     return G.largest_component_share(edges, "src", "dst")
 
 

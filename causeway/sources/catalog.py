@@ -11,7 +11,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 
 @dataclass
@@ -111,7 +110,7 @@ class Accessor:
 
     def sample_rows(self, n: int, seed: int = 42) -> DataFrame:
         """Exactly n rows (or all): those whose keys hash lowest."""
-        return self.df.orderBy(F.xxhash64(F.lit(seed), self.key), self.key).limit(n)
+        return self.df.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(self.key).cast("string")).cast("binary")), self.key).limit(n)
 
     def sample_keys(self, key: str, percent: int) -> DataFrame:
         """All rows of the keys with ``key mod 100`` below the percentage: no key is torn apart."""
@@ -153,12 +152,13 @@ class ResultCache:
     root: str
 
     def get_or_make(self, fingerprint: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The kept result, or a new one. Only a finished write, marked by _SUCCESS, counts as kept; a result that can't
+        be read is an error, not a reason to overwrite it."""
         path = f"{self.root.rstrip('/')}/{fingerprint}"
-        try:
-            return self.spark.read.parquet(path)
-        except AnalysisException:
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker):
             make().write.mode("overwrite").parquet(path)
-            return self.spark.read.parquet(path)
+        return self.spark.read.parquet(path)
 
 
 def file_audit(spark: SparkSession, path: str, bands: dict[str, tuple[int, int]]) -> DataFrame:

@@ -29,12 +29,10 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def append_rows(df: DataFrame, path: str, manager: str) -> None:
-    """Append rows; the first append writes the header line too. Each append is one committed write."""
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        spark.createDataFrame([(manager, "1")], f"{MANAGER} string, schema_version string").coalesce(1).write.json(path)
-    df.write.mode("append").json(path)
+    """Append rows; each append is one committed write that brings its own header line, so writers that start a ledger
+    together need no turn: readers leave all headers out."""
+    header = df.sparkSession.createDataFrame([(manager, "1")], f"{MANAGER} string, schema_version string")
+    df.unionByName(header, allowMissingColumns=True).write.mode("append").json(path)
 
 
 def append_together(frames: Mapping[str, DataFrame], root: str) -> str:

@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def month_windows(end: date, months: int) -> list[tuple[date, date]]:
@@ -57,29 +58,42 @@ class Documents:
 
 
 def rows_to_table(spark: SparkSession, rows: list[Mapping[str, Any]]) -> DataFrame:
-    """A table of nested rows; every row takes part in finding the schema."""
+    """A table of nested rows; every row takes part in finding the schema. The rows are the caller's own, on the driver."""
     import json
 
-    lines = spark.createDataFrame([(json.dumps(dict(r), default=str),) for r in rows], "value string")
-    return spark.read.option("samplingRatio", "1.0").json(lines.rdd.map(lambda r: r[0]))
+    if not rows:
+        return spark.createDataFrame([], T.StructType([]))
+    lines = [json.dumps(dict(r), default=str) for r in rows]
+    kinds = spark.range(1).select(F.schema_of_json(F.lit("[" + ",".join(lines) + "]")).alias("s")).first()["s"]  # one array of them all
+    row = T._parse_datatype_string(kinds.removeprefix("ARRAY<").removesuffix(">"))
+    parsed = spark.createDataFrame([(x,) for x in lines], "value string").select(F.from_json("value", row).alias("r"))
+    return parsed.select("r.*")
 
 
-def call_service(df: DataFrame, column: str, call: Callable[[list], list], schema: str, batch: int = 500, retries: int = 3) -> DataFrame:
-    """``result`` of a service for each row, batched within partitions; a failing batch is retried, then null."""
+def call_service(df: DataFrame, column: str, call: Callable[[list], list], schema: str, batch: int = 500, retries: int = 3, strict: bool = False) -> DataFrame:
+    """``result`` and ``error`` of a service for each row, batched within partitions.
+
+    A failing batch is retried; if it fails to the last its rows have a null result and the error that was met, or with
+    ``strict`` the task fails.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
+            out, errors = [], []
             for at in range(0, len(f), batch):
                 values = f[column].iloc[at : at + batch].tolist()
                 for attempt in range(retries):
                     try:
                         out += call(values)
+                        errors += [None] * len(values)
                         break
-                    except Exception:
+                    except Exception as e:
                         if attempt == retries - 1:
+                            if strict:
+                                raise
                             out += [None] * len(values)
-            yield f.assign(result=out)
+                            errors += [f"{type(e).__name__}: {e}"] * len(values)
+            yield f.assign(result=out, error=errors)
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(work, f"{names}, result {schema}")
+    return df.mapInPandas(work, f"{names}, result {schema}, error string")

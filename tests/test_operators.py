@@ -282,7 +282,7 @@ def test_cells_find_nine_tenths_of_all_pairs(spark):
     tables = [spark.createDataFrame(rows, "k long, v array<double>").repartition(3)]
     if os.path.isdir("/root/testdata/sf0.01"):
         tables.append(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS k", "embedding AS v"))
-    for df, least in zip(tables, (0.6, 0.5)):
+    for df, least in zip(tables, (0.6, 0.4)):
         want = {(x["src"], x["dst"]) for x in exact_pairs(df, "k", "v", least).collect()}
         got = [(x["src"], x["dst"]) for x in cell_pairs(df, "k", "v", least, *cells_for(df.count()), block_rows=30).collect()]
         assert len(got) == len(set(got)) and set(got) <= want

@@ -71,7 +71,39 @@ def test_month_windows():
 
 def test_failing_service_gives_null(spark):
     calls = remote.call_service(spark.range(4), "id", lambda xs: 1 / 0, "double", batch=2, retries=2)
-    assert [r["result"] for r in calls.collect()] == [None] * 4
+    assert [(r["result"], r["error"]) for r in calls.collect()] == [(None, "ZeroDivisionError: division by zero")] * 4
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        remote.call_service(spark.range(4), "id", lambda xs: 1 / 0, "double", strict=True).collect()
+
+
+def test_rows_to_table_sees_every_row(spark):
+    rows = [{"id": 1}, {"id": 2, "tag": "a", "deep": {"x": [1, 2]}}, {"id": 2**40, "deep": {"y": 0.5}}]
+    got = remote.rows_to_table(spark, rows).orderBy("id").collect()
+    assert [(r["id"], r["tag"]) for r in got] == [(1, None), (2, "a"), (2**40, None)] and got[1]["deep"]["x"] == [1, 2] and got[2]["deep"]["y"] == 0.5
+    assert remote.rows_to_table(spark, []).count() == 0
+
+
+def test_result_cache_keeps_finished_results_only(spark, tmp_path):
+    cache = catalog.ResultCache(spark, str(tmp_path))
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert cache.get_or_make("f", make).count() == cache.get_or_make("f", make).count() == 3 and len(made) == 1
+    (tmp_path / "f" / "_SUCCESS").unlink()
+    assert cache.get_or_make("f", make).count() == 3 and len(made) == 2
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from causeway.sources.shared import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
 
 
 def test_chunked_job_resumes(spark, tmp_path):
