@@ -3,34 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import quarter_label
 from ..operators.buckets import equal_chunks, quantile_cuts
 from ..operators.evaluation import auc
-from ..operators.ranking import with_average_rank
+from ..operators.ranking import with_keyed_prefix_sums
+from ..sources.shared import persist_shared
 
 
-def _vector(df: DataFrame, features: Sequence[str], scaled: bool) -> DataFrame:
-    out = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip").transform(df)
-    if not scaled:
-        return out.withColumnRenamed("_raw", "_x")
-    return StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(out).transform(out).drop("_raw")
+def _vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip").transform(df)
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(rows with score, feature coefficients ranked by size) of a standardised, L2-penalised logistic regression."""
-    rows = _vector(df, features, True)
-    n = rows.count()
-    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / (c * max(n, 1)), maxIter=100, standardization=False).fit(rows)
-    scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+def fit_logistic(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with score, feature coefficients ranked by size) of a standardised, L2-penalised logistic regression.
+
+    Means and deviations are those of the training rows; the rows scored are ``test`` where it is given, else those
+    trained on.
+    """
+    rows = _vector(df, features)
+    scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(rows)
+    rows = scaler.transform(rows)
+    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / (c * max(rows.count(), 1)), maxIter=100, tol=1e-9, standardization=False).fit(rows)
+    some = rows if test is None else scaler.transform(_vector(test, features))
+    scored = model.transform(some).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "_raw")
     coef = sorted(((f, float(w)) for f, w in zip(features, model.coefficients)), key=lambda x: (-abs(x[1]), x[0]))
     return scored, df.sparkSession.createDataFrame([(i + 1, f, w) for i, (f, w) in enumerate(coef)], "place int, feature string, coefficient double")
 
@@ -54,76 +60,121 @@ def robust_intervals(scored: DataFrame, label: str, cluster: str, features: Sequ
     return scored.sparkSession.createDataFrame(out, "feature string, coefficient double, low double, high double")
 
 
-def fit_gbt(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows with raw and score, normalised feature importances by rank) of boosted trees."""
-    rows = _vector(df, features, False)
+def fit_gbt(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with raw and score, normalised feature importances by rank) of boosted trees; rows as in ``fit_logistic``."""
+    rows = _vector(df, features).withColumnRenamed("_raw", "_x")
     model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
     raw = vector_to_array("rawPrediction")[1]
-    scored = model.transform(rows).withColumn("raw", 2 * raw).withColumn("score", 1 / (1 + F.exp(-F.col("raw")))).drop("rawPrediction", "probability", "prediction")
+    some = rows if test is None else _vector(test, features).withColumnRenamed("_raw", "_x")
+    scored = model.transform(some).withColumn("raw", 2 * raw).withColumn("score", 1 / (1 + F.exp(-F.col("raw")))).drop("rawPrediction", "probability", "prediction")
     gains = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
     return scored, df.sparkSession.createDataFrame([(i + 1, f, g) for i, (f, g) in enumerate(gains)], "place int, feature string, importance double")
 
 
 def ridge_cv(df: DataFrame, features: Sequence[str], target: str, key: str, folds: int = 5, alpha: float = 1.0, seed: int = 42) -> DataFrame:
     """fold, r2: ridge regression on hash folds of the key; rows keep their fold in every run."""
-    rows = _vector(df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")), features, True).persist()
+    rows = _vector(df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")), features)
+    rows = persist_shared(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(rows).transform(rows).select("fold", target, vector_to_array("_x").alias("_a")), "ridge-rows")
+    rows = rows.withColumn("_x", array_to_vector("_a"))
+    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = []
     for k in range(folds):
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        model = LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha / max(train.count(), 1), elasticNetParam=0.0, standardization=False).fit(train)
+        left = sum(n for f, n in sizes.items() if f != k)
+        model = LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha / max(left, 1), elasticNetParam=0.0, standardization=False).fit(train)
         pred = model.transform(test)
         mean = pred.agg(F.avg(target).alias("m"))
         e = pred.crossJoin(F.broadcast(mean)).agg(F.sum((F.col(target) - F.col("prediction")) ** 2), F.sum((F.col(target) - F.col("m")) ** 2)).first()  # mean is one row
         out.append((k, 1 - e[0] / e[1] if e[1] else None))
-    rows.unpersist()
     return df.sparkSession.createDataFrame(out, "fold int, r2 double")
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares increasing steps: (x of each block's start, value), by pooling adjacent violators."""
-    order = np.argsort(x, kind="stable")
-    x, y, w = x[order], y[order], w[order]
-    first: list[float] = []
+def isotonic_fit(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Least-squares increasing values of y in its order, by pooling adjacent violators."""
     value: list[float] = []
     weight: list[float] = []
-    for a, b, c in zip(x, y, w):
-        first.append(a)
-        value.append(b)
-        weight.append(c)
+    size: list[int] = []
+    for b, c in zip(y, w):
+        value.append(float(b))
+        weight.append(float(c))
+        size.append(1)
         while len(value) > 1 and value[-2] >= value[-1]:
             t = weight[-2] + weight[-1]
-            value[-2] = (value[-2] * weight[-2] + value[-1] * weight[-1]) / t
-            weight[-2] = t
-            first.pop()
-            value.pop()
-            weight.pop()
-    return np.array(first), np.array(value)
+            value[-2:] = [(value[-2] * weight[-2] + value[-1] * weight[-1]) / t]
+            weight[-2:] = [t]
+            size[-2:] = [size[-2] + size[-1]]
+    return np.repeat(value, size)
 
 
-def isotonic_residuals(df: DataFrame, score: str, confound: str, cluster: str, key: str, bins: int = 1000, seed: int = 42) -> DataFrame:
-    """key, residual: the score less an increasing function of the confound's rank, fitted on the other half.
+def isotonic_residuals(df: DataFrame, score: str, confounds: Sequence[str], key: str, bins: int = 1000, seed: int = 42, cross_fit: bool = True) -> DataFrame:
+    """key, residual: the score less increasing functions of the confounds' ranks, one after another.
 
-    Halves are split by a hash of the cluster. The function is fitted on at most ``bins`` means of the rank, which is
-    all that the driver sees; the residuals are joined back by bin.
+    Rows fall into halves by a hash of the key; ranks, ties at their mean, are shares of the half. In each half the score
+    is fitted on the first confound, what is left on the next, and so on; a row's residual takes the functions of the
+    other half (without ``cross_fit`` there is one half, fitted on itself). Functions are fitted on at most ``bins`` means
+    by rank, all that the driver sees, and are linear between them; rows without a confound or score are left out.
+    """
+    half = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2 if cross_fit else 1)).cast("int")
+    whole = df.select(key, half.alias("_half"), F.col(score).cast("double").alias("_s"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(confounds)]).dropna()
+    rows = persist_shared(whole, "isotonic-rows")
+    n = {r["_half"]: r["n"] for r in rows.groupBy("_half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for i in range(len(confounds)):
+        ties = rows.groupBy("_half", f"_c{i}").agg(F.count(F.lit(1)).alias("_n"))
+        upto = with_keyed_prefix_sums(ties, ["_half"], [f"_c{i}"], {"_upto": F.col("_n")})
+        size = F.element_at(F.create_map(*[F.lit(x) for h, k in n.items() for x in (h, k)]), F.col("_half")) if n else F.lit(1)
+        ranks = upto.select("_half", f"_c{i}", ((F.col("_upto") - (F.col("_n") - 1) / 2) / size).alias(f"_r{i}"))
+        rows = rows.join(ranks, ["_half", f"_c{i}"])
+    rows = persist_shared(rows.withColumns({"_fit": F.col("_s"), "_apply": F.col("_s")}), "isotonic-ranks")
+    for i in range(len(confounds)):
+        by = rows.groupBy("_half", F.floor(F.col(f"_r{i}") * bins).alias("_bin")).agg(F.avg(f"_r{i}").alias("x"), F.avg("_fit").alias("y"), F.count(F.lit(1)).alias("w"))
+        means = by.toPandas().sort_values(["_half", "x"])  # 2 * bins rows
+        curves = {int(h): (g["x"].to_numpy(), isotonic_fit(g["y"].to_numpy(), g["w"].to_numpy(float))) for h, g in means.groupby("_half")}
+        fitted = _curve_values(curves)
+        other = (1 - F.col("_half")) if cross_fit else F.col("_half")
+        rows = rows.withColumns({"_fit": F.col("_fit") - fitted(F.col("_half"), F.col(f"_r{i}")), "_apply": F.col("_apply") - fitted(other, F.col(f"_r{i}"))})
+    return rows.select(key, F.col("_apply").alias("residual"))
+
+
+def _curve_values(curves: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """A function of (half, rank) that is linear between the points of the half's curve and flat beyond its ends."""
+
+    @F.pandas_udf("double")
+    def fitted(halves: pd.Series, ranks: pd.Series) -> pd.Series:
+        out = np.zeros(len(ranks))
+        for h, (x, y) in curves.items():
+            here = (halves == h).to_numpy()
+            out[here] = np.interp(ranks[here], x, y)
+        return pd.Series(out)
+
+    return fitted
+
+
+def score_folds(df: DataFrame, at: str, features: Sequence[str], label: str, kind: str = "logistic", most_folds: int = 4, **options) -> tuple[DataFrame, DataFrame]:
+    """(test rows with fold and score, coefficients or importances by fold) of walk-forward folds.
+
+    Each quarter but the first is tested on by a model of all earlier ones; of many quarters ``most_folds`` evenly spaced
+    ones are taken. Folds whose training rows have one label only are left out. Each fold is one fit of a Spark model.
     """
-    half = F.pmod(F.xxhash64(F.lit(seed), cluster), F.lit(2)).cast("int")
-    n = df.where(F.col(confound).isNotNull()).count()
-    ranked = with_average_rank(df.where(F.col(confound).isNotNull()), confound, "_rank")
-    rows = ranked.withColumn("_half", half).withColumn("_bin", F.floor((F.col("_rank") - 0.5) / max(n, 1) * bins).cast("int"))
-    means = rows.groupBy("_half", "_bin").agg(F.avg(score).alias("y"), F.count(F.lit(1)).alias("w")).toPandas()
-    fitted = []
-    for h in (0, 1):
-        other = means[means["_half"] != h]
-        if len(other):
-            at, value = isotonic(other["_bin"].to_numpy(float), other["y"].to_numpy(), other["w"].to_numpy(float))
-            fitted += [(h, b, float(value[max(0, np.searchsorted(at, b, side="right") - 1)])) for b in range(bins)]
-    curve = df.sparkSession.createDataFrame(pd.DataFrame(fitted or [(0, -1, 0.0)], columns=["_half", "_bin", "_fit"])).selectExpr("int(_half) _half", "int(_bin) _bin", "_fit")
-    return rows.join(F.broadcast(curve), ["_half", "_bin"], "left").select(key, (F.col(score) - F.coalesce("_fit", F.lit(0.0))).alias("residual"))  # 2 * bins rows
+    rows = persist_shared(df.withColumn("fold", quarter_label(F.col(at))).dropna(subset=[*features, label]), "fold-rows")
+    quarters = sorted(r["fold"] for r in rows.select("fold").distinct().collect())[1:]
+    take = sorted({round(i * (len(quarters) - 1) / max(most_folds - 1, 1)) for i in range(min(most_folds, len(quarters)))})
+    scored, told = [], []
+    for fold in (quarters[i] for i in take):
+        train, test = rows.where(F.col("fold") < fold), rows.where(F.col("fold") == fold)
+        if len(train.select(label).distinct().head(2)) < 2:
+            continue
+        fit = fit_logistic if kind == "logistic" else fit_gbt
+        s, t = fit(train, features, label, test=test, **options)
+        scored.append(s)
+        told.append(t.withColumn("fold", F.lit(fold)))
+    if not scored:
+        raise ValueError("no fold has both labels before it")
+    return reduce(DataFrame.unionByName, scored), reduce(DataFrame.unionByName, told)
 
 
 def residual_slices(df: DataFrame, features: Sequence[str], loss: str, least_rows: int = 1000, depth: int = 3, lift: float = 1.10) -> DataFrame:
     """rule, n, mean_loss of the leaves of a shallow tree whose mean loss is ``lift`` times the overall one or more."""
-    rows = _vector(df, features, False)
+    rows = _vector(df, features).withColumnRenamed("_raw", "_x")
     model = DecisionTreeRegressor(featuresCol="_x", labelCol=loss, maxDepth=depth, minInstancesPerNode=least_rows).fit(rows)
     overall = df.agg(F.avg(loss)).first()[0] or 0.0
     rules: list[tuple[str, float]] = []
@@ -157,13 +208,12 @@ def temporal_auc(df: DataFrame, features: Sequence[str], label: str, at: str, sh
     """feature, auc on the rows behind the time's ``share`` quantile: each feature alone, then all together."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     cut = quantile_cuts(df.select(micros.alias("_t")), "_t", [share]).first()["q0"]
-    train, test = df.where(micros <= cut), df.where(micros > cut)
-    out = [(f, auc(test, f, label).first()["auc"]) for f in features]
-    rows = _vector(train, features, False)
-    model = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=50).fit(rows)
-    scored = model.transform(_vector(test, features, False)).withColumn("score", vector_to_array("probability")[1])
-    out.append(("all", auc(scored, "score", label).first()["auc"]))
-    return df.sparkSession.createDataFrame(out, "feature string, auc double")
+    placed = persist_shared(df.withColumn("_late", micros > cut), "temporal-rows")
+    train, test = placed.where(~F.col("_late")), placed.where("_late")
+    found = [auc(test, f, label).select(F.lit(f).alias("feature"), "auc") for f in features]
+    scored, _ = fit_logistic(train, features, label, c=1e6, test=test)
+    found.append(auc(scored, "score", label).select(F.lit("all").alias("feature"), "auc"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def compare_predictions(a: DataFrame, b: DataFrame, keys: Sequence[str], score: str, least_corr: float = 0.99999) -> DataFrame:

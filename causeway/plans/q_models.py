@@ -74,17 +74,26 @@ def _customers(spark, d):
     return c.withColumn("y", (F.col("c_acctbal") + F.col("n_orders") * 100 > 5000).cast("int")).withColumn("n_orders", F.col("n_orders").cast("double"))
 
 
+def _orders(spark, d):
+    """Orders with features of the order and of its customer, a time and a yes-or-no target."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double")
+    o = o.select("o_orderkey", "o_orderdate", "o_totalprice", "c_acctbal", day.alias("day"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"))
+    return o.withColumn("y", (F.col("o_totalprice") + 30 * F.col("c_acctbal") + F.pmod(F.col("o_orderkey") * 7919, F.lit(100_000)) > 350_000).cast("int"))
+
+
+_ORDER_FEATURES, _USER_FEATURES = ["o_totalprice", "priority", "c_acctbal"], ["c_acctbal"]
 _FEATURES = ["c_acctbal", "n_orders", "mean_price", "share_f"]
 
 
 @query("M08_isotonic_residuals")
 def m08(spark, d):
-    return M.isotonic_residuals(_customers(spark, d), "mean_price", "n_orders", "c_nationkey", "c_custkey")
+    return M.isotonic_residuals(_customers(spark, d), "mean_price", ["n_orders", "share_f"], "c_custkey")
 
 
 @query("M09_logistic")
 def m09(spark, d):
-    return M.fit_logistic(_customers(spark, d), _FEATURES, "y")[1]
+    return M.score_folds(_orders(spark, d), "o_orderdate", _ORDER_FEATURES, "y")[1]
 
 
 @query("M10_robust_intervals")
@@ -95,13 +104,13 @@ def m10(spark, d):
 
 @query("M11_gbt")
 def m11(spark, d):
-    return M.fit_gbt(_customers(spark, d), _FEATURES, "y", 5, 3)[1]
+    return M.score_folds(_orders(spark, d), "o_orderdate", _ORDER_FEATURES, "y", "gbt", most_folds=2, trees=5, depth=3)[1]
 
 
 @query("M12_main_effect_auc")
 def m12(spark, d):
-    scored, _ = M.fit_logistic(_customers(spark, d), ["n_orders"], "y")
-    return E.auc(scored, "score", "y")
+    """The main effect of the customer: features of the customer alone, by fold, on rows that weren't trained on."""
+    return E.auc_by(M.score_folds(_orders(spark, d), "o_orderdate", _USER_FEATURES, "y")[0], "score", "y", ["fold"])
 
 
 @query("M13_ridge_cv")
