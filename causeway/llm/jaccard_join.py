@@ -3,7 +3,11 @@
 Texts with the same shingle set are one class and take part once. Bands and rows are chosen for a target recall at
 the threshold; classes meet on band hashes, and each pair is verified on the full shingle sets in the first band
 that it shares. Buckets of any size are dealt out as pairs of bounded blocks, and a block pair answers with sums and
-a spanning forest of its links, not with the pairs: large groups of near copies cost no quadratic output.
+a spanning forest of its links, not with the pairs: large groups of near copies cost no quadratic output. Exact link
+counts need every pair of a bucket compared, but no shingle set travels to all of them: in a bucket of more than
+LEAD_BLOCKS blocks each class is first set against the bucket's lead, its least class, once however many bands share that
+lead, and only its difference from the lead, small for near copies, travels to the block pairs. Differences from one
+lead give the overlap of two sets exactly.
 """
 
 from __future__ import annotations
@@ -15,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.apply import sorted_groups
 from ..operators.graph import connected_components
 from .common import persist_shared, text_of
 from .shingles import band_hashes, choose_bands, fingerprint, shingle_set
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 96
-#: Bounds of a block: classes, and shingles on average.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
+#: Bounds of a block: classes, and shingles on average. Small blocks keep the tasks even.
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 250_000
+#: Buckets of more blocks send differences instead of sets; over how many keys the classes of one lead are dealt.
+LEAD_BLOCKS, LEAD_SALTS = 4, 32
 _GROUP = ["band", "hash", "bi", "bj"]
 
 
@@ -48,28 +55,6 @@ def text_prints(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int,
     return rows_in.mapInArrow(work, "doc_id long, print long, fp_a long, fp_b long, n_shingles int, bands array<long>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each block pair from batches that are sorted by _GROUP; holds one group at a time."""
-    held: list[pa.Table] = []
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if not t.num_rows:
-            continue
-        key = np.stack([t.column(c).to_numpy() for c in _GROUP])
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        if held and any(held[-1].column(c)[-1].as_py() != t.column(c)[0].as_py() for c in _GROUP):
-            yield pa.concat_tables(held)
-            held = []
-        edges = [0, *cuts.tolist(), t.num_rows]
-        for at, end in zip(edges[:-1], edges[1:]):
-            held.append(t.slice(at, end - at))
-            if end < t.num_rows:
-                yield pa.concat_tables(held)
-                held = []
-    if held:
-        yield pa.concat_tables(held)
-
-
 def _new_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of the pairs of this block pair that share no earlier band."""
     band = t.column("band")[0].as_py()
@@ -89,11 +74,11 @@ def _new_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_new_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block pair the rows that stand in a new pair."""
-    for t in _groups(batches):
+    for t in sorted_groups(batches, _GROUP):
         i, j = _new_pairs(t)
         if len(i):
             keep = np.unique(np.concatenate([i, j]))
-            yield from t.select([*_GROUP, "block", "cid"]).take(keep).combine_chunks().to_batches()
+            yield from t.select([*_GROUP, "block", "cid", "lead"]).take(keep).combine_chunks().to_batches()
 
 
 def _overlaps(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,12 +107,13 @@ def _overlaps(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarra
 def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """cid, root, links: for each class of a block pair the documents that it links to, and a class of its tree."""
-        for t in _groups(batches):
+        for t in sorted_groups(batches, _GROUP):
             i, j = _new_pairs(t)
-            sets = t.column("shingles").combine_chunks()
-            offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
-            sizes, copies = np.diff(offsets), t.column("copies").to_numpy()
-            both = _overlaps(sets.flatten().to_numpy().view(np.uint64), offsets, i, j)
+            deltas = t.column("delta").combine_chunks()
+            offsets = deltas.offsets.to_numpy() - deltas.offsets[0].as_py()
+            sizes, copies, missing = (t.column(c).to_numpy() for c in ("n_shingles", "copies", "n_missing"))
+            # |A & B| = |L| - |L - A| - |L - B| + |dA & dB| with the lead L and dX, what is in just one of X and L.
+            both = t.column("n_lead")[0].as_py() - missing[i] - missing[j] + _overlaps(deltas.flatten().to_numpy().view(np.uint64), offsets, i, j)
             near = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
             i, j = i[near], j[near]
             if not len(i):
@@ -154,8 +140,10 @@ def jaccard_classes(
     """One row per row of ``docs``: doc_id, print, class_id, class_print, n_links.
 
     class_id is the smallest doc_id of all documents that links connect; n_links counts the other documents whose
-    shingle sets have a Jaccard similarity of ``threshold`` or more, copies included. Null texts count as empty; texts
-    without words link to nothing and are classes of their own; repeated rows are copies of each other.
+    shingle sets have a Jaccard similarity of ``threshold`` or more, copies included. Null and empty texts, and others
+    without words, link to nothing and are classes of their own; very long texts are shingled whole, shorter ones than
+    ``n`` words are one shingle; repeated rows are copies of each other; null ids stand last and are answered; ties in id
+    fall to the text's hash; an empty table gives an empty result; other columns are ignored, so names cannot clash.
     """
     bands, rows = choose_bands(threshold, recall, most_hashes)
     prints = persist_shared(text_prints(docs, text_col, id_col, n, bands, rows), "jaccard-prints")
@@ -167,20 +155,24 @@ def jaccard_classes(
     classes = persist_shared(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
     thin = classes.select("cid", "n_shingles", F.posexplode("bands").alias("band", "hash"))
-    buckets = thin.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("sum")).where("n > 1")
+    buckets = thin.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("sum"), F.min("cid").alias("lead")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.least(F.col("sum") / BLOCK_SHINGLES, F.col("n")))).cast("int")
-    members = thin.drop("n_shingles").join(buckets.select("band", "hash", blocks.alias("blocks")), ["band", "hash"])
-    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    members = thin.drop("n_shingles").join(buckets.select("band", "hash", blocks.alias("blocks"), "lead"), ["band", "hash"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("lead", F.when(F.col("blocks") > LEAD_BLOCKS, F.col("lead")))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "hash", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid")
+    dealt = dealt.select("band", "hash", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid", "lead")
     dealt = dealt.join(classes.select("cid", "bands"), "cid")
-    found = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_with_new_pairs, "band int, hash long, bi int, bj int, block int, cid long")
+    found = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_with_new_pairs, "band int, hash long, bi int, bj int, block int, cid long, lead long")
     found = persist_shared(found, "jaccard-candidates")
 
-    wanted = found.select("cid").distinct().join(classes, "cid").select("cid", "fp_a", "fp_b", "rep.doc_id", "rep.print", "copies", "bands")
+    leads = found.where("lead is not null")
+    wanted = found.select("cid").union(leads.select("lead")).distinct().join(classes, "cid").select("cid", "fp_a", "fp_b", "rep.doc_id", "rep.print", "copies", "n_shingles", "bands")
     wanted = persist_shared(wanted, "jaccard-wanted")
     sets = persist_shared(_sets(docs, wanted, text_col, id_col, n), "jaccard-sets")
-    verified = found.join(wanted.select("cid", "copies", "bands"), "cid").join(sets, "cid").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    deltas = persist_shared(_deltas(leads, sets), "jaccard-deltas")
+    alone = found.where("lead is null").join(sets, "cid").select(*_GROUP, "block", "cid", F.col("shingles").alias("delta"), F.lit(0).alias("n_missing"), F.lit(0).alias("n_lead"))
+    apart = leads.join(deltas, ["cid", "lead"]).select(*_GROUP, "block", "cid", "delta", "n_missing", "n_lead")
+    verified = alone.union(apart).join(wanted.select("cid", "copies", "n_shingles", "bands"), "cid").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     links = persist_shared(verified.mapInArrow(_verifier(threshold), "cid long, root long, links long"), "jaccard-links")
 
     trees = connected_components(links, "cid", "root")
@@ -197,6 +189,16 @@ def jaccard_classes(
     )
 
 
+def _deltas(leads: DataFrame, sets: DataFrame) -> DataFrame:
+    """cid, lead, delta, n_missing, n_lead: what is in just one of a class's set and its lead's, how much of the lead the
+    class lacks, and the size of the lead. A lead's classes are dealt over LEAD_SALTS keys."""
+    own = leads.select("cid", "lead").distinct().withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(LEAD_SALTS)))
+    heads = leads.select("lead").distinct().join(sets.select(F.col("cid").alias("lead"), F.col("shingles").alias("head")), "lead")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEAD_SALTS - 1).cast("long"))))
+    met = own.join(sets, "cid").join(heads, ["lead", "salt"]).withColumn("lacks", F.array_except("head", "shingles"))
+    return met.select("cid", "lead", F.concat("lacks", F.array_except("shingles", "head")).alias("delta"), F.size("lacks").alias("n_missing"), F.size("head").alias("n_lead"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str, n: int) -> DataFrame:
     """cid and the shingle set of each wanted class, from the text of one of its rows."""
 
@@ -217,11 +219,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str, n: int
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` with one row left of each class, the first by id, with their columns."""
+    """The rows of ``docs`` with one row left of each class, the first by id, with their columns.
+
+    Null, empty and blank texts are classes of their own and stay; a null id is last in its class; of rows that repeat
+    id and text the one whose columns hash lowest stays; an empty table gives an empty result; columns that clash with
+    the operator's keep their names.
+    """
     found = jaccard_classes(docs, text_col, id_col, **options)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("print") == F.col("class_print")))
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("print").alias("_stays")).distinct()
-    keyed = docs.withColumn("_print", F.xxhash64(text_of(docs, text_col)))
-    on = (keyed["_print"] == stay["_stays"]) & keyed[id_col].cast("long").eqNullSafe(stay["_id"])
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(docs[id_col].cast("long").alias("_doc"), F.xxhash64(text_of(docs, text_col)).alias("_print"), *[docs[c].alias(c_) for c, c_ in zip(docs.columns, names)])
+    on = (keyed["_print"] == stay["_stays"]) & keyed["_doc"].eqNullSafe(stay["_id"])
     # Repeated rows meet in one partition of the join already: no further shuffle.
-    return keyed.join(stay, on, "left_semi").dropDuplicates(["_print", id_col]).select(*[keyed[c] for c in docs.columns])
+    one = keyed.join(stay, on, "left_semi").groupBy("_print", "_doc").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d"))
+    return one.select(*[F.col(f"d.{n}").alias(c) for c, n in zip(docs.columns, names)])

@@ -44,12 +44,17 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
-    """(bands, rows): the longest bands that find a pair at the threshold with the given recall within the hashes."""
-    best = (most_hashes, 1)
+    """(bands, rows): the longest bands that find a pair at the threshold with the given recall within the hashes.
+
+    ValueError if the hashes don't suffice for the recall.
+    """
+    best = None
     for rows in range(1, most_hashes + 1):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
         if bands * rows <= most_hashes:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"a recall of {recall} at {threshold} needs more than {most_hashes} hashes")
     return best
 
 

@@ -75,6 +75,39 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     assert classes(spark, rows) == brute_classes(rows)
 
 
+def test_no_shingle_set_is_copied_with_the_block_pairs(spark, monkeypatch):
+    """In a bucket of many blocks only differences from its lead reach the block pairs, each made once for a lead."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 5)
+    kept = {}
+    persist = jaccard_join.persist_shared
+    monkeypatch.setattr(jaccard_join, "persist_shared", lambda df, name: kept.setdefault(name, persist(df, name)))
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(w if k != i % 200 else f"e{i}" for k, w in enumerate(base)), "s") for i in range(80)]
+    assert classes(spark, rows) == brute_classes(rows)
+    deltas, sets = kept["jaccard-deltas"].collect(), kept["jaccard-sets"].collect()
+    assert deltas and len({(x["cid"], x["lead"]) for x in deltas}) == len(deltas)
+    assert max(len(x["delta"]) for x in deltas) <= 20 < min(len(x["shingles"]) for x in sets) // 5
+
+
+def test_too_few_hashes_are_refused():
+    with pytest.raises(ValueError, match="recall"):
+        shingles.choose_bands(0.3, 0.9999, 8)
+
+
+def test_recall_between_thresholds():
+    """Pairs of similarity 0.8 to 0.9 share a band as often as promised."""
+    bands, rows = shingles.choose_bands(jaccard_join.THRESHOLD, jaccard_join.RECALL, jaccard_join.MOST_HASHES)
+    r = np.random.default_rng(5)
+    for same in (80, 84, 90):  # of 100 in the union
+        found = 0
+        for _ in range(300):
+            a = r.integers(0, 1 << 62, 100, dtype=np.int64).astype(np.uint64)
+            lone = (100 - same) // 2
+            x, y = shingles._mix(a[: 100 - lone]), shingles._mix(a[lone:])
+            found += bool((shingles.band_hashes(np.sort(x), bands, rows) == shingles.band_hashes(np.sort(y), bands, rows)).any())
+        assert found >= 0.98 * 300
+
+
 def test_matrix_and_pairwise_overlaps_agree():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 60, 40)).astype(np.uint64) for _ in range(20)]
