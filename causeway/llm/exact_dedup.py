@@ -41,8 +41,9 @@ def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
 def name_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: row_id, doc_id, text_sha256, n_blocks, name; (n_blocks, name) is the identity.
 
-    Null texts count as empty; empty texts share one identity; repeated rows keep one row_id each; other columns
-    are ignored, so clashing names cannot arise; an empty table gives an empty result.
+    Null texts count as empty; empty texts share one identity; very long texts are cut into as many blocks as they need;
+    repeated rows keep one row_id each; null ids are kept; other columns are ignored, so clashing names cannot arise; an
+    empty table gives an empty result.
     """
     text = text_of(docs, text_col)
     seed = 0
@@ -64,11 +65,10 @@ def name_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         seed += 1
 
     level = base.select("row_id", "n_blocks", F.posexplode("prints").alias("pos", "p")).select("row_id", "n_blocks", "pos", "p.a", "p.b")
-    level = level.join(names, ["a", "b"]).select("row_id", "pos", "name", F.col("n_blocks").alias("n"))
+    level = persist_shared(level.join(names, ["a", "b"]).select("row_id", "pos", "name", F.col("n_blocks").alias("n")), "naming-level")
     done = [level.where("n = 1").select("row_id", "name")]
     longest = base.agg(F.max("n_blocks")).first()[0] or 1
-    if longest > 1:
-        level = persist_shared(level.where("n > 1"), "naming-level")
+    level = level.where("n > 1")
     while longest > 1:
         pairs = level.groupBy("row_id", F.expr("pos div 2").alias("pos"), F.ceil(F.col("n") / 2).cast("int").alias("n")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"),
@@ -89,7 +89,8 @@ def name_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the largest doc_id stays (null ids last); of fully repeated rows one stays.
+    Of equal texts the row with the largest doc_id stays (null ids last); of rows that repeat id and text one stays. Nulls,
+    empty and very long texts, empty tables and other columns as in ``name_texts``.
     """
     named = persist_shared(name_texts(docs, text_col, id_col, block_bytes), "naming-done")
     groups = named.groupBy("n_blocks", "name").agg(
@@ -106,9 +107,16 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that stay, with their columns.
+
+    Of rows that repeat id and text the one whose columns hash lowest stays. Null and empty texts are one group; null ids
+    stay only where no other row of the text has one; an empty table gives an empty result; columns that clash with the
+    operator's keep their names.
+    """
     stay = exact_groups(docs, text_col, id_col, block_bytes).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_doc_sha", F.sha2(text_of(docs, text_col), 256))
-    on = keyed[id_col].cast("long").eqNullSafe(stay["_id"]) & (keyed["_doc_sha"] == stay["_sha"])
-    # Fully repeated rows meet in one partition of the join already: no further shuffle.
-    return keyed.join(stay, on, "left_semi").dropDuplicates([id_col, "_doc_sha"]).select(*[keyed[c] for c in docs.columns])
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(docs[id_col].cast("long").alias("_doc"), F.sha2(text_of(docs, text_col), 256).alias("_doc_sha"), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
+    on = keyed["_doc"].eqNullSafe(stay["_id"]) & (keyed["_doc_sha"] == stay["_sha"])
+    # Repeated rows meet in one partition of the join already: no further shuffle.
+    one = keyed.join(stay, on, "left_semi").groupBy("_doc", "_doc_sha").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d"))
+    return one.select(*[F.col(f"d.{n}").alias(c) for c, n in zip(docs.columns, names)])

@@ -66,9 +66,10 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, first_word, n_words, shard, bin, bin_offset, source, cluster.
 
-    Sizes are words of the whole text; without ``cluster_col`` rows of equal text are one cluster. Null texts count
-    as empty (one empty piece); null sources are one source; repeated rows are one cluster and so never share a bin;
-    an empty table gives an empty result; other columns are ignored.
+    Sizes are words of the whole text; without ``cluster_col`` rows of equal text are one cluster. Null and empty texts
+    are one empty piece; texts longer than a bin are cut into full bins and a rest; null sources are one source, null ids
+    ids like others; repeated rows are one cluster and so never share a bin; pieces of equal size are placed in the order
+    of id, source, cluster; an empty table gives an empty result; other columns are ignored, so names cannot clash.
     """
     text = text_of(docs, text_col)
     cluster = F.xxhash64(text) if cluster_col is None else docs[cluster_col].cast("long")

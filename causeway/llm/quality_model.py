@@ -39,7 +39,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
 def score_quality(docs: DataFrame, model: Trees, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Null texts count as empty and are scored so; repeated rows are scored alike; extra columns are ignored.
+    Null and empty texts are scored as empty; very long texts are described whole; repeated rows are scored alike; rows
+    with a null id count as of the empty id; an empty table gives an empty result; other columns are ignored, so clashing
+    names cannot arise. Without labels of both kinds the score is the smoothed share of the label.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
