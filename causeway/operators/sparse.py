@@ -138,19 +138,22 @@ def all_pairs(vectors: DataFrame, key: str, least: float, block: int = BLOCK) ->
     return across.unionByName(alike.select("src", "dst", "similarity"))
 
 
-def fuse(layers: list[tuple[DataFrame, float]], key: str, k: int) -> DataFrame:
-    """key, similarity: each layer's similarities scaled to [0, 1] within the layer, weighted and summed; the k best.
+def fuse(layers: list[tuple[DataFrame, float]], key: str, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """by, key, similarity: each layer's similarities scaled to [0, 1] within the layer (and query), weighted and summed;
+    the k best of each query.
 
-    Layers are top lists of k * 5 rows, so the windows over them are small.
+    Layers are top lists of k * 5 rows for each query, so the windows over them are small.
     """
     parts = None
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     for hits, weight in layers:
-        whole = Window.partitionBy(F.lit(0))
         low, high = F.min("similarity").over(whole), F.max("similarity").over(whole)
         s = F.when(high > low, (F.col("similarity") - low) / (high - low)).otherwise(1.0) * weight
-        scored = hits.select(key, s.alias("similarity"))
+        scored = hits.select(*by, key, s.alias("similarity"))
         parts = scored if parts is None else parts.unionByName(scored)
-    return parts.groupBy(key).agg(F.round(F.sum("similarity"), 9).alias("similarity")).orderBy(F.col("similarity").desc(), key).limit(k)
+    fused = parts.groupBy(*by, key).agg(F.round(F.sum("similarity"), 9).alias("similarity"))
+    place = F.row_number().over(whole.orderBy(F.col("similarity").desc(), key))
+    return fused.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
 def layer_weights(attribute: float, dense: float, tfidf_: float, bm25_: float, anchored: bool) -> tuple[float, float, float, float]:

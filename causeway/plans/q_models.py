@@ -265,3 +265,32 @@ def f03(spark, d):
     from ..operators.apply import partition_map
 
     return partition_map(table(spark, d, "documents").select("doc_id", "text"), lambda f: f.assign(n=f["text"].str.len())[["doc_id", "n"]], "doc_id long, n long")
+
+
+@query("F05_registered_methods", """SELECT 'n_rows' AS method, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'mean_price', round(avg(o_totalprice), 4) FROM orders UNION ALL SELECT 'broken', NULL""")
+def f05(spark, d):
+    """Registered methods run one after another; one that fails doesn't stop the rest."""
+    from ..operators.apply import Methods
+
+    methods = Methods()
+    methods.register("n_rows")(lambda df: df.agg(F.count(F.lit(1)).cast("double").alias("value")))
+    methods.register("mean_price")(lambda df: df.agg(F.round(F.avg("o_totalprice"), 4).alias("value")))
+    methods.register("broken")(lambda df: df.agg(F.avg("no_such_column").alias("value")))
+    none = spark.range(1).select(F.lit(None).cast("double").alias("value"))
+    found = [(none if isinstance(x, Exception) else x).select(F.lit(k).alias("method"), "value") for k, x in methods.run(table(spark, d, "orders")).items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("F06_chunked_job", "SELECT l_partkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
+def f06(spark, d):
+    """A job in chunks of keys, each committed on its own; a second run reads what the first one left."""
+    import uuid
+
+    from ..operators.apply import chunked_job
+    from ..sources.shared import shared_dir
+
+    root = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    process = lambda df: df.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_quantity")
+    chunked_job(lines, "l_partkey", 3, process, root)
+    return chunked_job(lines, "l_partkey", 3, process, root)

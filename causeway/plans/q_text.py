@@ -249,20 +249,21 @@ def v11(spark, d):
 
 
 def _layer(q, c, name):
-    return f"""h_{name} AS (SELECT doc_id, round(sum({q}.weight * {c}.weight), 9) AS s FROM {q} JOIN {c} USING (term) WHERE item_id = (SELECT min(item_id) FROM benchmark) GROUP BY doc_id HAVING round(sum({q}.weight * {c}.weight), 9) >= 0 ORDER BY s DESC, doc_id LIMIT 50),
-    n_{name} AS (SELECT doc_id, CASE WHEN max(s) OVER () > min(s) OVER () THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 1.0 END * 0.4 AS w FROM h_{name})"""
+    scores = f"SELECT item_id, doc_id, round(sum({q}.weight * {c}.weight), 9) AS s FROM {q} JOIN {c} USING (term) GROUP BY ALL HAVING round(sum({q}.weight * {c}.weight), 9) >= 0"
+    return f"""h_{name} AS (SELECT * FROM ({scores}) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 50),
+    n_{name} AS (SELECT item_id, doc_id, CASE WHEN max(s) OVER i > min(s) OVER i THEN (s - min(s) OVER i) / (max(s) OVER i - min(s) OVER i) ELSE 1.0 END * 0.4 AS w FROM h_{name} WINDOW i AS (PARTITION BY item_id))"""
 
 
-@query("V12_hybrid_fusion", f"""WITH {_BM25}, {_BQ}, {tfidf_sql('documents', 'doc_id', 'text', 3, 0.5)}, {_TQ}, {_layer('bq', 'bm', 'b')}, {_layer('tq', 'vec', 't')}
-    SELECT doc_id, round(sum(w), 6) AS similarity FROM (SELECT * FROM n_b UNION ALL SELECT * FROM n_t) GROUP BY doc_id ORDER BY round(sum(w), 9) DESC, doc_id LIMIT 10""")
+@query("V12_hybrid_fusion", f"""WITH {_BM25}, {_BQ}, {tfidf_sql('documents', 'doc_id', 'text', 3, 0.5)}, {_TQ}, {_layer('bq', 'bm', 'b')}, {_layer('tq', 'vec', 't')},
+    f AS (SELECT item_id, doc_id, round(sum(w), 9) AS s FROM (SELECT * FROM n_b UNION ALL SELECT * FROM n_t) GROUP BY ALL)
+    SELECT item_id, doc_id, round(s, 6) AS similarity FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def v12(spark, d):
     docs, items = _docs(spark, d), table(spark, d, "benchmark")
-    first = items.orderBy("item_id").limit(1)
     corpus, vec = (persist_shared(x, "hybrid-layer") for x in (S.bm25(docs, "doc_id", F.col("text")), S.tfidf(docs, "doc_id", F.col("text"), 3, 0.5)))
-    b = S.sparse_top_k(S.bm25_query(first, "item_id", F.col("text"), corpus, "doc_id"), "item_id", corpus, "doc_id", 50, 0.0)
-    t = S.sparse_top_k(S.tf_query(first, "item_id", F.col("text"), vec), "item_id", vec, "doc_id", 50, 0.0)
+    b = S.sparse_top_k(S.bm25_query(items, "item_id", F.col("text"), corpus, "doc_id"), "item_id", corpus, "doc_id", 50, 0.0)
+    t = S.sparse_top_k(S.tf_query(items, "item_id", F.col("text"), vec), "item_id", vec, "doc_id", 50, 0.0)
     _, _, wt, wb = S.layer_weights(0.4, 0.0, 0.2, 0.2, anchored=False)
-    return S.fuse([(b, wb), (t, wt)], "doc_id", 10).withColumn("similarity", F.round("similarity", 6))
+    return S.fuse([(b, wb), (t, wt)], "doc_id", 10, ["item_id"]).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("V13_semantic_dedup", """WITH p AS (SELECT a.vec_id, b.vec_id AS near, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id > b.vec_id)

@@ -69,6 +69,17 @@ def test_month_windows():
     assert remote.month_windows(date(2024, 12, 15), 1) == [(date(2024, 11, 15), date(2024, 12, 15))]
 
 
+def test_jdbc_months(spark):
+    """One partition for each half-open month, from a database in memory."""
+    url, driver = "jdbc:derby:memory:months;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    days = spark.range(120).select(F.col("id").cast("int").alias("n"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    days.coalesce(1).write.jdbc(url, "days", mode="overwrite", properties=driver)
+    got = remote.read_jdbc_months(spark, url, 'SELECT "n", "d" FROM days', '"d"', date(2024, 4, 15), 3, driver)
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted(r["n"] for r in got.collect()) == list(range(14, 105))
+    assert sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) == [29, 31, 31]
+
+
 def test_failing_service_gives_null(spark):
     calls = remote.call_service(spark.range(4), "id", lambda xs: 1 / 0, "double", batch=2, retries=2)
     assert [(r["result"], r["error"]) for r in calls.collect()] == [(None, "ZeroDivisionError: division by zero")] * 4
