@@ -145,11 +145,11 @@ def _numbered(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> D
     count, in runs, so that no task gathers the rows of one document however often it is repeated."""
     text = text_of(docs, text_col)
     thin = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), count_words(text).alias("size"), F.xxhash64(text).alias("print"))
-    counted = thin.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("m"))
-    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {RUN}"))))
-    runs = runs.where("m = 1").union(runs.where("m > 1").repartition(*IDENTITY, "run"))
+    counted = persist_shared(thin.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("m")), "mix-counted")  # texts are read once
+    once = counted.where("m = 1").select(*IDENTITY, F.lit(1).cast("long").alias("k"))
+    runs = counted.where("m > 1").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {RUN}"))))
     last = F.least(F.col("m"), (F.col("run") + 1) * RUN)
-    return runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN + 1, last))).select(*IDENTITY, "k")
+    return once.union(runs.repartition(*IDENTITY, "run").select(*IDENTITY, F.explode(F.sequence(F.col("run") * RUN + 1, last)).alias("k")))
 
 
 def mix(
