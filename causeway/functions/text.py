@@ -46,6 +46,11 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def count_char(text: Column, char: str) -> Column:
+    """How often one character occurs, by what is left without it: no pattern, no array of matches."""
+    return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("long")
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")

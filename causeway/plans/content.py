@@ -16,7 +16,7 @@ def content_features(df: DataFrame, key: str, body: str) -> DataFrame:
     floor = F.greatest(n_words, F.lit(1))
     return df.select(
         key, F.length(b).cast("long").alias("body_char_len"), n_words.alias("body_word_count"), X.count_matches(b, X.SENTENCES).alias("body_sentence_count"),
-        (F.length(b) / floor).alias("body_avg_word_len_chars"), X.count_matches(b, "!").alias("body_exclamation_count"), X.count_matches(b, r"\?").alias("body_question_count"),
+        (F.length(b) / floor).alias("body_avg_word_len_chars"), X.count_char(b, "!").alias("body_exclamation_count"), X.count_char(b, "?").alias("body_question_count"),
         (X.count_matches(b, X.SHOUTED) / floor).alias("body_uppercase_word_ratio"), X.count_matches(b, X.URGENCY).alias("body_urgency_keyword_count"), X.count_matches(b, X.CALLS).alias("body_cta_keyword_count"),
         F.length(first).cast("long").alias("first_line_char_len"), X.count_matches(first, X.WORDS).alias("first_line_word_count"),
     )
