@@ -15,10 +15,13 @@ from ..sources.shared import persist_shared
 def term_lists(df: DataFrame, key: str, text: Column, pairs: bool = True, carry: Sequence[str] = (), stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """key, carry, terms: each row's distinct terms with their counts.
 
-    Counted within the row, so neither texts nor terms are shuffled, and written once for all that reads them. ``key``
-    must tell rows apart.
+    Counted within the row, so neither texts nor terms are shuffled, and written once for all that reads them; only a
+    table of fewer parts than there are cores is spread first. ``key`` must tell rows apart.
     """
     words = tokens(text, stop)
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        df, text = df.select(key, *carry, text.alias("_text")).repartition(key), F.col("_text")
+        words = tokens(text, stop)
     return persist_shared(df.select(key, *carry, counted(grams(words) if pairs else words).alias("terms")), "term-lists")
 
 
@@ -59,9 +62,10 @@ def bm25(df: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75
     mean = lists.agg(F.avg("length").alias("mean"))
     sized = lists.crossJoin(F.broadcast(mean)).withColumn("_k", k1 * (1 - b + b * F.col("length") / F.col("mean")))  # one row
     raw = once(F.col("_k"), lambda k: F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["tf"] / (t["tf"] + k)).alias("weight"))))
-    square = F.aggregate("raw", F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"])
-    rows = sized.select(key, *carry, raw.alias("raw")).select(key, *carry, F.sqrt(square).alias("length"), F.explode("raw").alias("t"))
-    return rows.select(key, *carry, "t.term", (F.col("t.weight") / F.col("length")).alias("weight"))
+    # The length is taken within the row too: behind the explode it would be worked out anew for each term.
+    size = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"]))
+    unit = once(raw, lambda r: once(size(r), lambda n: F.transform(r, lambda t: F.struct(t["term"].alias("term"), (t["weight"] / n).alias("weight")))))
+    return sized.select(key, *carry, F.explode(unit).alias("t")).select(key, *carry, "t.*")
 
 
 def bm25_query(queries: DataFrame, key: str, text: Column, corpus: DataFrame, corpus_key: str) -> DataFrame:
