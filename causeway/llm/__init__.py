@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators that run on Spark DataFrames.
+"""Training-data operators: thirteen corpus operators that run on Spark DataFrames.
 
 Nothing outside this subpackage imports it.
 """

@@ -38,3 +38,19 @@ QUALITY_SQL = rf"""
       NOT (base_failed OR n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 15 * n_words OR (n_dup_lines > 0.3 * n_lines AND n_dup_lines >= 4)
         OR length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) > 0.4 * length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) OR len(regexp_extract_all(text, '!')) > 0.2 * n_words OR bare > 0.3 * n_words
         OR len(regexp_extract_all(text, '(?m)(\.\.\.|…)[ \t]*$')) > 0.3 * n_lines OR len(regexp_extract_all(text, '(?m)^[ \t]*[•‣*-][ \t]')) > 0.9 * n_lines) AS kept FROM b"""
+
+
+AUDIT_SQL = rf"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT d.doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM d),
+    h AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS bit, CAST(coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0) AS INTEGER) AS early
+      FROM p, (SELECT unnest(range(1, 6)) AS step)),
+    o AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (bit | early) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & early = 0), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & early > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & early = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & early = 0), 0) AS BIGINT) AS toxic_lost
+      FROM h, s GROUP BY ALL)
+    SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM o"""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, labels
 from .exact_dedup import exact_groups
+from .filter_audit import audit_filters
 from .jaccard_join import jaccard_classes
 from .mixing import mix
-from .oracles import QUALITY_SQL, secret_sql
+from .oracles import AUDIT_SQL, QUALITY_SQL, secret_sql
 from .packing import pack
 from .pii import scan_pii
 from .quality_model import classify_quality
@@ -58,6 +59,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
@@ -79,4 +85,5 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_filter_audit": AUDIT_SQL,
 }
