@@ -54,3 +54,21 @@ AUDIT_SQL = rf"""
         CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & early = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & early = 0), 0) AS BIGINT) AS toxic_lost
       FROM h, s GROUP BY ALL)
     SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM o"""
+
+
+def _whole(scale: int) -> str:
+    finite = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE {finite}"
+
+
+def cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain Lloyd rounds: every vector against every centroid."""
+    parts = [f"v AS MATERIALIZED ({_whole(64)} AND len(embedding) = 64)", f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT v, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS BIGINT) * {k} + c) AS best FROM v, c{r} GROUP BY vec_id)")
+        if r < rounds:
+            sums = f"SELECT c, list(x ORDER BY i) AS m FROM (SELECT best % {k} AS c, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS x FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY c"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN ({sums}) n ON n.c = o.c)")
+    return f"""WITH {", ".join(parts)}, l AS (SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, best // {k} AS distance FROM a{rounds})
+      SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+      FROM l JOIN c{rounds} ON c = cluster"""

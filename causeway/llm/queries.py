@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ball_kmeans import cluster_report
 from .common import documents, labels
 from .exact_dedup import exact_groups
 from .filter_audit import audit_filters
 from .jaccard_join import jaccard_classes
 from .mixing import mix
-from .oracles import AUDIT_SQL, QUALITY_SQL, secret_sql
+from .oracles import AUDIT_SQL, QUALITY_SQL, cluster_sql, secret_sql
 from .packing import pack
 from .pii import scan_pii
 from .quality_model import classify_quality
@@ -59,6 +60,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_ball_kmeans": op12_ball_kmeans,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -85,5 +91,6 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_ball_kmeans": cluster_sql(),
     "op13_filter_audit": AUDIT_SQL,
 }
