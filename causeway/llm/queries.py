@@ -10,7 +10,8 @@ from .exact_dedup import exact_groups
 from .filter_audit import audit_filters
 from .jaccard_join import jaccard_classes
 from .mixing import mix
-from .oracles import AUDIT_SQL, QUALITY_SQL, cluster_sql, secret_sql
+from .norm_buckets import top_products
+from .oracles import AUDIT_SQL, QUALITY_SQL, TOP_PRODUCTS_SQL, cluster_sql, secret_sql
 from .packing import pack
 from .pii import scan_pii
 from .quality_model import classify_quality
@@ -60,6 +61,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 50 = 0", k=5)
+
+
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_norm_buckets": op11_norm_buckets,
     "op12_ball_kmeans": op12_ball_kmeans,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -91,6 +97,7 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_norm_buckets": TOP_PRODUCTS_SQL,
     "op12_ball_kmeans": cluster_sql(),
     "op13_filter_audit": AUDIT_SQL,
 }
