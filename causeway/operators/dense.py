@@ -67,7 +67,7 @@ def exact_pairs(df: DataFrame, key: str, vector: str, least: float, group: Colum
     """src < dst, similarity of all pairs (of a group) with a cosine of at least ``least``.
 
     Rows are dealt into blocks of about ``block_rows``, however many there are; two blocks meet as matrices in a task,
-    which answers hits only. All pairs are compared: the work grows with the square of the rows. See ``cell_pairs``.
+    which answers hits only. All pairs are compared: the work grows with the square of the rows. See ``vector_index``.
     """
     placed = _placed(df, key, vector, F.lit(0) if group is None else group, block_rows)
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1))).withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")})
@@ -75,34 +75,6 @@ def exact_pairs(df: DataFrame, key: str, vector: str, least: float, group: Colum
     return _near(dealt.select("g", "x", "y", side.alias("side"), "k", "v"), key, least)
 
 
-def cell_pairs(df: DataFrame, key: str, vector: str, least: float, n_cells: int, n_probe: int, seed: int = 42, sample_rows: int = 500_000, block_rows: int = PAIR_ROWS) -> DataFrame:
-    """src < dst, similarity of pairs of which one lies in one of the ``n_probe`` cells nearest to the other.
-
-    The centers come from a bounded sample, but every row is in the index, in its nearest cell, and every row asks. With
-    cells that grow in number with the rows the work stays near linear; what recall it has is measured in the tests.
-    """
-    centers = np.array(_centers(df, vector, n_cells, seed, sample_rows))
-
-    def nearest_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, centers.shape[1]))
-            far = (centers**2).sum(axis=1)[None, :] - 2 * v @ centers.T
-            order = np.argsort(far, axis=1, kind="stable")[:, :n_probe].astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * order.shape[1], pa.int32()), pa.array(order.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), lists], ["k", "v", "cells"])
-
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    celled = persist_shared(rows.mapInArrow(nearest_cells, f"k {dict(rows.dtypes)['k']}, v array<double>, cells array<bigint>"), "cells")
-    own = _placed(celled.withColumn("g", F.element_at("cells", 1)), "k", "v", F.col("g"), block_rows)
-    asks = _placed(celled.select("k", "v", F.explode("cells").alias("g")), "k", "v", F.col("g"), block_rows)
-    blocks = own.select("g", "n_b").distinct().join(asks.select("g", F.col("n_b").alias("m_b")).distinct(), "g")
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = own.drop("n_b").join(blocks.select("g", "m_b"), "g").select("g", F.col("b").alias("x"), others("m_b").alias("y"), F.lit(0).alias("side"), "k", "v")
-    asking = asks.drop("n_b").join(blocks.select("g", "n_b"), "g").select("g", others("n_b").alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "k", "v")
-    found = _near(members.union(asking), key, least)
-    return found.groupBy("src", "dst").agg(F.max("similarity").alias("similarity"))
-
-
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k best partners of each node of an undirected pair list, as canonical edges: src < dst, similarity."""
     both = pairs.select("src", "dst", "similarity").union(pairs.select("dst", "src", "similarity"))
@@ -111,37 +83,6 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return kept.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("similarity").alias("similarity"))
 
 
-def _centers(df: DataFrame, vector: str, n_cells: int, seed: int, sample_rows: int) -> list[list[float]]:
-    """Centers of k-means on a bounded sample."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    df = df.where(F.col(vector).isNotNull())
-    n = df.count()
-    sample = df if n <= sample_rows else df.where(F.pmod(F.xxhash64(vector), F.lit(-(-n // sample_rows))) == 0)
-    model = KMeans(k=n_cells, seed=seed, featuresCol="_f").fit(sample.select(array_to_vector(vector).alias("_f")))
-    return [c.tolist() for c in model.clusterCenters()]
-
-
-def cells(df: DataFrame, vector: str, n_cells: int, seed: int = 42, sample_rows: int = 500_000) -> tuple[DataFrame, list[list[float]]]:
-    """The rows with the cell whose center is nearest, and the centers, trained by k-means on a bounded sample."""
-    centers = _centers(df, vector, n_cells, seed, sample_rows)
-    far = F.array(*[F.struct(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)])
-    return df.withColumn("cell", F.when(F.col(vector).isNotNull(), F.array_min(far)["cell"])), centers
-
-
-def probe(celled: DataFrame, centers: list[list[float]], query: Sequence[float], n_probe: int, vector: str, k: int, least: float, key: str) -> DataFrame:
-    """Top k among the rows of the cells nearest to the query."""
-    d = np.linalg.norm(np.array(centers) - np.array(query), axis=1)
-    near = [int(i) for i in np.argsort(d, kind="stable")[:n_probe]]
-    return dense_top_k(celled.where(F.col("cell").isin(near)), vector, query, k, least, key)
-
-
-def pairs_within_cells(celled: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """src < dst, similarity of pairs of one cell."""
-    return exact_pairs(celled, key, vector, least, F.col("cell"))
-
-
 def causal_affinity(rows: DataFrame, vectors: DataFrame, user: str, item: str, order: Sequence[str], acted: str, key: str, shrink: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """key, n_prior, affinity: cosine of a row's vector with the sum of its user's earlier acted-on vectors.
 

@@ -11,6 +11,8 @@ from ..functions.times import days_between, seconds_between
 from ..operators import dense as D
 from ..operators import graph as G
 from ..operators import sparse as S
+from ..operators.communities import community_report
+from ..operators.vector_index import VectorIndex
 from ..sources.shared import persist_shared
 from .content import content_features, source_rollups
 from .evaluation_sql import TOKENS, tfidf_sql
@@ -154,28 +156,22 @@ def v02(spark, d):
 
 @query("V03_cell_probe")
 def v03(spark, d):
-    celled, centers = D.cells(table(spark, d, "embeddings"), "embedding", 16)
-    return D.probe(celled, centers, _Q, 8, "embedding", 25, -1.0, "vec_id").select("vec_id", "cell", "similarity")
+    """The 25 best rows of the probed cells for every row whose id is divisible by 20."""
+    e = table(spark, d, "embeddings")
+    return VectorIndex.build(e, "vec_id", "embedding").search(e.where("vec_id % 20 = 0"), "vec_id", "embedding", 25).select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), "similarity", "place")
 
 
 @query("V04_knn_graph", """WITH p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS n FROM p WHERE s >= 0.5) SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, round(s, 5) AS similarity FROM r WHERE n <= 100""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS n FROM p WHERE s >= 0.3) SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, round(s, 5) AS similarity FROM r WHERE n <= 100""")
 def v04(spark, d):
-    pairs = D.exact_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5 - 5e-10).withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.5")
+    pairs = D.exact_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3 - 5e-10).withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.3")
     return D.nearest(pairs, 100).withColumn("similarity", F.round("similarity", 5))
 
 
-def cells_for(n: int) -> tuple[int, int]:
-    """Cells and probes for n rows: cells of about sqrt(n) rows, of which a fourth is probed, 16 at least."""
-    n_cells = max(8, int(n**0.5))
-    return n_cells, min(n_cells, max(16, n_cells // 4))
-
-
 @query("V04_knn_graph_cells")
 def v04c(spark, d):
-    """V04 over an index of cells instead of all pairs: a recall of 0.9 or more of its edges."""
-    e = table(spark, d, "embeddings")
-    pairs = D.cell_pairs(e, "vec_id", "embedding", 0.5 - 5e-10, *cells_for(e.count())).withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.5")
+    """V04 over the stored index instead of all pairs: a recall of 0.9 or more of its edges."""
+    pairs = VectorIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding").near_pairs(0.3, k=100)
     return D.nearest(pairs, 100).withColumn("similarity", F.round("similarity", 5))
 
 
@@ -267,20 +263,21 @@ def v12(spark, d):
 
 
 @query("V13_semantic_dedup", """WITH p AS (SELECT a.vec_id, b.vec_id AS near, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id > b.vec_id)
-    SELECT vec_id, near, round(s, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near) AS n FROM p WHERE s >= 0.6) WHERE n = 1""")
+    SELECT vec_id, near, round(s, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near) AS n FROM p WHERE s >= 0.3) WHERE n = 1""")
 def v13(spark, d):
-    pairs = D.exact_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6 - 5e-10).withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.6")
+    pairs = D.exact_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3 - 5e-10).withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.3")
+    return _nearest_earlier(pairs)
+
+
+def _nearest_earlier(pairs):
     best = F.min_by(F.struct("src", "similarity"), F.struct((-F.col("similarity")).alias("s"), "src")).alias("best")
     return pairs.groupBy(F.col("dst").alias("vec_id")).agg(best).select("vec_id", F.col("best.src").alias("near"), F.round("best.similarity", 5).alias("similarity"))
 
 
 @query("V13_semantic_dedup_cells")
 def v13c(spark, d):
-    """V13 over an index of cells: each row with its nearest earlier one, where both meet in a cell."""
-    e = table(spark, d, "embeddings")
-    pairs = D.cell_pairs(e, "vec_id", "embedding", 0.6 - 5e-10, *cells_for(e.count())).withColumn("similarity", F.round("similarity", 9)).where("similarity >= 0.6")
-    best = F.min_by(F.struct("src", "similarity"), F.struct((-F.col("similarity")).alias("s"), "src")).alias("best")
-    return pairs.groupBy(F.col("dst").alias("vec_id")).agg(best).select("vec_id", F.col("best.src").alias("near"), F.round("best.similarity", 5).alias("similarity"))
+    """V13 over the stored index: each row with its nearest earlier one among the pairs that the index finds."""
+    return _nearest_earlier(VectorIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding").near_pairs(0.3))
 
 
 def _affinity(shrink):
@@ -310,8 +307,15 @@ def v15(spark, d):
 
 @query("V16_cluster_pairs")
 def v16(spark, d):
-    celled, _ = D.cells(table(spark, d, "embeddings"), "embedding", 10)
-    return D.nearest(D.pairs_within_cells(celled, "vec_id", "embedding", 0.3), 3)
+    """The 3 nearest rows of each row within its own of ten clusters."""
+    return VectorIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding", n_cells=10).near_pairs(0.3, k=3, n_probe=1, refine_with=0)
+
+
+@query("V17_communities")
+def v17c(spark, d):
+    """Communities of the graph of near rows that the stored index finds, weighted by similarity."""
+    pairs = VectorIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding").near_pairs(0.4)
+    return community_report(pairs, "src", "dst", "similarity").withColumn("modularity", F.round("modularity", 6))
 
 
 @query("V17_components", """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id

@@ -271,25 +271,6 @@ def test_exact_pairs_of_many_blocks_and_groups(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_cells_find_nine_tenths_of_all_pairs(spark):
-    """Recall of the cell graph against all pairs: on clustered vectors with blocks smaller than cells, and on the tables."""
-    from causeway.operators.dense import cell_pairs
-    from causeway.plans.q_text import cells_for
-
-    r = random.Random(6)
-    centers = [[r.gauss(0, 1) for _ in range(8)] for _ in range(20)]
-    rows = [(i, [c + r.gauss(0, 0.5) for c in centers[i % 20]]) for i in range(800)]
-    tables = [spark.createDataFrame(rows, "k long, v array<double>").repartition(3)]
-    if os.path.isdir("/root/testdata/sf0.01"):
-        tables.append(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS k", "embedding AS v"))
-    for df, least in zip(tables, (0.6, 0.4)):
-        want = {(x["src"], x["dst"]) for x in exact_pairs(df, "k", "v", least).collect()}
-        got = [(x["src"], x["dst"]) for x in cell_pairs(df, "k", "v", least, *cells_for(df.count()), block_rows=30).collect()]
-        assert len(got) == len(set(got)) and set(got) <= want
-        print("recall", len(got) / len(want), "of", len(want))
-        assert len(got) >= 0.9 * len(want)
-
-
 def test_causal_affinity_uses_earlier_rows_only(spark):
     rows = spark.createDataFrame([(1, 1, 0, 1, True), (2, 1, 1, 2, False), (3, 1, 0, 3, False)], "i long, u long, e long, t long, a boolean")
     vec = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "e long, vector array<double>")
@@ -365,20 +346,3 @@ def test_html(spark):
     assert X.visible_text("<p>a &amp; b<script>x<b></script><style>y</style> c</p>") == "a & b c"
     df = spark.createDataFrame([("<p>a &amp;lt; b</p>\n <i>c</i>",)], "h string")
     assert df.select(X.html_to_text(F.col("h")).alias("t")).first()["t"] == "a &lt; b c"
-
-
-def test_cell_probe_recall(spark):
-    """Probing half of the cells finds nine tenths of the true neighbours."""
-    from causeway.operators.dense import cells, dense_top_k, probe
-
-    r = random.Random(6)
-    centers = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
-    vec = [[c + r.gauss(0, 0.3) for c in centers[i % 12]] for i in range(600)]
-    df = spark.createDataFrame(list(enumerate(vec)), "k long, v array<double>").persist()
-    celled, found = cells(df, "v", 12)
-    celled = celled.persist()
-    hits = 0
-    for q in vec[:5]:
-        exact = {x["k"] for x in dense_top_k(df, "v", q, 10, -1.0, "k").collect()}
-        hits += len(exact & {x["k"] for x in probe(celled, found, q, 6, "v", 10, -1.0, "k").collect()})
-    assert hits >= 45
