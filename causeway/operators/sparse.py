@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,50 +98,90 @@ def sparse_top_k(queries: DataFrame, query_key: str, docs: DataFrame, key: str,
     return hits.withColumn("place", place).where(F.col("place") <= k)
 
 
-#: Rows of a term or class in one block: a cell of a self-join meets two blocks at most.
+#: Rows of a term in one block: a cell of a self-join meets two blocks at most.
 BLOCK = 256
 
 
-def _met(rows: DataFrame, by: str, block: int) -> DataFrame:
-    """by, src < dst, product of their weights: pairs of the keys ``k`` with the same ``by``, each once; large groups are dealt out as pairs of bounded blocks."""
+def _met(rows: DataFrame, by: str, block: int, least: float) -> DataFrame:
+    """src < dst, product, rest: the pairs of the keys ``k`` with the same ``by``; large groups are dealt out as pairs of bounded blocks.
+
+    Of two vectors that share a term the parts before and behind it have lengths ``before`` and ``rest``, so their
+    product is at most the sum of the products of parts. A pair that can't reach ``least`` by that isn't made.
+    """
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(by, F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
     placed = rows.join(sizes, by).withColumn("_b", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
     dealt = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")})
-    a = dealt.where("_b = _x").select(by, "_x", "_y", F.col("k").alias("_k"), F.col("weight").alias("_v"))
-    b = dealt.where("_b = _y").select(by, "_x", "_y", F.col("k").alias("_l"), F.col("weight").alias("_w"))
-    met = a.join(b, [by, "_x", "_y"]).where("_x < _y or _k < _l")
-    return met.select(by, F.least("_k", "_l").alias("src"), F.greatest("_k", "_l").alias("dst"), (F.col("_v") * F.col("_w")).alias("product"))
-
-
-def all_pairs(vectors: DataFrame, key: str, least: float, block: int = BLOCK) -> DataFrame:
-    """src < dst, similarity of all pairs of unit vectors with a cosine of at least ``least`` (above 0).
-
-    Equal vectors (to twelve decimals) are compared once, by their least key, and come back as pairs of members.
-    Prefix filter: with terms from rare to frequent, each vector's rest behind its prefix is shorter than half the
-    threshold. All that a pair shares outside both prefixes lies in the rest of the one whose prefix ends first, so a
-    pair that reaches the threshold has at least half of it from both prefixes. So frequent terms make few candidates,
-    and nearly only hits are summed over all terms.
+    side = lambda mine, p: dealt.where(F.col("_b") == F.col(mine)).select(by, "_x", "_y", *[F.col(c).alias(p + c) for c in ("k", "weight", "before", "rest")])
+    met = side("_x", "a_").join(side("_y", "b_"), [by, "_x", "_y"]).where("_x < _y or a_k < b_k")
+    product = lambda c: F.col(f"a_{c}") * F.col(f"b_{c}")
+    met = met.where(product("before") + product("weight") + product("rest") >= least - 1e-6)
+    return met.select(F.least("a_k", "b_k").alias("src"), F.greatest("a_k", "b_k").alias("dst"), product("weight").alias("product"), product("rest").alias("rest"))
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst, similarity of rows with both vectors, as sorted term numbers and weights."""
+    for b in batches:
+        cut = {c: (b.column(c).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(b.column(c).value_lengths().to_numpy(zero_copy_only=False))]) for c in ("at", "aw", "bt", "bw")}
+        out = np.zeros(b.num_rows)
+        for i in range(b.num_rows):
+            at, aw, bt, bw = (v[e[i] : e[i + 1]] for v, e in cut.values())
+            _, x, y = np.intersect1d(at, bt, assume_unique=True, return_indices=True)
+            out[i] = aw[x] @ bw[y]
+        yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(out)], ["src", "dst", "similarity"])
+
+
+def _numbered(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(k, t, weight) with terms as 64-bit numbers, and (t, n) of each; a seed under which two terms meet isn't used."""
+    for seed in range(8):
+        rows = persist_shared(vectors.select(F.col(key).alias("k"), F.xxhash64(F.lit(seed), "term").alias("t"), "weight", F.xxhash64("term", F.lit(seed)).alias("u")), "pair-vectors")
+        terms = persist_shared(rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"), (F.min("u") != F.max("u")).alias("met")), "pair-terms")
+        if terms.where("met").isEmpty():
+            return rows.drop("u"), terms.drop("met")
+    raise ValueError("terms of one number under every seed")
+
+
+def all_pairs(vectors: DataFrame, key: str, least: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pairs (src < dst, similarity) of representatives with a cosine of at least ``least`` (above 0), and membership (k, rep).
+
+    Equal unit vectors (to twelve decimals) are one class, compared once by its least key; two members of a class have
+    a similarity of 1, members of two classes that of their representatives. Copies cost no pairs.
+
+    Terms are ordered from rare to frequent. A vector's prefix ends where its rest is sure to stay below the threshold, by
+    the rest's length or by its weights times the largest weights that any vector has there; so a pair that reaches
+    the threshold shares a term of both prefixes. Only pairs whose parts around a shared prefix term can reach the
+    threshold are made. What a pair shares within the prefixes is summed, and only if it reaches the threshold together
+    with the lengths that remain behind the last shared term, the whole vectors are multiplied.
     """
-    vectors = persist_shared(vectors.select(F.col(key).alias("k"), "term", "weight"), "pair-vectors")
-    whole = F.sort_array(F.collect_list(F.struct("term", F.round("weight", 12).alias("weight"))))
-    named = persist_shared(vectors.groupBy("k").agg(F.sha2(F.to_json(whole), 256).alias("h"), F.sum(F.col("weight") * F.col("weight")).alias("own")), "pair-names")
-    members = persist_shared(named.select("k", "h").join(named.groupBy("h").agg(F.min("k").alias("rep")), "h").select("k", "rep"), "pair-members")
-    single = persist_shared(vectors.join(members.where("k = rep").select("k"), "k", "left_semi"), "pair-single")
-
-    ranked = single.join(single.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "term")
-    rest = Window.partitionBy("k").orderBy(F.col("_df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = ranked.withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(rest)).where(F.col("_rest") >= least * least / 4 - 1e-9)
-    partial = _met(persist_shared(prefix.select("k", "term", "weight"), "pair-prefix"), "term", block).groupBy("src", "dst").agg(F.sum("product").alias("partial"))
-    candidates = partial.where(F.col("partial") >= least / 2 - 1e-6).select("src", "dst")
-    left = single.select(F.col("k").alias("src"), "term", F.col("weight").alias("_a"))
-    right = single.select(F.col("k").alias("dst"), "term", F.col("weight").alias("_b"))
-    dots = candidates.join(left, "src").join(right, ["dst", "term"]).groupBy("src", "dst").agg(F.sum(F.col("_a") * F.col("_b")).alias("similarity"))
-    found = dots.where(F.col("similarity") >= least)
-
-    l, r = (members.select(F.col("rep").alias(c), F.col("k").alias(n)) for c, n in (("src", "_k"), ("dst", "_l")))
-    across = found.join(l, "src").join(r, "dst").select(F.least("_k", "_l").alias("src"), F.greatest("_k", "_l").alias("dst"), "similarity")
-    alike = _met(members.withColumn("weight", F.lit(1.0)), "rep", block).join(named.where(F.col("own") >= least).select(F.col("k").alias("rep"), F.col("own").alias("similarity")), "rep")
-    return across.unionByName(alike.select("src", "dst", "similarity"))
+    rows, terms = _numbered(vectors, key)
+    whole = F.sort_array(F.collect_list(F.struct("t", F.round("weight", 12).alias("w"))))
+    named = persist_shared(rows.groupBy("k").agg(whole.alias("v")).select("k", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")), "pair-names")
+    classes = named.groupBy("h", "g").agg(F.min("k").alias("rep"))
+    members = persist_shared(named.select("k", "h", "g").join(classes, ["h", "g"]).select("k", "rep"), "pair-members")
+    single = persist_shared(named.join(members.where("k = rep").select("k"), "k", "left_semi").select("k", F.col("v.t").alias("t"), F.col("v.w").alias("w")), "pair-single")
+
+    ranked = single.select("k", F.explode(F.arrays_zip("t", "w")).alias("x")).select("k", "x.t", F.col("x.w").alias("weight")).join(terms, "t")
+    order = Window.partitionBy("k").orderBy(F.col("n").desc(), F.col("t").desc())
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    square = F.col("weight") * F.col("weight")
+    ranked = ranked.withColumns({"_rest": F.sum(square).over(upto), "_most": F.sum(F.col("weight") * F.col("most")).over(upto), "_all": F.sum(square).over(Window.partitionBy("k"))})
+    prefix = ranked.where(F.least(F.sqrt("_rest"), F.col("_most")) >= least - 1e-9)
+    root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
+    postings = prefix.select("k", "t", "weight", root(F.col("_all") - F.col("_rest")).alias("before"), root(F.col("_rest") - square).alias("rest"))
+    # What remains behind the last shared term is the least of what remains behind any.
+    partial = _met(persist_shared(postings, "pair-prefix"), "t", block, least).groupBy("src", "dst").agg(F.sum("product").alias("partial"), F.min("rest").alias("rest"))
+    candidates = persist_shared(partial.where(F.col("partial") + F.col("rest") >= least - 1e-6).select("src", "dst"), "pair-candidates")
+    left = single.select(F.col("k").alias("src"), F.col("t").alias("at"), F.col("w").alias("aw"))
+    right = single.select(F.col("k").alias("dst"), F.col("t").alias("bt"), F.col("w").alias("bw"))
+    kind = dict(rows.dtypes)["k"]
+    dots = candidates.join(left, "src").join(right, "dst").mapInArrow(_dots, f"src {kind}, dst {kind}, similarity double")
+    return dots.where(F.col("similarity") >= least - 1e-12), members
+
+
+def pair_report(vectors: DataFrame, key: str, least: float, block: int = BLOCK) -> DataFrame:
+    """src, dst, similarity, kind: pairs of representatives ('pair') and each other member with its own ('copy')."""
+    pairs, members = all_pairs(vectors, key, least, block)
+    copies = members.where("k <> rep").select(F.col("rep").alias("src"), F.col("k").alias("dst"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"))
+    return pairs.withColumn("kind", F.lit("pair")).union(copies)
 
 
 def fuse(layers: list[tuple[DataFrame, float]], key: str, k: int, by: Sequence[str] = ()) -> DataFrame:

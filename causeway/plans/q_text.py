@@ -224,17 +224,13 @@ def v09(spark, d):
     return S.sparse_top_k(q, "item_id", vec, "doc_id", 10, 0.05).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("V10_all_pairs", f"""WITH {tfidf_sql('documents', 'doc_id', 'text', 2, 0.1)} SELECT a.doc_id AS src, b.doc_id AS dst, round(sum(a.weight * b.weight), 6) AS similarity
-    FROM vec a JOIN vec b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.5""")
+@query("V10_all_pairs", f"""WITH {tfidf_sql('documents', 'doc_id', 'text', 2, 0.5)}, m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY v) AS rep FROM (SELECT doc_id, list((term, round(weight, 9)) ORDER BY term) AS v FROM vec GROUP BY doc_id)),
+    r AS (SELECT vec.* FROM vec JOIN m USING (doc_id) WHERE doc_id = rep)
+    SELECT a.doc_id AS src, b.doc_id AS dst, round(sum(a.weight * b.weight), 6) AS similarity, 'pair' AS kind FROM r a JOIN r b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.5
+    UNION ALL SELECT rep, doc_id, 1.0, 'copy' FROM m WHERE rep <> doc_id""")
 def v10(spark, d):
-    return S.all_pairs(S.tfidf(_docs(spark, d), "doc_id", F.col("text"), 2, 0.1), "doc_id", 0.5).withColumn("similarity", F.round("similarity", 6))
-
-
-@query("V10_all_pairs_whole", f"""WITH {tfidf_sql('documents', 'doc_id', 'text', 2, 0.5)} SELECT a.doc_id AS src, b.doc_id AS dst, round(sum(a.weight * b.weight), 6) AS similarity
-    FROM vec a JOIN vec b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.5""")
-def v10_whole(spark, d):
-    """V10 over the vocabulary of the other vector queries: terms of up to half of all documents."""
-    return S.all_pairs(S.tfidf(_docs(spark, d), "doc_id", F.col("text"), 2, 0.5), "doc_id", 0.5).withColumn("similarity", F.round("similarity", 6))
+    """All pairs over the vocabulary of the other vector queries: pairs of representatives, and each other member of a class with its own."""
+    return S.pair_report(S.tfidf(_docs(spark, d), "doc_id", F.col("text"), 2, 0.5), "doc_id", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("V11_attribute_edges", """WITH e AS (SELECT DISTINCT p_partkey, 'types' AS attribute_type, unnest(string_split(p_type, ' ')) AS value FROM part UNION SELECT p_partkey, 'names', unnest(string_split(p_name, ' ')) FROM part),
