@@ -11,6 +11,7 @@ from ..sources import catalog as C
 from ..sources import ledger as L
 from ..sources import remote as R
 from ..sources.shared import shared_dir
+from ..sources.vector_table import VectorTable
 from .registry import query, table
 
 
@@ -96,6 +97,19 @@ def s13(spark, d):
     return dense_top_k(e, "embedding", q, 10, -1.0, "vec_id").select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
+@query("S13_vector_table", """WITH first AS (SELECT vec_id, embedding[1]::DOUBLE AS x, label FROM embeddings WHERE vec_id % 3 <> 0), again AS (SELECT vec_id, embedding[64]::DOUBLE AS x, -1 AS label FROM embeddings WHERE vec_id % 5 = 0),
+    both_ AS (SELECT * FROM again UNION ALL SELECT * FROM first WHERE vec_id NOT IN (SELECT vec_id FROM again))
+    SELECT CAST(vec_id AS VARCHAR) AS id, round(x, 6) AS x, label FROM both_ WHERE vec_id % 7 <> 0 AND vec_id % 2 = 0""")
+def s13b(spark, d):
+    """Upserts, upserts over them, deletes, and the even ids fetched."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    t = VectorTable(spark, _root(spark, "vectors"), "label int")
+    t.upsert(e.where("id % 3 <> 0"))
+    t.upsert(e.where("id % 5 = 0").withColumns({"vector": F.reverse("vector"), "label": F.lit(-1)}))
+    t.delete(e.where("id % 7 = 0").select("id"))
+    return t.fetch(e.where("id % 2 = 0").select("id")).select("id", F.round(F.element_at("vector", 1), 6).alias("x"), "label")
+
+
 @query("S14_service_calls", "SELECT item_id, CAST(length(text) AS VARCHAR) AS result FROM benchmark")
 def s14(spark, d):
     b = table(spark, d, "benchmark").select("item_id", "text")
