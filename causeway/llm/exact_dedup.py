@@ -109,14 +109,14 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns.
 
-    Of rows that repeat id and text the one whose columns hash lowest stays. Null and empty texts are one group; null ids
-    stay only where no other row of the text has one; an empty table gives an empty result; columns that clash with the
+    Of rows that repeat id and text, however many, the one whose columns hash lowest stays. Very long texts are compared
+    whole. Null and empty texts are one group; null ids stay only where no other row of the text has one; an empty table gives an empty result; columns that clash with the
     operator's keep their names.
     """
-    stay = exact_groups(docs, text_col, id_col, block_bytes).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    key = lambda i, sha: F.struct(i.alias("doc_id"), sha.alias("sha")).alias("_key")  # noqa: E731  structs are equal where their nulls are
+    stay = persist_shared(exact_groups(docs, text_col, id_col, block_bytes).where("kept").select(key(F.col("doc_id"), F.col("text_sha256"))), "dedup-stay")
     names = [f"_d{i}" for i in range(len(docs.columns))]
-    keyed = docs.select(docs[id_col].cast("long").alias("_doc"), F.sha2(text_of(docs, text_col), 256).alias("_doc_sha"), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
-    on = keyed["_doc"].eqNullSafe(stay["_id"]) & (keyed["_doc_sha"] == stay["_sha"])
-    # Repeated rows meet in one partition of the join already: no further shuffle.
-    one = keyed.join(stay, on, "left_semi").groupBy("_doc", "_doc_sha").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d"))
-    return one.select(*[F.col(f"d.{n}").alias(c) for c, n in zip(docs.columns, names)])
+    keyed = docs.select(key(docs[id_col].cast("long"), F.sha2(text_of(docs, text_col), 256)), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
+    # Repeated rows become one in the tasks that read them, and texts are shuffled once, for the join too.
+    single = keyed.groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d"))
+    return single.join(stay, "_key", "left_semi").select(*[F.col(f"d.{n}").alias(c) for c, n in zip(docs.columns, names)])

@@ -7,7 +7,9 @@ a spanning forest of its links, not with the pairs: large groups of near copies
 counts need every pair of a bucket compared, but no shingle set travels to all of them: in a bucket of more than
 LEAD_BLOCKS blocks each class is first set against the bucket's lead, its least class, once however many bands share that
 lead, and only its difference from the lead, small for near copies, travels to the block pairs. Differences from one
-lead give the overlap of two sets exactly.
+lead give the overlap of two sets exactly. The blocks of such a bucket grow with the square root of its classes, up to
+MOST_CLASSES, so its rows are copied with a power of 1.5 of their number until blocks are full; a task takes a pair of blocks apart
+into pieces of BLOCK_CLASSES, so what it holds besides the rows doesn't depend on the group.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .shingles import band_hashes, choose_bands, fingerprint, shingle_set
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 96
 #: Bounds of a block: classes, and shingles on average. Small blocks keep the tasks even.
 BLOCK_CLASSES, BLOCK_SHINGLES = 128, 250_000
+#: The same for blocks of differences.
+MOST_CLASSES, MOST_SHINGLES = 4096, 2_000_000
 #: Buckets of more blocks send differences instead of sets; over how many keys the classes of one lead are dealt.
 LEAD_BLOCKS, LEAD_SALTS = 4, 32
 _GROUP = ["band", "hash", "bi", "bj"]
@@ -55,30 +59,53 @@ def text_prints(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int,
     return rows_in.mapInArrow(work, "doc_id long, print long, fp_a long, fp_b long, n_shingles int, bands array<long>")
 
 
-def _new_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of the pairs of this block pair that share no earlier band."""
+def _new_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of the pairs of this block pair that share no earlier band, piece by piece."""
     band = t.column("band")[0].as_py()
     matrix = np.array(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
     block = t.column("block").to_numpy()
     left = np.flatnonzero(block == t.column("bi")[0].as_py())
     same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
     right = left if same else np.flatnonzero(block == t.column("bj")[0].as_py())
-    fresh = np.ones((len(left), len(right)), bool)
-    for k in range(band):
-        fresh &= matrix[left, k][:, None] != matrix[right, k][None, :]
-    if same:
-        fresh &= left[:, None] < right[None, :]
-    i, j = np.nonzero(fresh)
-    return left[i], right[j]
+    for at in range(0, len(left), BLOCK_CLASSES):
+        for to in range(at if same else 0, len(right), BLOCK_CLASSES):
+            l, r = left[at : at + BLOCK_CLASSES], right[to : to + BLOCK_CLASSES]
+            fresh = np.ones((len(l), len(r)), bool)
+            for k in range(band):
+                fresh &= matrix[l, k][:, None] != matrix[r, k][None, :]
+            if same and at == to:
+                fresh &= l[:, None] < r[None, :]
+            i, j = np.nonzero(fresh)
+            if len(i):
+                yield l[i], r[j]
 
 
 def _with_new_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block pair the rows that stand in a new pair."""
     for t in sorted_groups(batches, _GROUP):
-        i, j = _new_pairs(t)
-        if len(i):
-            keep = np.unique(np.concatenate([i, j]))
-            yield from t.select([*_GROUP, "block", "cid", "lead"]).take(keep).combine_chunks().to_batches()
+        stands = np.zeros(t.num_rows, bool)
+        for i, j in _new_pairs(t):
+            stands[i] = stands[j] = True
+        if stands.any():
+            yield from t.select([*_GROUP, "block", "cid", "lead"]).take(np.flatnonzero(stands)).combine_chunks().to_batches()
+
+
+def _part(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of the rows i and j alone, and their places there."""
+    rows, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sets = [flat[offsets[r] : offsets[r + 1]] for r in rows.tolist()]
+    return np.concatenate(sets), np.cumsum([0, *map(len, sets)]), place[: len(i)], place[len(i) :]
+
+
+def _join_trees(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row of each tree, after the trees of i and j are joined."""
+    while (root[i] != root[j]).any():
+        a, b = root[i], root[j]
+        np.minimum.at(root, a, b)
+        np.minimum.at(root, b, a)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
 
 
 def _overlaps(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -108,28 +135,21 @@ def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """cid, root, links: for each class of a block pair the documents that it links to, and a class of its tree."""
         for t in sorted_groups(batches, _GROUP):
-            i, j = _new_pairs(t)
             deltas = t.column("delta").combine_chunks()
             offsets = deltas.offsets.to_numpy() - deltas.offsets[0].as_py()
+            flat = deltas.flatten().to_numpy().view(np.uint64)
             sizes, copies, missing = (t.column(c).to_numpy() for c in ("n_shingles", "copies", "n_missing"))
-            # |A & B| = |L| - |L - A| - |L - B| + |dA & dB| with the lead L and dX, what is in just one of X and L.
-            both = t.column("n_lead")[0].as_py() - missing[i] - missing[j] + _overlaps(deltas.flatten().to_numpy().view(np.uint64), offsets, i, j)
-            near = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
-            i, j = i[near], j[near]
-            if not len(i):
-                continue
-            links = np.bincount(i, copies[j], t.num_rows) + np.bincount(j, copies[i], t.num_rows)
-            root = np.arange(t.num_rows)
-            while True:  # least row of each tree
-                least = root.copy()
-                np.minimum.at(least, i, root[j])
-                np.minimum.at(least, j, root[i])
-                least = least[least]
-                if (least == root).all():
-                    break
-                root = least
+            links, root = np.zeros(t.num_rows), np.arange(t.num_rows)
+            for i, j in _new_pairs(t):
+                # |A & B| = |L| - |L - A| - |L - B| + |dA & dB| with the lead L and dX, what is in just one of X and L.
+                both = t.column("n_lead")[0].as_py() - missing[i] - missing[j] + _overlaps(*_part(flat, offsets, i, j))
+                near = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+                i, j = i[near], j[near]
+                links += np.bincount(i, copies[j], t.num_rows) + np.bincount(j, copies[i], t.num_rows)
+                root = _join_trees(root, i, j)
             rows, cid = np.flatnonzero(links > 0), t.column("cid").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), pa.array(cid[root[rows]]), pa.array(links[rows].astype(np.int64))], ["cid", "root", "links"])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), pa.array(cid[root[rows]]), pa.array(links[rows].astype(np.int64))], ["cid", "root", "links"])
 
     return verify
 
@@ -156,9 +176,11 @@ def jaccard_classes(
 
     thin = classes.select("cid", "n_shingles", F.posexplode("bands").alias("band", "hash"))
     buckets = thin.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("sum"), F.min("cid").alias("lead")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.least(F.col("sum") / BLOCK_SHINGLES, F.col("n")))).cast("int")
-    members = thin.drop("n_shingles").join(buckets.select("band", "hash", blocks.alias("blocks"), "lead"), ["band", "hash"])
-    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("lead", F.when(F.col("blocks") > LEAD_BLOCKS, F.col("lead")))
+    count = lambda classes, shingles: F.greatest(F.ceil(F.col("n") / classes), F.ceil(F.least(F.col("sum") / shingles, F.col("n")))).cast("int")
+    small, wide = count(BLOCK_CLASSES, BLOCK_SHINGLES), count(F.least(F.lit(MOST_CLASSES), F.greatest(F.lit(BLOCK_CLASSES), 4 * F.sqrt("n"))), MOST_SHINGLES)
+    led = small > LEAD_BLOCKS
+    members = thin.drop("n_shingles").join(buckets.select("band", "hash", F.when(led, wide).otherwise(small).alias("blocks"), F.when(led, F.col("lead")).alias("lead")), ["band", "hash"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "hash", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid", "lead")
     dealt = dealt.join(classes.select("cid", "bands"), "cid")
@@ -212,25 +234,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str, n: int
                 yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["cid", "shingles"])
 
     text = text_of(docs, text_col)
-    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
-    w = wanted.select("cid", F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
-    texts = keyed.join(w, (keyed["print"] == w["_print"]) & keyed["doc_id"].eqNullSafe(w["_id"])).dropDuplicates(["_print", "_id"])
+    key = lambda i, p: F.struct(i.alias("doc_id"), p.alias("print")).alias("_key")  # noqa: E731  structs are equal where their nulls are
+    # Repeated rows become one where they are read, and texts are shuffled once, for the join too.
+    single = docs.select(key(docs[id_col].cast("long"), F.xxhash64(text)), text.alias("text")).groupBy("_key").agg(F.min("text").alias("text"))
+    texts = single.join(wanted.select("cid", key(F.col("doc_id"), F.col("print"))), "_key")
     return texts.select("cid", "text").mapInArrow(work, "cid long, shingles array<long>")
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` with one row left of each class, the first by id, with their columns.
 
-    Null, empty and blank texts are classes of their own and stay; a null id is last in its class; of rows that repeat
-    id and text the one whose columns hash lowest stays; an empty table gives an empty result; columns that clash with
-    the operator's keep their names.
+    Null, empty and blank texts are classes of their own and stay; a null id is last in its class; very long texts are
+    compared whole; of rows that repeat id and text the one whose columns hash lowest stays, however many they are; an
+    empty table gives an empty result; columns that clash with the operator's keep their names.
     """
     found = jaccard_classes(docs, text_col, id_col, **options)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("print") == F.col("class_print")))
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("print").alias("_stays")).distinct()
+    key = lambda i, p: F.struct(i.alias("doc_id"), p.alias("print")).alias("_key")  # noqa: E731  structs are equal where their nulls are
+    stay = persist_shared(stay.select(key(F.col("doc_id"), F.col("print"))).distinct(), "jaccard-stay")
     names = [f"_d{i}" for i in range(len(docs.columns))]
-    keyed = docs.select(docs[id_col].cast("long").alias("_doc"), F.xxhash64(text_of(docs, text_col)).alias("_print"), *[docs[c].alias(c_) for c, c_ in zip(docs.columns, names)])
-    on = (keyed["_print"] == stay["_stays"]) & keyed["_doc"].eqNullSafe(stay["_id"])
-    # Repeated rows meet in one partition of the join already: no further shuffle.
-    one = keyed.join(stay, on, "left_semi").groupBy("_print", "_doc").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d"))
-    return one.select(*[F.col(f"d.{n}").alias(c) for c, n in zip(docs.columns, names)])
+    keyed = docs.select(key(docs[id_col].cast("long"), F.xxhash64(text_of(docs, text_col))), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
+    # Repeated rows become one in the tasks that read them, and texts are shuffled once, for the join too.
+    single = keyed.groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d"))
+    return single.join(stay, "_key", "left_semi").select(*[F.col(f"d.{n}").alias(c) for c, n in zip(docs.columns, names)])

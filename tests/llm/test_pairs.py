@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from causeway.llm import jaccard_join, packing, shingles
+from causeway.llm import exact_dedup, jaccard_join, packing, shingles
 from causeway.llm.toxicity import drop_toxic
 from tests.llm.conftest import documents
 
@@ -75,6 +75,27 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     assert classes(spark, rows) == brute_classes(rows)
 
 
+def test_pieces_of_wide_blocks_make_one_tree():
+    """Trees joined piece by piece are those of all links at once."""
+    r = np.random.default_rng(8)
+    i, j = r.integers(0, 200, 150), r.integers(0, 200, 150)
+    whole = jaccard_join._join_trees(np.arange(200), i, j)
+    root = np.arange(200)
+    for at in range(0, 150, 10):
+        root = jaccard_join._join_trees(root, i[at : at + 10], j[at : at + 10])
+    assert (root == whole).all() and (whole[i] == whole[j]).all() and (whole <= np.arange(200)).all()
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.exact_dedup, jaccard_join.near_dedup])
+def test_stages_shuffle_texts_once_and_fold_repeated_rows(spark, stage):
+    """One exchange on the way of the texts, although one row makes up most of the table."""
+    docs = documents(spark, [(1, "one row again and again and again", "a")] * 300 + [(2, "another text of six words here", "a"), (None, None, None), (None, None, None)])
+    out = stage(docs)
+    assert sorted((r["doc_id"] or 0 for r in out.collect())) == [0, 1, 2]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2  # texts, and the ids that stay
+
+
 def test_no_shingle_set_is_copied_with_the_block_pairs(spark, monkeypatch):
     """In a bucket of many blocks only differences from its lead reach the block pairs, each made once for a lead."""
     monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 5)
