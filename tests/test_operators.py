@@ -123,26 +123,48 @@ def test_bootstrap_covers_and_repeats(spark):
     assert a == b and a["low"] < point < a["high"]
 
 
-def test_bootstrap_replays_in_numpy(spark):
-    """Every replicate's AUC, from the same weights over the plain rows; groups, ties, null groups and small partitions."""
+@pytest.mark.parametrize("n", [1, 7, 1024, 2500, 5000])
+def test_draws_of_every_replicate_sum_to_the_clusters(n):
+    import numpy as np
+
+    whole = Boot.DrawTree(n, 30, 4).draws(np.arange(n))
+    assert whole.shape == (n, 30) and (whole.sum(axis=0) == n).all()
+    some = np.random.default_rng(0).integers(0, n, 200)
+    assert (Boot.DrawTree(n, 30, 4).draws(some) == whole[some]).all()
+    if n >= 1024:
+        assert abs(whole.var() - (1 - 1 / n)) < 0.05 and abs((whole == 0).mean() - np.exp(-1)) < 0.01
+
+
+def numpy_areas(some, weight, k):
+    area = sum(weight[p[0]][k] * weight[n[0]][k] * ((p[1] > n[1]) + (p[1] == n[1]) / 2) for p in some if p[2] for n in some if not n[2])
+    pos, neg = (sum(weight[x[0]][k] for x in some if x[2] == v) for v in (1, 0))
+    return area, pos, neg
+
+
+@pytest.mark.parametrize("scores", [9, 1, 400])
+def test_bootstrap_replays_in_numpy(spark, scores):
+    """Every replicate's AUC, from the same tree over the plain rows; groups, null clusters, ties over several partitions."""
     import numpy as np
 
     r = random.Random(3)
-    rows = [(f"u{i % 13}", float(r.randrange(9)), r.randrange(2), r.choice(["a", "b", None])) for i in range(400)]
+    rows = [(f"u{i % 13}" if i % 13 else None, float(r.randrange(scores)), r.randrange(2), r.choice(["a", "b", None])) for i in range(400)]
     df = spark.createDataFrame(rows, "u string, s double, y int, g string").repartition(7)
-    hashes = {x["u"]: x["h"] for x in df.select("u", F.xxhash64("u").alias("h")).distinct().collect()}
+    index = {x["_c"]["c"]: x["index"] for x in Boot.cluster_draws(df, "u", 8, 5).collect()}
+    tree = Boot.DrawTree(13, 8, 5).draws(np.arange(13))
+    weight = {u: tree[i - 1] for u, i in index.items()}
+    assert sorted(index.values()) == list(range(1, 14))
     got = {(x["g"], x["replicate"]): x["auc"] for x in Boot.bootstrap_auc(df, "s", "y", "u", 8, 5, ["g"]).collect()}
-    weight = dict(zip(hashes, Boot.poisson_weights(np.array(list(hashes.values())), 8, 5)))
     for g in ("a", "b", None):
-        some = [x for x in rows if x[3] == g]
         for k in range(8):
-            area = sum(weight[p[0]][k] * weight[n[0]][k] * ((p[1] > n[1]) + (p[1] == n[1]) / 2) for p in some if p[2] for n in some if not n[2])
-            pos, neg = (sum(weight[x[0]][k] for x in some if x[2] == v) for v in (1, 0))
+            area, pos, neg = numpy_areas([x for x in rows if x[3] == g], weight, k)
             assert math.isclose(got[g, k], area / pos / neg)
+    pooled = Boot.pooled_bootstrap(df, "s", "y", "u", "g", 8, 5).first()
+    means = [np.mean([got[g, k] for g in ("a", "b", None)]) for k in range(8)]
+    assert np.allclose([pooled["low"], pooled["high"]], np.quantile(means, [0.025, 0.975]))
 
 
 def test_bootstrap_interval_agrees_with_multinomial(spark):
-    """The interval of Poisson weights against the same bootstrap with clusters drawn with replacement."""
+    """The interval against the same bootstrap with clusters drawn one by one with replacement."""
     import numpy as np
 
     r = np.random.default_rng(2)
