@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.times import quarter_label
 from ..operators.buckets import equal_chunks, quantile_cuts
 from ..operators.evaluation import auc
+from ..operators.isotonic import isotonic_pools, with_curve
 from ..operators.ranking import with_keyed_prefix_sums
 from ..sources.shared import persist_shared
 
@@ -89,30 +89,13 @@ def ridge_cv(df: DataFrame, features: Sequence[str], target: str, key: str, fold
     return df.sparkSession.createDataFrame(out, "fold int, r2 double")
 
 
-def isotonic_fit(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Least-squares increasing values of y in its order, by pooling adjacent violators."""
-    value: list[float] = []
-    weight: list[float] = []
-    size: list[int] = []
-    for b, c in zip(y, w):
-        value.append(float(b))
-        weight.append(float(c))
-        size.append(1)
-        while len(value) > 1 and value[-2] >= value[-1]:
-            t = weight[-2] + weight[-1]
-            value[-2:] = [(value[-2] * weight[-2] + value[-1] * weight[-1]) / t]
-            weight[-2:] = [t]
-            size[-2:] = [size[-2] + size[-1]]
-    return np.repeat(value, size)
-
-
-def isotonic_residuals(df: DataFrame, score: str, confounds: Sequence[str], key: str, bins: int = 1000, seed: int = 42, cross_fit: bool = True) -> DataFrame:
+def isotonic_residuals(df: DataFrame, score: str, confounds: Sequence[str], key: str, seed: int = 42, cross_fit: bool = True) -> DataFrame:
     """key, residual: the score less increasing functions of the confounds' ranks, one after another.
 
     Rows fall into halves by a hash of the key; ranks, ties at their mean, are shares of the half. In each half the score
     is fitted on the first confound, what is left on the next, and so on; a row's residual takes the functions of the
-    other half (without ``cross_fit`` there is one half, fitted on itself). Functions are fitted on at most ``bins`` means
-    by rank, all that the driver sees, and are linear between them; rows without a confound or score are left out.
+    other half (without ``cross_fit`` there is one half, fitted on itself). Functions are fitted on the mean of each
+    distinct rank and are linear between pools; rows without a confound or score are left out.
     """
     half = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2 if cross_fit else 1)).cast("int")
     whole = df.select(key, half.alias("_half"), F.col(score).cast("double").alias("_s"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(confounds)]).dropna()
@@ -126,29 +109,14 @@ def isotonic_residuals(df: DataFrame, score: str, confounds: Sequence[str], key:
         rows = rows.join(ranks, ["_half", f"_c{i}"])
     rows = persist_shared(rows.withColumns({"_fit": F.col("_s"), "_apply": F.col("_s")}), "isotonic-ranks")
     for i in range(len(confounds)):
-        by = rows.groupBy("_half", F.floor(F.col(f"_r{i}") * bins).alias("_bin")).agg(F.avg(f"_r{i}").alias("x"), F.avg("_fit").alias("y"), F.count(F.lit(1)).alias("w"))
-        means = by.toPandas().sort_values(["_half", "x"])  # 2 * bins rows
-        curves = {int(h): (g["x"].to_numpy(), isotonic_fit(g["y"].to_numpy(), g["w"].to_numpy(float))) for h, g in means.groupby("_half")}
-        fitted = _curve_values(curves)
-        other = (1 - F.col("_half")) if cross_fit else F.col("_half")
-        rows = rows.withColumns({"_fit": F.col("_fit") - fitted(F.col("_half"), F.col(f"_r{i}")), "_apply": F.col("_apply") - fitted(other, F.col(f"_r{i}"))})
+        points = rows.groupBy(F.col("_half").alias("key"), F.col(f"_r{i}").alias("x")).agg(F.sum("_fit").alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+        pools = persist_shared(isotonic_pools(points), "isotonic-curve")
+        own = with_curve(rows, F.col("_half"), f"_r{i}", pools, "_own")
+        other = with_curve(own, 1 - F.col("_half"), f"_r{i}", pools, "_other") if cross_fit else own.withColumn("_other", F.col("_own"))
+        rows = persist_shared(other.withColumns({"_fit": F.col("_fit") - F.col("_own"), "_apply": F.col("_apply") - F.col("_other")}).drop("_own", "_other"), "isotonic-left")
     return rows.select(key, F.col("_apply").alias("residual"))
 
 
-def _curve_values(curves: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """A function of (half, rank) that is linear between the points of the half's curve and flat beyond its ends."""
-
-    @F.pandas_udf("double")
-    def fitted(halves: pd.Series, ranks: pd.Series) -> pd.Series:
-        out = np.zeros(len(ranks))
-        for h, (x, y) in curves.items():
-            here = (halves == h).to_numpy()
-            out[here] = np.interp(ranks[here], x, y)
-        return pd.Series(out)
-
-    return fitted
-
-
 def score_folds(df: DataFrame, at: str, features: Sequence[str], label: str, kind: str = "logistic", most_folds: int = 4, **options) -> tuple[DataFrame, DataFrame]:
     """(test rows with fold and score, coefficients or importances by fold) of walk-forward folds.
 

@@ -4,6 +4,7 @@ import itertools
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,14 +79,51 @@ def test_ridge_matches_normal_equations(sample):
         assert np.isclose(got[k], 1 - (e**2).sum() / ((t[f == k] - t[f == k].mean()) ** 2).sum(), atol=2e-3)
 
 
-def test_isotonic_is_the_best_increasing_fit():
+def pooled(y, w):
+    """Least-squares increasing values of y in its order, by pooling adjacent violators."""
+    value, weight, size = [], [], []
+    for b, c in zip(y, w):
+        value.append(float(b))
+        weight.append(float(c))
+        size.append(1)
+        while len(value) > 1 and value[-2] >= value[-1]:
+            t = weight[-2] + weight[-1]
+            value[-2:] = [(value[-2] * weight[-2] + value[-1] * weight[-1]) / t]
+            weight[-2:] = [t]
+            size[-2:] = [size[-2] + size[-1]]
+    return np.repeat(value, size)
+
+
+def test_pooling_is_the_best_increasing_fit():
     """The max-min formula of isotonic regression, over all intervals."""
     r = np.random.default_rng(1)
     for n in (1, 2, 5, 17):
         y, w = r.normal(size=n), r.integers(1, 5, n).astype(float)
         mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
         want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
-        assert np.allclose(M.isotonic_fit(y, w), want)
+        assert np.allclose(pooled(y, w), want)
+
+
+@pytest.mark.parametrize("shape", ["noise", "rising", "falling", "steps"])
+def test_merged_pools_equal_plain_pooling(spark, shape):
+    """100,000 distinct ranks over many partitions, windows of few pools; curves of two keys, read between and beyond pools."""
+    from causeway.operators.isotonic import isotonic_pools, with_curve
+
+    n, r = 100_000 if shape == "noise" else 20_000, np.random.default_rng(4)
+    x = (np.arange(n) + 0.5) / n
+    y = {"noise": r.normal(size=n) + 2 * x, "rising": x * 3.0, "falling": -x, "steps": np.floor(x * 7) + r.normal(size=n) * 0.01}[shape]
+    w = r.integers(1, 4, n).astype(float)
+    both = pd.DataFrame({"key": np.repeat([0, 1], n).astype(np.int32), "x": np.r_[x, x], "total": np.r_[y * w, -y * w], "weight": np.r_[w, w]})
+    pools = isotonic_pools(spark.createDataFrame(both).repartition(9), window=8).toPandas().sort_values(["key", "first"])
+    for key, sign in ((0, 1), (1, -1)):
+        p, want = pools[pools["key"] == key], pooled(sign * y, w)
+        got = np.repeat(p["value"].to_numpy(), np.searchsorted(x, p["last"].to_numpy(), "right") - np.searchsorted(x, p["first"].to_numpy()))
+        assert np.allclose(got, want)
+        if key == 0:
+            asks = np.r_[r.random(300), 0.0, 1.0, x[:3]]
+            rows = spark.createDataFrame([(i, float(a)) for i, a in enumerate(asks)], "i int, a double")
+            read = with_curve(rows, F.lit(0), "a", spark.createDataFrame(pools), "v").orderBy("i").toPandas()
+            assert np.allclose(read["v"], np.interp(asks, x, want)) and read["i"].tolist() == list(range(len(asks)))
 
 
 @pytest.mark.parametrize("cross", [True, False])
@@ -95,7 +133,7 @@ def test_isotonic_residuals_match_numpy(spark, cross):
     u, e = r.integers(0, 30, n).astype(float), r.normal(size=n)
     s = 0.1 * u + e + r.normal(size=n)
     df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(s, u, e))], "id long, s double, u double, e double").repartition(3)
-    got = {x["id"]: x["residual"] for x in M.isotonic_residuals(df, "s", ["u", "e"], "id", bins=10**9, cross_fit=cross).collect()}
+    got = {x["id"]: x["residual"] for x in M.isotonic_residuals(df, "s", ["u", "e"], "id", cross_fit=cross).collect()}
     half = np.array([x["h"] for x in df.select("id", F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(2 if cross else 1)).alias("h")).orderBy("id").collect()])
 
     def rank(v):
@@ -108,7 +146,7 @@ def test_isotonic_residuals_match_numpy(spark, cross):
 
     def curve(x, y):
         at = np.unique(x)
-        return at, M.isotonic_fit(np.array([y[x == a].mean() for a in at]), np.array([(x == a).sum() for a in at], float))
+        return at, pooled(np.array([y[x == a].mean() for a in at]), np.array([(x == a).sum() for a in at], float))
 
     for h in set(half):
         fit, use = half == h, half == ((1 - h) if cross else h)
