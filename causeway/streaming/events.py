@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..sources.shared import shared_dir
 
@@ -48,30 +48,85 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_at: str, rig
     return left.alias("l").join(right.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & near)
 
 
-def rows_since_flag(stream: DataFrame, key: str, at: str, flag: str, row: str) -> DataFrame:
-    """key, row, since: rows since the last flagged row of the key, as state of one number for each key.
-
-    The state outlives batches; rows of one batch are put in time order first.
-    """
-
-    def work(keys: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values([at, row])
+#: The store that keeps lists and timers of many keys on disk.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class SinceFlag(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them; then they are answered in time order."""
+
+    def __init__(self, key: str, at: str, flag: str, row: str, row_type: T.DataType) -> None:
+        self.key, self.at, self.flag, self.row, self.row_type = key, at, flag, row, row_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        waiting = T.StructType([T.StructField("at", T.LongType()), T.StructField("row", self.row_type), T.StructField("hit", T.BooleanType())])
+        self.waiting = handle.getListState("waiting", waiting)
+        self.since = handle.getValueState("since", T.StructType([T.StructField("n", T.LongType())]))
+        self.handle = handle
+
+    def _wait_for(self, earliest: int, expired: int | None = None) -> None:
+        """One timer for each key, at its earliest waiting row (microseconds); the one that has just expired goes by itself."""
+        at = earliest // 1000 + 1
+        for timer in [x for x in self.handle.listTimers() if x != expired]:
+            if timer <= at:
+                return
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for f in rows:
+            micros = f[self.at].astype("datetime64[us]").astype("int64").tolist()
+            self.waiting.appendList(list(zip(micros, f[self.row].tolist(), [bool(x) for x in f[self.flag]])))
+            earliest = min([*micros, *([] if earliest is None else [earliest])])
+        if earliest is not None:
+            self._wait_for(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(x) for x in self.waiting.get())
+        ready, left = [x for x in rows if x[0] < passed], [x for x in rows if x[0] >= passed]
+        since = self.since.get()[0] if self.since.exists() else 0
         out = []
-        for hit in rows[flag]:
+        for _, _, hit in ready:
             out.append(since)
             since = 0 if hit else since + 1
-        state.update((since,))
-        yield pd.DataFrame({key: rows[key].to_numpy(), row: rows[row].to_numpy(), "since": out})
+        self.since.update((since,))
+        if left:
+            self.waiting.put(left)
+            self._wait_for(left[0][0], expiredTimerInfo.getExpiryTimeInMs())
+        else:
+            self.waiting.clear()
+        if ready:
+            yield pd.DataFrame({self.key: [key[0]] * len(ready), self.row: [x[1] for x in ready], "since": out})
 
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    return stream.groupBy(key).applyInPandasWithState(work, f"{key} {kinds[key]}, {row} {kinds[row]}, since bigint", "since bigint", "append", GroupStateTimeout.NoTimeout)
+
+def rows_since_flag(stream: DataFrame, key: str, at: str, flag: str, row: str) -> DataFrame:
+    """key, row, since: rows since the last flagged row of the key, in the order of time and row.
+
+    Needs a watermark on ``at`` and a session with ROCKSDB: rows wait as list state until the watermark has passed them, so
+    rows that come late, within the watermark, in whatever batch, are counted in their place. Rows behind the watermark are
+    dropped; rows that it hasn't passed when the stream stops stay in the state for the next run. What a key holds is
+    what came within the watermark's delay.
+    """
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(row, kinds[row]), T.StructField("since", T.LongType())])
+    return stream.groupBy(key).transformWithStateInPandas(SinceFlag(key, at, flag, row, kinds[row]), schema, "Append", "EventTime")
 
 
-def run_to_table(build: Callable[[], DataFrame], name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, into Parquet in the shared folder, and read it back."""
+def run_to_table(build: Callable[[], DataFrame], name: str, mode: str = "append", conf: Mapping[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there now, into Parquet in the shared folder, and read it back; ``conf`` holds meanwhile."""
     stream = build()
-    root = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
