@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from pyspark.sql.window import Window
 
 from .ranking import with_row_number
@@ -97,6 +100,37 @@ class Methods:
         return out
 
 
+def register_table_function(spark: SparkSession, name: str, schema: str, start: Callable[[], tuple], step: Callable[[tuple, Row], tuple]) -> None:
+    """A fold over the rows of each partition as a SQL function: ``SELECT * FROM name(TABLE(...) PARTITION BY key)``.
+
+    The first column of the table is the key, and the function answers it with the columns of ``schema``, the state after
+    the partition's last row. The schema of the answer follows from that of the table when the query is analysed. Only a state
+    is held, so a partition may have any number of rows.
+    """
+    told = T._parse_datatype_string(schema).fields
+
+    class Fold:
+        def __init__(self) -> None:
+            self.key, self.state = None, None
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError(f"{name} takes a TABLE argument")
+            return AnalyzeResult(schema=T.StructType([rows.dataType.fields[0], *told]))
+
+        def eval(self, row: Row) -> None:
+            if self.state is None:
+                self.key, self.state = row[0], start()
+            self.state = step(self.state, row)
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.state is not None:
+                yield (self.key, *self.state)
+
+    spark.udtf.register(name, udtf(Fold))
+
+
 def chunked_job(df: DataFrame, key: str, n_chunks: int, process: Callable[[DataFrame], DataFrame], root: str) -> DataFrame:
     """``process`` over hash chunks of the key, each committed on its own; chunks that are done are not done again.
 

@@ -83,6 +83,14 @@ def kaplan_meier(df: DataFrame, time: str, event: str) -> DataFrame:
     return out.select("time", "at_risk", "events", F.exp("_log").alias("survival"))
 
 
+def median_survival(curve: DataFrame) -> DataFrame:
+    """One row: median, the first time at which half or fewer survive; null if more than half outlast the last event.
+
+    ``curve`` is that of ``kaplan_meier``; a survival within 1e-12 of one half counts as one half.
+    """
+    return curve.agg(F.min(F.when(F.col("survival") <= 0.5 + 1e-12, F.col("time"))).alias("median"))
+
+
 def label_noise(df: DataFrame, score: str, label: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose label fights their score: 0 above the upper, 1 below the lower score quantile; with gap."""
     cuts = quantile_cuts(df, score, [low, high]).select(F.col("q0").alias("_low"), F.col("q1").alias("_high"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -96,3 +98,77 @@ def require(df: DataFrame, column: str, good: Sequence[Any]) -> DataFrame:
     if bad:
         raise GateError(f"gate failed: {[r.asDict() for r in bad]}")
     return df
+
+
+@dataclass
+class RowCount:
+    """n_rows within the hard band or the write is refused, outside the soft one a warning."""
+
+    hard: tuple[int, int]
+    soft: tuple[int, int]
+
+    def metrics(self) -> dict[str, Column]:
+        return {"n_rows": F.count(F.lit(1))}
+
+    def verdict(self, seen: Mapping[str, int]) -> str:
+        n = seen["n_rows"]
+        return "ABORT" if not self.hard[0] <= n <= self.hard[1] else "OK" if self.soft[0] <= n <= self.soft[1] else "WARN"
+
+
+@dataclass
+class Nulls:
+    """No nulls in the required columns, nor in the conditional ones where ``when`` is not null."""
+
+    required: Sequence[str]
+    when: str | None = None
+    conditional: Sequence[str] = ()
+
+    def metrics(self) -> dict[str, Column]:
+        count = lambda found: F.coalesce(F.sum(sum((f.cast("long") for f in found), F.lit(0).cast("long"))), F.lit(0).cast("long"))
+        out = {"required_nulls": count([F.col(c).isNull() for c in self.required])}
+        return out | ({"conditional_nulls": count([F.col(self.when).isNotNull() & F.col(c).isNull() for c in self.conditional])} if self.when else {})
+
+    def verdict(self, seen: Mapping[str, int]) -> str:
+        return "ABORT" if seen["required_nulls"] or seen.get("conditional_nulls", 0) else "OK"
+
+
+@dataclass
+class Coverage:
+    """Share of the rows in scope that are found; an empty scope holds."""
+
+    scope: Column
+    found: Column
+    warn: float
+    abort: float
+
+    def metrics(self) -> dict[str, Column]:
+        return {"n_scope": F.count_if(self.scope), "n_found": F.count_if(self.scope & self.found)}
+
+    def verdict(self, seen: Mapping[str, int]) -> str:
+        share = seen["n_found"] / seen["n_scope"] if seen["n_scope"] else 1.0
+        return "ABORT" if share < self.abort else "WARN" if share < self.warn else "OK"
+
+
+def gated_write(df: DataFrame, path: str, checks: Sequence[RowCount | Nulls | Coverage]) -> dict[str, Any]:
+    """Write the table to ``path`` if the checks allow it; their metrics, and ``verdict``, OK or WARN. Else GateError.
+
+    Metrics are observed while the rows are written, so nothing is read twice. Rows go to a fresh folder beside the path,
+    which becomes the path by a rename, or is taken away: readers see the whole table or none. A path that exists is refused.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        raise FileExistsError(path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-{uuid.uuid4().hex}.tmp")
+    watch = Observation()
+    metrics = {k: v for c in checks for k, v in c.metrics().items()}
+    df.observe(watch, *[v.alias(k) for k, v in metrics.items()]).write.parquet(aside.toString())
+    seen = watch.get
+    verdicts = [c.verdict(seen) for c in checks]
+    if "ABORT" in verdicts:
+        fs.delete(aside, True)
+        raise GateError(f"{path} refused: {seen}")
+    if not fs.rename(aside, at):
+        raise FileExistsError(path)
+    return seen | {"verdict": "WARN" if "WARN" in verdicts else "OK"}

@@ -18,6 +18,7 @@ from ..operators.buckets import equal_chunks, quantile_cuts
 from ..operators.evaluation import auc
 from ..operators.isotonic import isotonic_pools, with_curve
 from ..operators.ranking import with_keyed_prefix_sums
+from ..sources.catalog import row_fingerprint
 from ..sources.shared import persist_shared
 
 
@@ -185,8 +186,14 @@ def temporal_auc(df: DataFrame, features: Sequence[str], label: str, at: str, sh
 
 
 def compare_predictions(a: DataFrame, b: DataFrame, keys: Sequence[str], score: str, least_corr: float = 0.99999) -> DataFrame:
-    """One row: n_a, n_b, n_both, corr, max_drift (share of a), equal."""
-    both = a.select(*keys, F.col(score).alias("a")).join(b.select(*keys, F.col(score).alias("b")), list(keys), "full")
+    """One row: n_a, n_b, n_both, corr, max_drift (share of a), equal, same_hash.
+
+    ``same_hash`` says whether the tables of keys and scores have equal fingerprints: the same rows to the last bit, in any order.
+    """
+    first, second = (x.select(*keys, F.col(score).cast("double").alias("score")) for x in (a, b))
+    both = first.withColumnRenamed("score", "a").join(second.withColumnRenamed("score", "b"), list(keys), "full")
     out = both.agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"), F.corr("a", "b").alias("corr"),
                    F.max(F.try_divide(F.abs(F.col("a") - F.col("b")), F.abs("a"))).alias("max_drift"))
-    return out.withColumn("equal", (F.col("n_a") == F.col("n_b")) & (F.col("n_a") == F.col("n_both")) & (F.coalesce("corr", F.lit(1.0)) >= least_corr))
+    out = out.withColumn("equal", (F.col("n_a") == F.col("n_b")) & (F.col("n_a") == F.col("n_both")) & (F.coalesce("corr", F.lit(1.0)) >= least_corr))
+    prints = row_fingerprint(first).select(F.col("fingerprint").alias("_a")).crossJoin(row_fingerprint(second).select(F.col("fingerprint").alias("_b")))  # one row each
+    return out.crossJoin(prints).withColumn("same_hash", F.col("_a") == F.col("_b")).drop("_a", "_b")

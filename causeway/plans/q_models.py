@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import month_label
@@ -167,17 +170,26 @@ def m21(spark, d):
     return E.kaplan_meier(t, "time", "event").withColumn("survival", F.round("survival", 6))
 
 
+@query("M21_median_survival", """WITH t AS (SELECT date_diff('day', min(o_orderdate), max(o_orderdate)) // 100 AS time, (max(o_orderstatus) = 'P')::INT AS event FROM orders GROUP BY o_custkey), s AS (SELECT time, sum(event) AS events, count(*) AS n FROM t GROUP BY 1),
+    r AS (SELECT time, events, sum(n) OVER (ORDER BY time DESC) AS at_risk FROM s), c AS (SELECT time, product(1 - events / at_risk) OVER (ORDER BY time) AS survival FROM r WHERE events > 0)
+    SELECT CAST(min(time) FILTER (survival <= 0.5) AS BIGINT) AS median FROM c""")
+def m21b(spark, d):
+    t = table(spark, d, "orders").groupBy("o_custkey").agg(F.floor(F.datediff(F.max("o_orderdate"), F.min("o_orderdate")) / 100).alias("time"), (F.max("o_orderstatus") == "P").cast("int").alias("event"))
+    return E.median_survival(E.kaplan_meier(t, "time", "event"))
+
+
 @query("M22_prediction_equivalence", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS s FROM customer), b AS (SELECT c_custkey AS k, c_acctbal * 1.0000001::DOUBLE AS s, c_nationkey FROM customer),
     j AS (SELECT 'near' AS kind, a.s AS x, b.s AS y, a.k AS ka, b.k AS kb FROM a FULL JOIN b USING (k) UNION ALL SELECT 'partial', a.s, c.s, a.k, c.k FROM a FULL JOIN (SELECT * FROM b WHERE c_nationkey > 2) c USING (k)
-      UNION ALL SELECT 'noisy', a.s, c.s, a.k, c.k FROM a FULL JOIN (SELECT k, s + c_nationkey * 10 AS s FROM b) c USING (k))
-    SELECT kind, count(x) AS n_a, count(y) AS n_b, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_both, count(x) = count(y) AND count(x) = count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AND coalesce(corr(x, y), 1) >= 0.99999 AS equal FROM j GROUP BY 1""")
+      UNION ALL SELECT 'noisy', a.s, c.s, a.k, c.k FROM a FULL JOIN (SELECT k, s + c_nationkey * 10 AS s FROM b) c USING (k) UNION ALL SELECT 'same', s, s, k, k FROM a)
+    SELECT kind, count(x) AS n_a, count(y) AS n_b, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_both, count(x) = count(y) AND count(x) = count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AND coalesce(corr(x, y), 1) >= 0.99999 AS equal,
+      count(*) FILTER (x IS DISTINCT FROM y OR ka IS DISTINCT FROM kb) = 0 AS same_hash FROM j GROUP BY 1""")
 def m22(spark, d):
     c = table(spark, d, "customer")
     a = c.select("c_custkey", F.col("c_acctbal").alias("s"))
     b = c.select("c_custkey", (F.col("c_acctbal") * 1.0000001).alias("s"), "c_nationkey")
-    others = {"near": b, "partial": b.where("c_nationkey > 2"), "noisy": b.withColumn("s", F.col("s") + F.col("c_nationkey") * 10)}
-    out = [M.compare_predictions(a, o.select("c_custkey", "s"), ["c_custkey"], "s").select(F.lit(k).alias("kind"), "n_a", "n_b", "n_both", "equal") for k, o in others.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    others = {"near": b, "partial": b.where("c_nationkey > 2"), "noisy": b.withColumn("s", F.col("s") + F.col("c_nationkey") * 10), "same": a.orderBy(F.col("s").desc())}
+    out = [M.compare_predictions(a, o.select("c_custkey", "s"), ["c_custkey"], "s").select(F.lit(k).alias("kind"), "n_a", "n_b", "n_both", "equal", "same_hash") for k, o in others.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("M24_profile", """SELECT 'c_acctbal' AS "column", count(c_acctbal)::DOUBLE AS n, (count(*) - count(c_acctbal))::DOUBLE AS n_null, round(avg(c_acctbal), 4) AS mean, round(stddev_pop(c_acctbal), 4) AS std, min(c_acctbal) AS low, median(c_acctbal) AS p50, max(c_acctbal) AS high, round(corr(c_acctbal, c_nationkey), 6) AS corr FROM customer
@@ -212,6 +224,23 @@ def q03(spark, d):
     return G.coverage_gate(j, F.col("lang") == "en", F.col("m").isNotNull(), 0.99, 0.95)
 
 
+@query("Q03_gated_write", """WITH j AS (SELECT o_orderkey, o_totalprice, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+    SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey IS NULL) AS required_nulls, count(*) FILTER (c_name IS NOT NULL AND c_mktsegment IS NULL) AS conditional_nulls, count(*) FILTER (o_totalprice > 1000) AS n_scope,
+      count(*) FILTER (o_totalprice > 1000 AND c_name IS NOT NULL) AS n_found, 'OK' AS verdict, count(*) AS n_written FROM j""")
+def q03b(spark, d):
+    """Gate metrics gathered in the pass that writes the table; the table is there only if they hold."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    path = f"{shared_dir(spark)}/gated-{uuid.uuid4().hex}"
+    checks = [G.RowCount((10, 100_000_000), (100, 10_000_000)), G.Nulls(["o_orderkey"], "c_name", ["c_mktsegment"]), G.Coverage(F.col("o_totalprice") > 1000, F.col("c_name").isNotNull(), 0.99, 0.95)]
+    seen = G.gated_write(o.join(c, o["o_custkey"] == c["c_custkey"], "left"), path, checks)
+    said = spark.createDataFrame([tuple(seen[k] for k in ("n_rows", "required_nulls", "conditional_nulls", "n_scope", "n_found", "verdict"))], "n_rows long, required_nulls long, conditional_nulls long, n_scope long, n_found long, verdict string")
+    return said.crossJoin(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_written")))  # one row each
+
+
 @query("Q04_missing_categories", "SELECT v AS event_type FROM (VALUES ('view'), ('click'), ('bounce'), ('open')) t(v) WHERE v NOT IN (SELECT event_type FROM events WHERE event_type IS NOT NULL)")
 def q04(spark, d):
     return G.missing_categories(table(spark, d, "events"), "event_type", ["view", "click", "bounce", "open"])
@@ -281,6 +310,17 @@ def f05(spark, d):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query("F05_table_function", """SELECT o_custkey AS key, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS largest FROM orders GROUP BY 1""")
+def f05b(spark, d):
+    """A method registered as a table function, called from SQL over the orders of each customer."""
+    from ..operators.apply import register_table_function
+
+    register_table_function(spark, "spend_of_key", "n long, total double, largest double", lambda: (0, 0.0, 0.0), lambda s, r: (s[0] + 1, s[1] + r[1], max(s[2], r[1])))
+    table(spark, d, "orders").createOrReplaceTempView("causeway_orders")
+    found = spark.sql("SELECT * FROM spend_of_key(TABLE(SELECT o_custkey, CAST(o_totalprice AS DOUBLE) AS price FROM causeway_orders) PARTITION BY o_custkey)")
+    return found.select(F.col("o_custkey").alias("key"), "n", F.round("total", 2).alias("total"), "largest")
+
+
 @query("F06_chunked_job", "SELECT l_partkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
 def f06(spark, d):
     """A job in chunks of keys, each committed on its own; a second run reads what the first one left."""

@@ -116,6 +116,26 @@ def s14(spark, d):
     return R.call_service(b, "text", lambda texts: [str(len(t)) for t in texts], "string").select("item_id", "result")
 
 
+@query("S14_dead_letters", """SELECT item_id, CASE WHEN length(text) % 11 <> 0 THEN CAST(length(text) AS VARCHAR) END AS result, CASE WHEN length(text) % 11 = 0 THEN 'ValueError: refused' END AS error,
+    CASE WHEN length(text) % 11 = 0 OR length(text) % 7 = 0 THEN 2 ELSE 1 END AS run FROM benchmark""")
+def s14b(spark, d):
+    """A service that refuses some items at first and some for good: the second run takes up what failed."""
+    b, root = table(spark, d, "benchmark").select("item_id", "text"), _root(spark, "calls")
+
+    def service(bad):
+        def call(texts):
+            if any(len(t) % 11 == 0 or (bad and len(t) % 7 == 0) for t in texts):
+                raise ValueError("refused")
+            return [str(len(t)) for t in texts]
+
+        return call
+
+    R.resumed_calls(b, "item_id", "text", service(True), "string", root, batch=16, retries=1)
+    results, dead = R.resumed_calls(b, "item_id", "text", service(False), "string", root, batch=16, retries=1)
+    said = lambda df: df.select("item_id", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("result", "error")], "run")
+    return said(results).unionByName(said(dead))
+
+
 @query("S19_result_cache", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
 def s19(spark, d):
     c = table(spark, d, "customer")

@@ -81,10 +81,10 @@ def test_jdbc_months(spark):
 
 
 def test_failing_service_gives_null(spark):
-    calls = remote.call_service(spark.range(4), "id", lambda xs: 1 / 0, "double", batch=2, retries=2)
+    calls = remote.call_service(spark.range(4), "id", lambda xs: 1 / 0, "double", batch=2, retries=2, wait=0.01)
     assert [(r["result"], r["error"]) for r in calls.collect()] == [(None, "ZeroDivisionError: division by zero")] * 4
     with pytest.raises(Exception, match="ZeroDivisionError"):
-        remote.call_service(spark.range(4), "id", lambda xs: 1 / 0, "double", strict=True).collect()
+        remote.call_service(spark.range(4), "id", lambda xs: 1 / 0, "double", strict=True, wait=0.01).collect()
 
 
 def test_rows_to_table_sees_every_row(spark):
@@ -140,3 +140,125 @@ def test_methods_run_on(spark):
     assert out["count"].first()[0] == 3 and isinstance(out["bad"], Exception)
     with pytest.raises(ValueError):
         m.register("count")
+
+
+class Clock:
+    def __init__(self):
+        self.now, self.waits = 0.0, []
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.waits.append(seconds)
+        self.now += seconds
+
+
+def test_a_bucket_lets_through_no_more_than_its_rate():
+    clock = Clock()
+    bucket, calls = remote.TokenBucket(4.0, 2.0, clock, clock.sleep), []
+    for k in range(20):
+        bucket.take()
+        calls.append(clock.now)
+        clock.now += 0.05 if k % 3 else 0.0
+    assert all(sum(a <= t < a + 1.0 for t in calls) <= 4 + 2 for a in calls)
+    assert calls[-1] == pytest.approx((20 - 2) / 4, abs=0.3)
+    clock.now += 100
+    bucket.take(), bucket.take()
+    assert clock.now == pytest.approx(calls[-1] + 0.05 + 100, abs=0.1)  # a full burst, no more, after a pause
+
+
+def test_waits_grow_with_jitter_and_failing_items_stand_alone():
+    clock, seen = Clock(), []
+
+    def call(xs):
+        seen.append(list(xs))
+        if 5 in xs:
+            raise OSError("no five")
+        return [x * 2 for x in xs]
+
+    calls = remote.ServiceCalls(call, 3, remote.TokenBucket(1000.0, 1.0, clock, clock.sleep), 1.0, 30.0, clock.sleep, seed=3)
+    out, errors = calls.run(list(range(8)))
+    assert out == [0, 2, 4, 6, 8, None, 12, 14] and [i for i, e in enumerate(errors) if e] == [5] and errors[5] == "OSError: no five"
+    pauses = [w for w in clock.waits if w > 0.1]
+    assert len(pauses) == 2 * sum(1 for x in {tuple(x) for x in seen} if 5 in x)
+    assert all(0.5 <= w <= 1.5 for w in pauses[::2]) and all(1.0 <= w <= 3.0 for w in pauses[1::2]) and len(set(pauses)) == len(pauses)
+    short = remote.ServiceCalls(lambda xs: xs[:1], 1, None, 0.0)
+    assert short.run([1, 2]) == ([1, 2], [None, None])  # too few results are no results
+
+
+def test_a_second_run_takes_up_dead_letters_and_a_cut_off_run_does_not_count(spark, tmp_path):
+    df, root = spark.range(30).withColumn("x", F.col("id") + 1), f"file://{tmp_path}/calls"
+
+    def refusing(*bad):
+        def call(xs):
+            if set(xs) & set(bad):
+                raise ValueError("bad")
+            return [x * 1.5 for x in xs]
+
+        return call
+
+    options = {"batch": 4, "retries": 1, "per_second": 1000.0, "tasks": 2}
+    results, dead = remote.resumed_calls(df, "id", "x", refusing(3, 7), "double", root, **options)
+    assert results.count() == 28 and sorted((r["id"], r["run"]) for r in dead.collect()) == [(2, 1), (6, 1)]
+    spark.createDataFrame([(2, 9.0, None)], "id long, result double, error string").write.parquet(f"{root}/run=2")
+    (tmp_path / "calls" / "run=2" / "_SUCCESS").unlink()
+    results, dead = remote.resumed_calls(df, "id", "x", refusing(7), "double", root, **options)
+    got = {r["id"]: (r["result"], r["run"]) for r in results.collect()}
+    assert len(got) == 29 and got[2] == (4.5, 3) and got[0] == (1.5, 1)
+    assert [(r["id"], r["error"], r["run"]) for r in dead.collect()] == [(6, "ValueError: bad", 3)]
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_gated_write_is_one_job_and_commits_or_refuses(spark, tmp_path):
+    from causeway.plans import gates
+
+    source = f"file://{tmp_path}/source"
+    spark.range(1000).select("id", F.when(F.col("id") % 100 == 0, None).otherwise(F.col("id")).alias("k"), F.lit(1).alias("w")).write.parquet(source)
+    df = spark.read.schema("id long, k long, w int").parquet(source)
+    checks = [gates.RowCount((1, 2000), (1, 500)), gates.Nulls(["id"], "w", ["id"]), gates.Coverage(F.col("id") >= 500, F.col("k").isNotNull(), 0.9, 0.5)]
+    seen, jobs = jobs_of(spark, "gated", lambda: gates.gated_write(df, f"file://{tmp_path}/good", checks))
+    assert jobs == 1
+    assert seen == {"n_rows": 1000, "required_nulls": 0, "conditional_nulls": 0, "n_scope": 500, "n_found": 495, "verdict": "WARN"}
+    assert spark.read.parquet(f"file://{tmp_path}/good").count() == 1000
+    for bad in (gates.RowCount((2000, 3000), (2000, 3000)), gates.Nulls(["k"]), gates.Coverage(F.col("id") >= 0, F.col("k").isNotNull(), 1.0, 0.995)):
+        with pytest.raises(gates.GateError):
+            gates.gated_write(df, f"file://{tmp_path}/bad", [bad])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["good", "source"]
+    with pytest.raises(FileExistsError):
+        gates.gated_write(df, f"file://{tmp_path}/good", checks)
+    empty = gates.gated_write(df.where("false"), f"file://{tmp_path}/empty", checks[1:])
+    assert empty["verdict"] == "OK" and empty["n_scope"] == 0
+
+
+def test_table_functions_fold_partitions_and_know_their_schema(spark):
+    from causeway.operators.apply import register_table_function
+
+    register_table_function(spark, "sum_by", "n long, total double", lambda: (0, 0.0), lambda s, r: (s[0] + 1, s[1] + (r["x"] or 0.0)))
+    spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), (None, 4.0)], "k string, x double").createOrReplaceTempView("folded")
+    got = spark.sql("SELECT * FROM sum_by(TABLE(folded) PARTITION BY k)")
+    assert got.dtypes == [("k", "string"), ("n", "bigint"), ("total", "double")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 2, 3.0), ("b", 1, 0.0), (None, 1, 4.0)], key=repr)
+    with pytest.raises(Exception, match="TABLE"):
+        spark.sql("SELECT * FROM sum_by(1)").collect()
+
+
+def test_median_survival_and_hash_equality(spark):
+    from causeway.operators import evaluation as E
+    from causeway.plans import models as M
+
+    times = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 1), (5, 0), (6, 1)], "t long, e int")
+    assert E.median_survival(E.kaplan_meier(times, "t", "e")).first()["median"] == 4
+    assert E.median_survival(E.kaplan_meier(times.where("t = 3 or t = 5 or t = 1"), "t", "e")).first()["median"] is None
+    a = spark.createDataFrame([(1, 0.5), (2, 0.25), (3, None)], "k long, s double")
+    same = M.compare_predictions(a, a.orderBy(F.col("k").desc()), ["k"], "s").first()
+    near = M.compare_predictions(a, a.withColumn("s", F.col("s") * (1 + 1e-15)), ["k"], "s").first()
+    assert same["same_hash"] and same["equal"] and near["equal"] and not near["same_hash"]
