@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from ..operators.topk import last_per, ranked, retention_set, threshold_top_k, t
 from ..operators.windows import is_first, last_row_wins
 from ..sources.catalog import Accessor, row_fingerprint, table_stats
 from ..sources.ledger import missing_pairs
+from ..sources.paged import register_paged_documents, write_pages
 from ..sources.remote import Documents, month_windows, union_windows
+from ..sources.shared import shared_dir
 from .registry import query, table
 from .roles import ACT, SENDS, SIGN, actions, activities, sends
 
@@ -31,14 +34,22 @@ def s10(spark, d):
     return union_windows(table(spark, d, "orders"), "o_orderdate", month_windows(date(2001, 8, 1), 3)).select("o_orderkey", "chunk")
 
 
+def _collection(spark, d):
+    """The documents written to a store of pages, as a client reads it."""
+    docs, path = table(spark, d, "documents"), f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    register_paged_documents(spark)
+    write_pages(docs, path, ["lang", "n_chars"], ["lang", "n_chars"], 500)
+    return Documents(spark.read.format("paged_documents").schema(docs.schema).load(path))
+
+
 @query("S11_document_find", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND n_chars > 500 ORDER BY n_chars DESC, doc_id LIMIT 50")
 def s11(spark, d):
-    return Documents(table(spark, d, "documents")).find("lang = 'en' and n_chars > 500", ["doc_id", "source"], [F.col("n_chars").desc(), "doc_id"], 50)
+    return _collection(spark, d).find("lang = 'en' and n_chars > 500", ["doc_id", "source"], [F.col("n_chars").desc(), "doc_id"], 50)
 
 
 @query("S11_document_aggregate", "SELECT source, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY source")
 def s11b(spark, d):
-    return Documents(table(spark, d, "documents")).aggregate(["source"], n=F.count(F.lit(1)), longest=F.max("n_chars"))
+    return _collection(spark, d).aggregate(["source"], n=F.count(F.lit(1)), longest=F.max("n_chars"))
 
 
 @query("S17_row_fingerprint")

@@ -262,3 +262,35 @@ def test_median_survival_and_hash_equality(spark):
     same = M.compare_predictions(a, a.orderBy(F.col("k").desc()), ["k"], "s").first()
     near = M.compare_predictions(a, a.withColumn("s", F.col("s") * (1 + 1e-15)), ["k"], "s").first()
     assert same["same_hash"] and same["equal"] and near["equal"] and not near["same_hash"]
+
+
+def test_paged_documents_take_filters(spark, tmp_path, monkeypatch):
+    from causeway.sources import paged
+
+    schema = "k long, lang string, text string, n int, tags array<string>, at timestamp"
+    rows = [(i, None if i % 10 == 0 else "en" if i < 60 else "de", "line\nbreak" if i == 3 else "x" * i, i, ["a", None] if i % 2 else None, None) for i in range(100)]
+    path = f"file://{tmp_path}/store"
+    paged.write_pages(spark.createDataFrame(rows, schema), path, ["k"], ["k", "lang"], 10)
+    paged.register_paged_documents(spark)
+    read = spark.read.format("paged_documents").schema(schema).load(path)
+    assert sorted(map(tuple, read.collect())) == sorted((*r[:4], r[4], r[5]) for r in rows)
+    cases = {
+        "k >= 35 and k < 52": lambda r: 35 <= r[0] < 52,
+        "lang = 'de' and n > 70": lambda r: r[1] == "de" and r[3] > 70,
+        "lang is null": lambda r: r[1] is None,
+        "lang is not null and k in (1, 2, 77)": lambda r: r[1] is not None and r[0] in (1, 2, 77),
+        "text like 'xxx%' and text like '%xxxx%' and k <= 5": lambda r: r[2].startswith("xxx") and "xxxx" in r[2] and r[0] <= 5,
+        "k % 7 = 0 and size(tags) = 2": lambda r: r[0] % 7 == 0 and r[4] is not None,
+        "lang <> 'de'": lambda r: r[1] not in (None, "de"),
+    }
+    for where, test in cases.items():
+        assert sorted(r["k"] for r in read.where(where).collect()) == [r[0] for r in rows if test(r)], where
+    one = read.where("k >= 35 and k < 52")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan paged_documents" in plan and "Filter (" not in plan  # the source tests them all
+    assert one.rdd.getNumPartitions() <= 4 < read.rdd.getNumPartitions() == 10
+    reader = paged.PageReader(path, read.schema)
+    assert list(reader.pushFilters([paged.GreaterThan(("k",), 90), paged.EqualTo(("at",), None), paged.EqualTo(("a", "b"), 1)]))[0].attribute == ("at",)
+    assert len(reader.partitions()) == 1 and [r["k"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == list(range(91, 100))
+    paged.write_pages(spark.createDataFrame([], schema), f"{path}-empty", ["k"], ["k"])
+    assert spark.read.format("paged_documents").schema(schema).load(f"{path}-empty").count() == 0
