@@ -83,53 +83,76 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return kept.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("similarity").alias("similarity"))
 
 
-def causal_affinity(rows: DataFrame, vectors: DataFrame, user: str, item: str, order: Sequence[str], acted: str, key: str, shrink: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+#: Bytes of the items' vectors that are shipped to every task; larger tables of items are joined.
+SHIPPED_BYTES = 64 << 20
+
+
+def causal_affinity(
+    rows: DataFrame, vectors: DataFrame, user: str, item: str, order: Sequence[str], acted: str, key: str, shrink: float = 0.0, block_rows: int = BLOCK_ROWS, shipped_bytes: int = SHIPPED_BYTES
+) -> DataFrame:
     """key, n_prior, affinity: cosine of a row's vector with the sum of its user's earlier acted-on vectors.
 
     With ``shrink`` the centroid is pulled toward the mean vector of all items: (sum + shrink * mean) / (n + shrink).
-    0 without earlier actions (unless shrunk) or without a vector. Rows in the order of users and time are cut into
-    blocks, each a group in numpy; a history that goes on from earlier blocks starts from the running sum of their totals.
+    0 without earlier actions (unless shrunk) or without a vector. ``vectors`` has one row for each item. Rows in the
+    order of users and time are cut into blocks, each a group in numpy; a history that goes on from earlier blocks starts
+    from the running sum of their totals. Rows are sorted and written with their item's id, not its vector: vectors come
+    to the blocks as one shipped matrix where they fit ``shipped_bytes``, else by a join on the way.
     """
-    vec = vectors.select(item, F.col("vector").cast("array<double>").alias("vector"))
+    vec = vectors.where(F.col(item).isNotNull() & F.col("vector").isNotNull()).select(F.col(item).alias("_item"), F.col("vector").cast("array<double>").alias("vector"))
     mean = np.zeros(0)
     if shrink:
         rows_mean = vec.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()  # one number for each dimension
         mean = np.array([r["m"] for r in rows_mean])
-    width = len(mean) or max(vec.agg(F.max(F.size("vector"))).first()[0] or 0, 1)
+    n_items, width = vec.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    shipped = None
+    if n_items * width * 8 <= shipped_bytes:
+        held = vec.orderBy("_item").collect()  # within shipped_bytes
+        shipped = rows.sparkSession.sparkContext.broadcast((pd.Index([r["_item"] for r in held]), np.array([r["vector"] for r in held], dtype=float).reshape(len(held), width)))
 
-    thin = rows.select(key, user, item, *[c for c in order if c not in (key, user, item)], F.coalesce(F.col(acted), F.lit(False)).alias("_acted"))
+    thin = rows.select(key, user, F.col(item).alias("_item"), *[c for c in order if c not in (key, user)], F.coalesce(F.col(acted), F.lit(False)).alias("_acted"))
     numbered, _ = with_row_number(thin, [user, *[c for c in order if c != user], *([] if key in order else [key])], "_n")
     name = F.coalesce(F.concat(F.lit("u"), F.col(user).cast("string")), F.lit(""))
-    blocks = numbered.withColumns({"_user": name, "_block": F.floor((F.col("_n") - 1) / block_rows)}).join(vec, item, "left")
-    weight = (F.col("_acted") & F.col("vector").isNotNull()).cast("long")
-    joined = persist_shared(blocks.select(key, "_user", "_block", "_n", weight.alias("_count"), "vector"), "affinity-rows")
+    blocks = numbered.select(key, name.alias("_user"), F.floor((F.col("_n") - 1) / block_rows).alias("_block"), "_n", F.col("_acted").cast("long").alias("_acted"), "_item", F.lit(None).cast("array<double>").alias("_state"))
+    if shipped is None:
+        blocks = blocks.join(vec, "_item", "left")
 
-    def arrays(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[int]]:
-        """The block in order, its vectors (zeros where there is none), and where its users' rows begin and end."""
+    def arrays(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, list[int]]:
+        """The block in order, its vectors (zeros where there is none), how many actions a row counts for, and where its users' rows begin and end."""
         g = g.sort_values("_n", kind="stable")
-        v = np.zeros((len(g), width))
-        for i, x in enumerate(g["vector"]):
-            if x is not None:
-                v[i] = x
+        v, has = np.zeros((len(g), width)), np.zeros(len(g), bool)
+        if shipped is None:
+            has = g["vector"].notna().to_numpy()
+            if has.any():
+                v[has] = np.concatenate(g["vector"][has].tolist()).reshape(-1, width)
+        elif len(shipped.value[0]):
+            index, matrix = shipped.value
+            some = g["_item"].notna().to_numpy()
+            at = np.full(len(g), -1)
+            at[some] = index.get_indexer(g["_item"][some].astype(index.dtype))
+            has = at >= 0
+            v[has] = matrix[at[has]]
+        start = g["_n"].to_numpy() == 0
+        if start.any():
+            v[start] = np.stack(g["_state"][start].tolist())
         users = g["_user"].to_numpy()
-        return g, v, [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(g)]
+        return g, v, np.where(start | has, g["_acted"].to_numpy(), 0), [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(g)]
 
     def tail(g: pd.DataFrame) -> pd.DataFrame:
-        g, v, cuts = arrays(g)
-        n = g["_count"].to_numpy()[cuts[-2] :]
+        g, v, count, cuts = arrays(g)
+        n = count[cuts[-2] :]
         return pd.DataFrame({"_user": [g["_user"].iloc[-1]], "_block": [g["_block"].iloc[0]], "_count": [n.sum()], "vector": [v[cuts[-2] :][n > 0].sum(axis=0)]})
 
     # Only a block's last user can go on in the next one.
-    tails = persist_shared(joined.groupBy("_block").applyInPandas(tail, "_user string, _block long, _count long, vector array<double>"), "affinity-tails")
+    tails = persist_shared(blocks.groupBy("_block").applyInPandas(tail, "_user string, _block long, _count long, vector array<double>"), "affinity-tails")
     upto = Window.partitionBy("_user", "i").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
     sums = tails.select("_user", "_block", "_count", F.posexplode("vector").alias("i", "x")).select("_user", "_block", "i", F.sum("x").over(upto).alias("x"), F.sum("_count").over(upto).alias("n"))
     states = sums.groupBy("_user", "_block").agg(F.max("n").alias("_count"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-    kind = dict(joined.dtypes)[key]
-    begun = states.select(F.lit(0).cast(kind).alias(key), "_user", (F.col("_block") + 1).alias("_block"), F.lit(0).cast("long").alias("_n"), "_count", F.col("v.x").alias("vector"))
+    kinds = dict(blocks.dtypes)
+    begun = states.select(F.lit(0).cast(kinds[key]).alias(key), "_user", (F.col("_block") + 1).alias("_block"), F.lit(0).cast("long").alias("_n"), F.col("_count").alias("_acted"), F.lit(None).cast(kinds["_item"]).alias("_item"), F.col("v.x").alias("_state"))
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        g, v, cuts = arrays(g)
-        count, start = g["_count"].to_numpy(), g["_n"].to_numpy() == 0
+        g, v, count, cuts = arrays(g)
+        start = g["_n"].to_numpy() == 0
         w = np.where(start, 1.0, count)[:, None] * v
         total, n = np.empty_like(v), np.empty(len(g), dtype=np.int64)
         for a, b in zip(cuts, cuts[1:]):
@@ -142,7 +165,7 @@ def causal_affinity(rows: DataFrame, vectors: DataFrame, user: str, item: str, o
             cos[n == 0] = 0.0
         return pd.DataFrame({key: g[key], "n_prior": n, "affinity": cos})[~start]
 
-    return joined.unionByName(begun).groupBy("_block").applyInPandas(work, f"{key} long, n_prior long, affinity double")
+    return blocks.unionByName(begun, allowMissingColumns=True).groupBy("_block").applyInPandas(work, f"{key} {kinds[key]}, n_prior long, affinity double")
 
 
 def embedding_report(df: DataFrame, vector: str, tolerance: float = 1e-4) -> DataFrame:

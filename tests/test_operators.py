@@ -328,8 +328,8 @@ def test_causal_affinity_of_histories_over_several_blocks(spark):
             c = [sum(x[j] for x in past) + shrink * mean[j] for j in range(3)]
             ok = e in v and (past or shrink)
             want[i] = (len(past), round(dot(c, v[e]) / math.sqrt(dot(c, c) * dot(v[e], v[e])), 9) if ok else 0.0)
-        for block in (1, 7, 4096):
-            got = {x["i"]: (x["n_prior"], round(x["affinity"], 9)) for x in causal_affinity(rows, vec, "u", "e", ["t", "i"], "a", "i", shrink, block).collect()}
+        for block, shipped in ((1, 1 << 20), (7, 0), (7, 1 << 20), (4096, 0)):
+            got = {x["i"]: (x["n_prior"], round(x["affinity"], 9)) for x in causal_affinity(rows, vec, "u", "e", ["t", "i"], "a", "i", shrink, block, shipped).collect()}
             assert got == want
 
 
