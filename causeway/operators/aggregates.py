@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .buckets import quantile_cuts
+from .buckets import quantiles_of
 from .ranking import with_average_rank, with_prefix_sums, with_row_number
 
 
@@ -103,8 +103,13 @@ def crosstab(df: DataFrame, row: str, col: str, rows: Sequence[str], cols: Seque
 
 
 def group_residual_variance(df: DataFrame, y: str, key: str, bucket: str) -> DataFrame:
-    """bucket, n, resid_var: variance of y less its group's mean."""
-    resid = df.withColumn("_r", F.col(y) - F.avg(y).over(Window.partitionBy(key)))
+    """bucket, n, resid_var: variance of y less its group's mean; null keys are one group.
+
+    Means are aggregated and joined back, so rows of a large group needn't meet in one task.
+    """
+    keyed = df.select(F.struct(F.col(key).alias("k")).alias("_k"), F.col(bucket), F.col(y).alias("_y"))  # structs are equal where their nulls are
+    means = keyed.groupBy("_k").agg(F.avg("_y").alias("_m"))
+    resid = keyed.join(means, "_k").withColumn("_r", F.col("_y") - F.col("_m"))
     return resid.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.var_pop("_r").alias("resid_var"))
 
 
@@ -132,13 +137,10 @@ def missingness(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, cols: Sequence[str], outcome: str) -> DataFrame:
-    """column, n, n_null, mean, std, min, p50, max and correlation with the outcome: one aggregation and a sort for each median."""
+    """column, n, n_null, mean, std, min, p50, max and correlation with the outcome: one aggregation, and one sort for all medians."""
     names = {"n": F.count, "n_null": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg, "std": F.stddev_pop, "low": F.min, "high": F.max,
              "corr": lambda c: F.corr(F.col(c).cast("double"), F.col(outcome).cast("double"))}
     wide = df.agg(*[f(c).cast("double").alias(f"{c}::{k}") for c in cols for k, f in names.items()])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}::{k}`").alias(k) for k in names]) for c in cols])
-    medians = [quantile_cuts(df, c, [0.5]).select(F.lit(c).alias("column"), F.col("q0").alias("p50")) for c in cols]
-    every = medians[0]
-    for m in medians[1:]:
-        every = every.union(m)
-    return wide.select(F.explode(rows).alias("x")).select("x.*").join(every, "column")
+    medians = quantiles_of(df, cols, 0.5).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("p50")) for c in cols])).alias("x")).select("x.*")
+    return wide.select(F.explode(rows).alias("x")).select("x.*").join(medians, "column")

@@ -66,6 +66,16 @@ def quantile_cuts(df: DataFrame, col: str, shares: Sequence[float], keys: Sequen
     return found.groupBy(*keys).agg(*[cut(i).alias(f"q{i}") for i in range(len(shares))])
 
 
+def quantiles_of(df: DataFrame, cols: Sequence[str], share: float, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (for each key) with the linear quantile of each column under its name, null without a value.
+
+    The columns are stacked as (name, value), so one sort and one written table serve all of them.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in cols])).alias("_x")
+    found = quantile_cuts(df.select(*keys, each).select(*keys, "_x.*"), "_value", [share], ["_name", *keys])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("q0"))).alias(c) for c in cols])
+
+
 def quantile_bucket(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
     """Right-closed buckets 0..n-1 between the linear quantiles; repeated cut points leave buckets empty."""
     cuts = quantile_cuts(df, col, [i / n for i in range(1, n)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.buckets import quantile_cuts
+from ..operators.buckets import quantiles_of
 
 SENT_TOLERANCE = 0.25
 STD_EPSILON = 1e-9
@@ -47,8 +47,7 @@ def rates(df: DataFrame) -> DataFrame:
 def unusualness(df: DataFrame, cohort: str, cols: Sequence[str], epsilon: float = STD_EPSILON) -> DataFrame:
     """Sum over the columns of the distance to the cohort's median in cohort standard deviations; null counts as 0."""
     stats = df.groupBy(cohort).agg(*[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    for c in cols:
-        stats = stats.join(quantile_cuts(df, c, [0.5], [cohort]).withColumnRenamed("q0", f"_m_{c}"), cohort, "left")
+    stats = stats.join(quantiles_of(df, cols, 0.5, [cohort]).withColumnsRenamed({c: f"_m_{c}" for c in cols}), cohort, "left")
     z = [F.coalesce(F.abs((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > epsilon, F.col(f"_s_{c}")).otherwise(epsilon)), F.lit(0.0)) for c in cols]
     return df.join(stats, cohort, "left").withColumn("unusualness", sum(z[1:], z[0])).select(*df.columns, "unusualness")
 

@@ -82,9 +82,9 @@ def s08b(spark, d):
 
 @query("S12_rows_to_table", "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 3 = 2 THEN n_name END AS tag, n_regionkey::BIGINT AS region FROM nation")
 def s12(spark, d):
-    rows = table(spark, d, "nation").collect()  # 25 rows: the documents of a client, of which most lack a field
-    said = [{"id": r["n_nationkey"], "in": {"region": r["n_regionkey"]}} | ({"tag": r["n_name"]} if r["n_nationkey"] % 3 == 2 else {}) for r in rows]
-    return R.rows_to_table(spark, said).select("id", "tag", F.col("in.region").alias("region"))
+    """Documents of which most lack a field."""
+    doc = F.struct(F.col("n_nationkey").alias("id"), F.struct(F.col("n_regionkey").alias("region")).alias("in"), F.when(F.col("n_nationkey") % 3 == 2, F.col("n_name")).alias("tag"))
+    return R.rows_to_table(table(spark, d, "nation").select(F.to_json(doc).alias("doc")), "doc").select("id", "tag", F.col("in.region").alias("region"))
 
 
 @query("S13_vector_store_query", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS s FROM embeddings, q)

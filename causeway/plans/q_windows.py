@@ -280,10 +280,9 @@ def d12(spark, d):
     SELECT (total_sent > q[1])::INT + (total_sent > q[2])::INT + (total_sent > q[3])::INT + (total_sent > q[4])::INT AS bucket, count(*) AS n, round(median(CASE WHEN total_sent > 0 THEN total_opens / total_sent END), 6) AS open_rate, round(median(CASE WHEN total_sent > 0 THEN total_clicks / total_sent END), 6) AS click_rate,
       count(*) FILTER (total_clicks > total_opens) AS clicks_gt_opens, count(*) FILTER (total_actions = 0) AS zero_actions FROM tot, q GROUP BY 1""")
 def d13(spark, d):
-    from ..operators.buckets import quantile_bucket, quantile_cuts
+    from ..operators.buckets import quantile_bucket, quantiles_of
 
     r = persist_shared(quantile_bucket(persist_shared(rates(email_totals(activities(spark, d), attributed(spark, d))), "email-rates"), "total_sent", 5, "bucket"), "email-buckets")
     out = r.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("total_clicks") > F.col("total_opens")).alias("clicks_gt_opens"), F.count_if(F.col("total_actions") == 0).alias("zero_actions"))
-    for c in ("open_rate", "click_rate"):
-        out = out.join(quantile_cuts(r, c, [0.5], ["bucket"]).select("bucket", F.round("q0", 6).alias(c)), "bucket", "left")
-    return out
+    medians = quantiles_of(r, ["open_rate", "click_rate"], 0.5, ["bucket"])
+    return out.join(medians, "bucket", "left").withColumns({c: F.round(c, 6) for c in ("open_rate", "click_rate")})

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator, Mapping
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import date
-from typing import Any
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .shared import shared_dir
 
 
 def month_windows(end: date, months: int) -> list[tuple[date, date]]:
@@ -60,17 +61,15 @@ class Documents:
         return self.find(where).count()
 
 
-def rows_to_table(spark: SparkSession, rows: list[Mapping[str, Any]]) -> DataFrame:
-    """A table of nested rows; every row takes part in finding the schema. The rows are the caller's own, on the driver."""
-    import json
+def rows_to_table(rows: DataFrame, column: str) -> DataFrame:
+    """A table of the nested rows in a column of JSON text; every row takes part in finding the schema.
 
-    if not rows:
-        return spark.createDataFrame([], T.StructType([]))
-    lines = [json.dumps(dict(r), default=str) for r in rows]
-    kinds = spark.range(1).select(F.schema_of_json(F.lit("[" + ",".join(lines) + "]")).alias("s")).first()["s"]  # one array of them all
-    row = T._parse_datatype_string(kinds.removeprefix("ARRAY<").removesuffix(">"))
-    parsed = spark.createDataFrame([(x,) for x in lines], "value string").select(F.from_json("value", row).alias("r"))
-    return parsed.select("r.*")
+    The rows are written to the shared folder once, and Spark finds the schema from all of them and parses them in its
+    tasks. Null and malformed rows are left out; no rows make a table without columns.
+    """
+    path = f"{shared_dir(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
+    rows.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).write.text(path)
+    return rows.sparkSession.read.option("samplingRatio", 1.0).option("mode", "DROPMALFORMED").json(path)
 
 
 class TokenBucket:

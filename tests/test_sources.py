@@ -89,9 +89,12 @@ def test_failing_service_gives_null(spark):
 
 def test_rows_to_table_sees_every_row(spark):
     rows = [{"id": 1}, {"id": 2, "tag": "a", "deep": {"x": [1, 2]}}, {"id": 2**40, "deep": {"y": 0.5}}]
-    got = remote.rows_to_table(spark, rows).orderBy("id").collect()
+    import json
+
+    table = lambda rows: remote.rows_to_table(spark.createDataFrame([(json.dumps(r) if isinstance(r, dict) else r,) for r in rows], "doc string"), "doc")
+    got = table([*rows, None, "{broken"]).orderBy("id").collect()
     assert [(r["id"], r["tag"]) for r in got] == [(1, None), (2, "a"), (2**40, None)] and got[1]["deep"]["x"] == [1, 2] and got[2]["deep"]["y"] == 0.5
-    assert remote.rows_to_table(spark, []).count() == 0
+    assert table([]).count() == 0
 
 
 def test_result_cache_keeps_finished_results_only(spark, tmp_path):
