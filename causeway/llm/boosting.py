@@ -90,18 +90,21 @@ def fit_trees(
     return Trees(np.array(feature), np.array(cut), np.array(value), prior)
 
 
-def calibrate(model: Trees, x: np.ndarray, y: np.ndarray, rounds: int = 50) -> Trees:
-    """Platt scaling on rows that the trees have not seen; kept as it is if they hold one class only."""
-    if 0 < y.sum() < len(y):
-        z = model.raw(x)
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-        a, b = 1.0, 0.0
-        for _ in range(rounds):
-            p = sigmoid(a * z + b)
-            w = np.maximum(p * (1 - p), 1e-9)
-            ga, gb = ((target - p) * z).sum() - 1e-3 * (a - 1), (target - p).sum()
-            haa, hab, hbb = (w * z * z).sum() + 1e-3, (w * z).sum(), w.sum() + 1e-6
-            det = haa * hbb - hab * hab
-            a, b = a + np.clip((hbb * ga - hab * gb) / det, -1, 1), b + np.clip((haa * gb - hab * ga) / det, -1, 1)
-        model.scale, model.shift = float(max(a, 1e-3)), float(b)
+def calibrate(model: Trees, x: np.ndarray, y: np.ndarray, rounds: int = 50, prior: float = 0.1) -> Trees:
+    """Platt scaling on rows that the trees have not seen.
+
+    Scale and shift are drawn toward 1 and 0 with the weight ``prior``, which many rows outweigh: few rows, none, or rows of
+    one class are calibrated by the same rule.
+    """
+    z = model.raw(x)
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = sigmoid(a * z + b)
+        w = np.maximum(p * (1 - p), 1e-9)
+        ga, gb = ((target - p) * z).sum() - prior * (a - 1), (target - p).sum() - prior * b
+        haa, hab, hbb = (w * z * z).sum() + prior, (w * z).sum(), w.sum() + prior
+        det = haa * hbb - hab * hab
+        a, b = a + np.clip((hbb * ga - hab * gb) / det, -1, 1), b + np.clip((haa * gb - hab * ga) / det, -1, 1)
+    model.scale, model.shift = float(max(a, 1e-3)), float(b)
     return model

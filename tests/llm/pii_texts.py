@@ -39,3 +39,29 @@ TEXTS = [
     ("es", "El código 5512-8890 aparece en la página 321 del artículo 10.1000/182555.", []),
     ("es", "Contacto: 0034 913 445566 (recepción)", ["0034 913 445566"]),
 ]
+
+#: A second set, written after the formats of training were settled and not used for settling them.
+LATER = [
+    ("en", "Leave word with Priya on 415-555-0136 if the parcel 77120-B is late.", ["415-555-0136"]),
+    ("en", "He signs as tom_baxter [AT] quarry-lane [DOT] com on every forum.", ["tom_baxter [AT] quarry-lane [DOT] com"]),
+    ("en", "The clinic moved; phone (0161) 496 0733 for the new hours, 8:30 to 16:45.", ["(0161) 496 0733"]),
+    ("en", "Account GB82WEST12345698765432 was closed on 2020-03-14.", ["GB82WEST12345698765432"]),
+    ("en", "Between 1914-1918 the mill made 3 200 500 blankets, see figure 12.4.", []),
+    ("en", "Call us toll free: 1-800-555-0199. Mention invoice 2021-44871.", ["1-800-555-0199"]),
+    ("en", "Build 20231104173 passed, version 4.18.2.77 failed after 300 seconds.", []),
+    ("fr", "Vous pouvez appeler le 07 81 22 40 19 en soirée, jamais avant 18 h.", ["07 81 22 40 19"]),
+    ("fr", "Écrivez à paul.morel (at) orange (dot) fr pour la commande 33019.", ["paul.morel (at) orange (dot) fr"]),
+    ("fr", "Téléphone : 02-41-86-30-12, bâtiment C, page 4 du plan 1987-1991.", ["02-41-86-30-12"]),
+    ("fr", "Mon compte FR14 2004 1010 0505 0001 3M02 606 reste ouvert jusqu'au 31/12/2024.", ["FR14 2004 1010 0505 0001 3M02 606"]),
+    ("fr", "En 1999 la région comptait 2 345 678 habitants et 1 204 communes.", []),
+    ("de", "Sie erreichen Frau Lenz unter 0341 9730123 oder mobil 0151-2345678.", ["0341 9730123", "0151-2345678"]),
+    ("de", "Schreiben Sie an kontakt [at] buchladen-nord [dot] de, Betreff Bestellung 55210.", ["kontakt [at] buchladen-nord [dot] de"]),
+    ("de", "Die Rechnungsnummer lautet 2022-0099123, Seite 3, Datum 09.09.2022.", []),
+    ("de", "Bitte auf DE12 5001 0517 0648 4898 90 überweisen, danke!", ["DE12 5001 0517 0648 4898 90"]),
+    ("de", "Das Werk von 1905 wog 12 450 000 Tonnen, Teil 88-1204-7.", []),
+    ("es", "Mi móvil es 655 21 09 87 y el fijo 93 412 30 44.", ["655 21 09 87", "93 412 30 44"]),
+    ("es", "Llámame al 699123456 cuando llegues a la estación.", ["699123456"]),
+    ("es", "Correo: ana.ruiz(at)empresa.es, referencia 2019/4471.", ["ana.ruiz(at)empresa.es"]),
+    ("es", "La cuenta ES7921000813610123456789 recibe las cuotas.", ["ES7921000813610123456789"]),
+    ("es", "Se imprimieron 4 500 300 ejemplares entre 2001 y 2005, artículo 77/2003/12.", []),
+]

@@ -37,7 +37,7 @@ def test_very_long_runs_take_linear_time():
     import time
 
     pii.fitted()
-    for t in ("a" * 400_000 + " 1", "a" * 400_000 + "@", "1" * 400_000, "a@" * 100_000, "1 " * 200_000):
+    for t in ("a" * 400_000 + " 1", "a" * 400_000 + "@", "1" * 400_000, "a@" * 100_000, "1 " * 200_000, "a@b" + ".c" * 100_000):
         began = time.perf_counter()
         pii.find_pii([t], *pii.fitted())
         assert time.perf_counter() - began < 5
@@ -77,12 +77,13 @@ def test_pii_model_is_calibrated():
         assert not here.any() or y[here].mean() > 0.9
 
 
-def test_pii_of_texts_written_by_hand():
-    """Recall of the generators, recall and precision of what is taken, on texts in four languages."""
-    from tests.llm.pii_texts import TEXTS
+@pytest.mark.parametrize("name", ["TEXTS", "LATER"])
+def test_pii_of_texts_written_by_hand(name):
+    """Recall of the generators, recall and precision of what is taken, base spans included, on texts in four languages."""
+    from tests.llm import pii_texts
 
     truth = proposed = taken = right = 0
-    for lang, t, personal in TEXTS:
+    for lang, t, personal in getattr(pii_texts, name):
         want = {(t.index(s), t.index(s) + len(s)) for s in personal}
         base, more = pii.find_pii([t], *pii.fitted())[0]
         got = {(a, b) for a, _, b in base + more}
@@ -91,7 +92,16 @@ def test_pii_of_texts_written_by_hand():
         if want != got:
             print(lang, [t[a:b] for a, b in want - got], [t[a:b] for a, b in got - want])
     print(f"generators {proposed}/{truth}, recall {right}/{truth}, precision {right}/{taken}")
-    assert proposed == truth and right >= 0.8 * truth and right >= 0.85 * taken
+    assert proposed == truth and right >= 0.9 * truth and right >= 0.9 * taken
+
+
+def test_every_end_of_an_address_is_proposed():
+    """Addresses of many labels, in any case; ends beyond the length of a domain name only as a whole."""
+    t = "x joe (AT) " + " (DOT) ".join(f"l{i}" for i in range(12)) + " y"
+    ends = {t[a:b] for a, k, b, *_ in pii.proposals(t) if pii.KINDS[k] == "address"}
+    assert ends == {"joe (AT) " + " (DOT) ".join(f"l{i}" for i in range(n)) for n in range(2, 13)}
+    long = "a@" + ".".join(["label"] * 100)
+    assert [b for _, k, b, *_ in pii.proposals(long) if pii.KINDS[k] == "address"] == [*range(13, 254, 6), len(long)]
 
 
 def test_pii_choice_matches_brute_force():
@@ -335,3 +345,20 @@ def test_quality_held_out_accuracy(spark):
     low, high = ([x["score"] for x in got if x["quality"] == v] for v in (0, 1))
     auc = np.mean([(h > x) + (h == x) / 2 for h in high for x in low])
     assert auc > 0.97
+
+
+@pytest.mark.parametrize("held", [[], [1.0] * 40, [0.0] * 40, [0.0, 1.0] * 400])
+def test_trees_are_calibrated_by_one_rule(held):
+    """No rows, one class and both: the order of scores stays, and they move toward what the rows say."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 3))
+    model = boosting.fit_trees(x, (x[:, 0] > 0).astype(float), trees=10, depth=2)
+    before = model.predict(x)
+    y = np.array(held)
+    rows = r.normal(size=(len(y), 3)) + y[:, None]
+    after = boosting.calibrate(model, rows, y).predict(x)
+    assert (np.diff(after[np.argsort(before, kind="stable")]) >= -1e-12).all()
+    if not held:
+        assert np.allclose(before, after)
+    elif len(set(held)) == 1:
+        assert (after.mean() > before.mean()) == (held[0] == 1)
