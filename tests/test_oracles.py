@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, every other one for running at all."""
+"""Every query with SQL against DuckDB; every other one must answer rows, with a value in each column."""
 
 import os
 
@@ -22,4 +22,5 @@ def test_query(spark, con, name):
     if name in all_queries.ORACLES:
         assert rows_of(df) == expected(con, all_queries.ORACLES[name])
     else:
-        assert df.columns and df.count() >= 0
+        cols, rows = rows_of(df)
+        assert rows and all(any(r[i] is not None for r in rows) for i in range(len(cols))), name
