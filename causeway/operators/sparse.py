@@ -54,8 +54,8 @@ def tfidf(df: DataFrame, key: str, text: Column, min_df: int = 2, max_df: float
     return normalized(tf.join(vocabulary.select("term", idf.alias("idf")), "term").select(key, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("weight")), key)
 
 
-def bm25(df: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, carry: Sequence[str] = (), stop: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """key, carry, term, weight: tf / (tf + k1 (1 - b + b length / mean length)), L2-normalised.
+def bm25_rows(df: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, carry: Sequence[str] = (), stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """key, carry, v: (term, weight) of each text, tf / (tf + k1 (1 - b + b length / mean length)), L2-normalised.
 
     Only the mean length comes from other rows: all else is worked out within the row. Texts without terms have none.
     """
@@ -67,14 +67,28 @@ def bm25(df: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75
     # The length is taken within the row too: behind the explode it would be worked out anew for each term.
     size = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"]))
     unit = once(raw, lambda r: once(size(r), lambda n: F.transform(r, lambda t: F.struct(t["term"].alias("term"), (t["weight"] / n).alias("weight")))))
-    return sized.select(key, *carry, F.explode(unit).alias("t")).select(key, *carry, "t.*")
+    return sized.select(key, *carry, unit.alias("v"))
+
+
+def bm25(df: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75, carry: Sequence[str] = (), stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """key, carry, term, weight: a row for each term of ``bm25_rows``."""
+    return bm25_rows(df, key, text, k1, b, carry, stop).select(key, *carry, F.explode("v").alias("t")).select(key, *carry, "t.*")
+
+
+def bm25_for(df: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: Column, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(queries: key, term, weight; written rows of ``bm25``) with only the terms that queries have.
+
+    A query's weights are the inverse document frequencies of its known terms, summing to 1. Terms of no query are dropped where texts are unfolded, before anything is written or shuffled.
+    """
+    rows = bm25_rows(df, key, text, carry=carry)
+    terms = persist_shared(queries.select(query_key, F.explode(F.array_distinct(tokens(query_text))).alias("term")), "query-terms")
+    asked = persist_shared(terms.select("term").distinct(), "asked-terms")
+    corpus = persist_shared(rows.select(key, *carry, F.explode("v").alias("t")).select(key, *carry, "t.*").join(asked, "term", "left_semi"), "asked-corpus")
+    return _query_weights(terms, query_key, corpus, rows.agg(F.count(F.lit(1)).alias("n"))), corpus
 
 
-def bm25_query(queries: DataFrame, key: str, text: Column, corpus: DataFrame, corpus_key: str) -> DataFrame:
-    """key, term, weight: inverse document frequencies of the known terms of each query, summing to 1."""
-    terms = persist_shared(queries.select(key, F.explode(F.array_distinct(tokens(text))).alias("term")), "query-terms")
+def _query_weights(terms: DataFrame, key: str, corpus: DataFrame, n: DataFrame) -> DataFrame:
     df = corpus.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = corpus.agg(F.count_distinct(corpus_key).alias("n"))
     idf = terms.join(df, "term").crossJoin(F.broadcast(n)).withColumn("weight", F.ln((F.col("n") + 1) / (F.col("df") + 0.5)))  # one row
     return idf.select(key, "term", (F.col("weight") / F.sum("weight").over(Window.partitionBy(key))).alias("weight"))
 

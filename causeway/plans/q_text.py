@@ -196,8 +196,8 @@ _BQ = f"""q0 AS (SELECT item_id, unnest(list_distinct({TOKENS.format('text')}))
 
 @query("V07_query_encoders", f"WITH {_BM25}, {_BQ} SELECT item_id, term, round(weight, 6) AS weight FROM bq")
 def v07(spark, d):
-    corpus = persist_shared(S.bm25(_docs(spark, d), "doc_id", F.col("text")), "bm25-corpus")
-    return S.bm25_query(table(spark, d, "benchmark"), "item_id", F.col("text"), corpus, "doc_id").withColumn("weight", F.round("weight", 6))
+    q, _ = S.bm25_for(_docs(spark, d), "doc_id", F.col("text"), table(spark, d, "benchmark"), "item_id", F.col("text"))
+    return q.withColumn("weight", F.round("weight", 6))
 
 
 def _search(q, c, k, least):
@@ -208,8 +208,7 @@ def _search(q, c, k, least):
 
 @query("V08_sparse_top_k", f"""WITH {_BM25}, {_BQ}, en AS (SELECT bm.* FROM bm JOIN documents USING (doc_id) WHERE lang = 'en'), {_search('bq', 'en', 5, 0.01)}""")
 def v08(spark, d):
-    corpus = persist_shared(S.bm25(_docs(spark, d), "doc_id", F.col("text"), carry=["lang"]), "bm25-corpus")
-    q = S.bm25_query(table(spark, d, "benchmark"), "item_id", F.col("text"), corpus, "doc_id")
+    q, corpus = S.bm25_for(_docs(spark, d), "doc_id", F.col("text"), table(spark, d, "benchmark"), "item_id", F.col("text"), ["lang"])
     return S.sparse_top_k(q, "item_id", corpus.where("lang = 'en'"), "doc_id", 5, 0.01).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -251,8 +250,9 @@ def _layer(q, c, name):
     SELECT item_id, doc_id, round(s, 6) AS similarity FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def v12(spark, d):
     docs, items = _docs(spark, d), table(spark, d, "benchmark")
-    corpus, vec = (persist_shared(x, "hybrid-layer") for x in (S.bm25(docs, "doc_id", F.col("text")), S.tfidf(docs, "doc_id", F.col("text"), 3, 0.5)))
-    b = S.sparse_top_k(S.bm25_query(items, "item_id", F.col("text"), corpus, "doc_id"), "item_id", corpus, "doc_id", 50, 0.0)
+    q, corpus = S.bm25_for(docs, "doc_id", F.col("text"), items, "item_id", F.col("text"))
+    vec = persist_shared(S.tfidf(docs, "doc_id", F.col("text"), 3, 0.5), "hybrid-layer")
+    b = S.sparse_top_k(q, "item_id", corpus, "doc_id", 50, 0.0)
     t = S.sparse_top_k(S.tf_query(items, "item_id", F.col("text"), vec), "item_id", vec, "doc_id", 50, 0.0)
     _, _, wt, wb = S.layer_weights(0.4, 0.0, 0.2, 0.2, anchored=False)
     return S.fuse([(b, wb), (t, wt)], "doc_id", 10, ["item_id"]).withColumn("similarity", F.round("similarity", 6))
