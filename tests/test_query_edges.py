@@ -15,3 +15,11 @@ def test_row_count_at_its_bounds(spark, tmp_path, n):
     spark.range(n).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(f"{tmp_path}/parts")
     next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "events.parquet")
     assert same(spark, tmp_path, "Q01_row_count")
+
+
+def test_references_cut_short_stay(spark, tmp_path):
+    html = ["<title>a&amp;&amp</title><p>b &amp;lt; &copy; &lt</p>", "<p>x &amp", "<p>&ampc; & d&nbsp;</p>", "", None]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id long, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert same(spark, tmp_path, "X05_html_parser")
