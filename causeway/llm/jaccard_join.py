@@ -7,9 +7,10 @@ a spanning forest of its links, not with the pairs: large groups of near copies
 counts need every pair of a bucket compared, but no shingle set travels to all of them: in a bucket of more than
 LEAD_BLOCKS blocks each class is first set against the bucket's lead, its least class, once however many bands share that
 lead, and only its difference from the lead, small for near copies, travels to the block pairs. Differences from one
-lead give the overlap of two sets exactly. The blocks of such a bucket grow with the square root of its classes, up to
-MOST_CLASSES, so its rows are copied with a power of 1.5 of their number until blocks are full; a task takes a pair of blocks apart
-into pieces of BLOCK_CLASSES, so what it holds besides the rows doesn't depend on the group.
+lead give the overlap of two sets exactly. Such a bucket has WIDE_BLOCKS blocks, whatever its classes, until they are full with
+MOST_CLASSES, so its rows are copied in proportion to their number until then; a task takes a pair of blocks apart
+into pieces of BLOCK_CLASSES, so what it holds besides the rows doesn't depend on the group. Rows are joined before they are
+dealt, so that no join makes the copies.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 128, 250_000
 MOST_CLASSES, MOST_SHINGLES = 4096, 2_000_000
 #: Buckets of more blocks send differences instead of sets; over how many keys the classes of one lead are dealt.
 LEAD_BLOCKS, LEAD_SALTS = 4, 32
+#: Blocks of a bucket of differences, as long as they aren't full.
+WIDE_BLOCKS = 6
 _GROUP = ["band", "hash", "bi", "bj"]
 
 
@@ -177,13 +180,12 @@ def jaccard_classes(
     thin = classes.select("cid", "n_shingles", F.posexplode("bands").alias("band", "hash"))
     buckets = thin.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("sum"), F.min("cid").alias("lead")).where("n > 1")
     count = lambda classes, shingles: F.greatest(F.ceil(F.col("n") / classes), F.ceil(F.least(F.col("sum") / shingles, F.col("n")))).cast("int")
-    small, wide = count(BLOCK_CLASSES, BLOCK_SHINGLES), count(F.least(F.lit(MOST_CLASSES), F.greatest(F.lit(BLOCK_CLASSES), 4 * F.sqrt("n"))), MOST_SHINGLES)
+    small, wide = count(BLOCK_CLASSES, BLOCK_SHINGLES), count(F.least(F.lit(MOST_CLASSES), F.greatest(F.lit(BLOCK_CLASSES), F.col("n") / WIDE_BLOCKS)), MOST_SHINGLES)
     led = small > LEAD_BLOCKS
     members = thin.drop("n_shingles").join(buckets.select("band", "hash", F.when(led, wide).otherwise(small).alias("blocks"), F.when(led, F.col("lead")).alias("lead")), ["band", "hash"])
     members = members.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "hash", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid", "lead")
-    dealt = dealt.join(classes.select("cid", "bands"), "cid")
+    dealt = members.join(classes.select("cid", "bands"), "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "hash", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid", "lead", "bands")
     found = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_with_new_pairs, "band int, hash long, bi int, bj int, block int, cid long, lead long")
     found = persist_shared(found, "jaccard-candidates")
 
@@ -192,9 +194,12 @@ def jaccard_classes(
     wanted = persist_shared(wanted, "jaccard-wanted")
     sets = persist_shared(_sets(docs, wanted, text_col, id_col, n), "jaccard-sets")
     deltas = persist_shared(_deltas(leads, sets), "jaccard-deltas")
-    alone = found.where("lead is null").join(sets, "cid").select(*_GROUP, "block", "cid", F.col("shingles").alias("delta"), F.lit(0).alias("n_missing"), F.lit(0).alias("n_lead"))
-    apart = leads.join(deltas, ["cid", "lead"]).select(*_GROUP, "block", "cid", "delta", "n_missing", "n_lead")
-    verified = alone.union(apart).join(wanted.select("cid", "copies", "n_shingles", "bands"), "cid").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    # The places of a class, bounded by bands and blocks, are gathered, joined with its set once and dealt out behind the join.
+    places = lambda rows, *by: rows.groupBy(*by).agg(F.collect_list(F.struct(*_GROUP, "block")).alias("at"))
+    about = ["copies", "n_shingles", "bands"]
+    alone = places(found.where("lead is null"), "cid").join(sets, "cid").select("at", "cid", F.col("shingles").alias("delta"), F.lit(0).alias("n_missing"), F.lit(0).alias("n_lead"), *about)
+    apart = places(leads, "cid", "lead").join(deltas, ["cid", "lead"]).select("at", "cid", "delta", "n_missing", "n_lead", *about)
+    verified = alone.union(apart).withColumn("at", F.explode("at")).select("at.*", "cid", "delta", "n_missing", "n_lead", *about).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     links = persist_shared(verified.mapInArrow(_verifier(threshold), "cid long, root long, links long"), "jaccard-links")
 
     trees = connected_components(links, "cid", "root")
@@ -212,17 +217,19 @@ def jaccard_classes(
 
 
 def _deltas(leads: DataFrame, sets: DataFrame) -> DataFrame:
-    """cid, lead, delta, n_missing, n_lead: what is in just one of a class's set and its lead's, how much of the lead the
+    """cid, lead, delta, n_missing, n_lead, and copies, n_shingles, bands of the class: what is in just one of a class's set and its lead's, how much of the lead the
     class lacks, and the size of the lead. A lead's classes are dealt over LEAD_SALTS keys."""
     own = leads.select("cid", "lead").distinct().withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(LEAD_SALTS)))
     heads = leads.select("lead").distinct().join(sets.select(F.col("cid").alias("lead"), F.col("shingles").alias("head")), "lead")
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEAD_SALTS - 1).cast("long"))))
     met = own.join(sets, "cid").join(heads, ["lead", "salt"]).withColumn("lacks", F.array_except("head", "shingles"))
-    return met.select("cid", "lead", F.concat("lacks", F.array_except("shingles", "head")).alias("delta"), F.size("lacks").alias("n_missing"), F.size("head").alias("n_lead"))
+    delta = F.concat("lacks", F.array_except("shingles", "head")).alias("delta")
+    return met.select("cid", "lead", delta, F.size("lacks").alias("n_missing"), F.size("head").alias("n_lead"), "copies", "n_shingles", "bands")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str, n: int) -> DataFrame:
-    """cid and the shingle set of each wanted class, from the text of one of its rows."""
+    """cid, the shingle set, copies, n_shingles and bands of each wanted class, its set from the text of one of its rows."""
+    about = ["copies", "n_shingles", "bands"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,14 +238,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str, n: int
                 found = [shingle_set(x.as_py(), n) for x in part.column("text")]
                 offsets = np.cumsum([0, *map(len, found)])
                 flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["cid", "shingles"])
+                shingles = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("cid"), shingles, *[part.column(c) for c in about]], ["cid", "shingles", *about])
 
     text = text_of(docs, text_col)
     key = lambda i, p: F.struct(i.alias("doc_id"), p.alias("print")).alias("_key")  # noqa: E731  structs are equal where their nulls are
     # Repeated rows become one where they are read, and texts are shuffled once, for the join too.
     single = docs.select(key(docs[id_col].cast("long"), F.xxhash64(text)), text.alias("text")).groupBy("_key").agg(F.min("text").alias("text"))
-    texts = single.join(wanted.select("cid", key(F.col("doc_id"), F.col("print"))), "_key")
-    return texts.select("cid", "text").mapInArrow(work, "cid long, shingles array<long>")
+    texts = single.join(wanted.select("cid", key(F.col("doc_id"), F.col("print")), *about), "_key")
+    return texts.select("cid", "text", *about).mapInArrow(work, "cid long, shingles array<long>, copies long, n_shingles int, bands array<long>")
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

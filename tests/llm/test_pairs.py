@@ -110,6 +110,28 @@ def test_no_shingle_set_is_copied_with_the_block_pairs(spark, monkeypatch):
     assert max(len(x["delta"]) for x in deltas) <= 20 < min(len(x["shingles"]) for x in sets) // 5
 
 
+def test_rows_dealt_to_blocks_grow_with_the_group(spark, monkeypatch):
+    """A class of a large group goes to as many block pairs of a band as in a small one, and no join makes its copies."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 5)
+    persist, seen = jaccard_join.persist_shared, {}
+
+    def keep(df, name):
+        if name in ("jaccard-candidates", "jaccard-links"):
+            seen[name + "-plan"] = df._jdf.queryExecution().optimizedPlan().toString()
+        seen[name] = persist(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(jaccard_join, "persist_shared", keep)
+    base, n = [f"w{k}" for k in range(200)], 1200
+    rows = [(i, " ".join(w if k != i % 200 else f"e{i}" for k, w in enumerate(base)), "s") for i in range(n)]
+    got = jaccard_join.jaccard_classes(documents(spark, rows)).collect()
+    assert {x["class_id"] for x in got} == {0}
+    dealt = seen["jaccard-candidates"].groupBy("band", "cid").count().agg({"count": "max"}).first()[0]
+    assert 4 <= dealt <= 7
+    for name in ("jaccard-candidates-plan", "jaccard-links-plan"):
+        assert seen[name].index("Generate explode") < seen[name].index("Join")  # the plan's root comes first
+
+
 def test_too_few_hashes_are_refused():
     with pytest.raises(ValueError, match="recall"):
         shingles.choose_bands(0.3, 0.9999, 8)
