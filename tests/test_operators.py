@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from causeway.operators import graph as G
 from causeway.operators import sparse as S
 from causeway.operators import windows as W
 from causeway.operators.asof import asof_backward
-from causeway.operators.dense import causal_affinity, exact_pairs
+from causeway.operators import dense
+from causeway.operators.dense import best_partners, causal_affinity, exact_pairs, nearest, tree_of_hits
 from causeway.operators.joins import require_unique
 from causeway.operators.ranking import with_average_rank, with_prefix_sums, with_row_number
 from causeway.plans import features, gates
@@ -294,6 +296,30 @@ def test_exact_pairs_each_once(spark):
     assert len(rows) == len(set(rows)) == 25 * 24 // 2
 
 
+def test_exact_pairs_thinned_in_their_tasks(spark, monkeypatch):
+    """Rows are copied to a bounded number of blocks; what blocks keep suffices for the best partners and the components."""
+    monkeypatch.setattr(dense, "MOST_BLOCKS", 3)
+    monkeypatch.setattr(dense, "TILE", (8, 24))
+    monkeypatch.setattr(dense, "HELD_HITS", 40)
+    v = np.round(np.random.default_rng(6).normal(size=(150, 4)), 1)
+    v[100:130] = v[0]  # ties
+    df = spark.createDataFrame([(i * 7 % 151, x.tolist()) for i, x in enumerate(v)], "k long, v array<float>")
+    assert dense._placed(df, "k", "v", F.lit(0), 7).agg(F.max("n_b")).first()[0] == 3
+    every = exact_pairs(df, "k", "v", 0.4 - 5e-10, block_rows=7).withColumn("similarity", F.round("similarity", 9))
+    pairs = [tuple(x) for x in every.collect()]
+    ids = [i * 7 % 151 for i in range(150)]
+    unit = dict(zip(ids, v.astype(np.float32).astype(float) / np.linalg.norm(v.astype(np.float32).astype(float), axis=1)[:, None]))
+    assert {x[:2] for x in pairs} == {(a, b) for a in ids for b in ids if a < b and unit[a] @ unit[b] >= 0.4 - 5e-10} and len(pairs) == len({x[:2] for x in pairs})
+    few = exact_pairs(df, "k", "v", 0.4 - 5e-10, block_rows=7, keep=best_partners(5)).withColumn("similarity", F.round("similarity", 9))
+    assert few.count() < len(pairs)
+    assert sorted(map(tuple, nearest(few, 5).collect())) == sorted(map(tuple, nearest(every, 5).collect()))
+    first = lambda pairs: sorted({b: min((-s, a) for a, x, s in pairs if x == b) for _, b, _ in pairs}.items())
+    assert first([tuple(x) for x in exact_pairs(df, "k", "v", 0.4 - 5e-10, block_rows=7, keep=best_partners(1, earlier=True)).withColumn("similarity", F.round("similarity", 9)).collect()]) == first(pairs)
+    share = lambda e: tuple(G.largest_component_share(e, "src", "dst").first())
+    trees = exact_pairs(df, "k", "v", 0.97, block_rows=7, keep=tree_of_hits)
+    assert trees.count() <= 6 * 150 and share(trees) == share(exact_pairs(df, "k", "v", 0.97, block_rows=7))
+
+
 def test_exact_pairs_of_many_blocks_and_groups(spark):
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 1) for _ in range(4)], i % 2) for i in range(60)] + [(60, [0.0] * 4, 0), (61, None, 0)]
