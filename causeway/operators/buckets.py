@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import with_row_number
+from .ranking import with_prefix_sums, with_row_number
 
 #: Tenure bounds in days (right-closed) and their labels, count bounds (left-closed) and labels.
 TENURE_BREAKS = (7, 30, 90, 180, 365, 730)
@@ -36,15 +36,19 @@ def _at_places(df: DataFrame, col: str, keys: Sequence[str], wanted: Callable[[C
     """keys, i, weight, value: the elements at places (from 0) of each key's sorted non-null values.
 
     ``wanted`` gives (place, weight) pairs from the number of values. The table is sorted by range once and numbered, so
-    a key's values may lie in many partitions and no task holds them all; only the wanted rows are joined.
+    a key's values may lie in many partitions and no task holds them all; only the wanted rows are joined. Without keys
+    values are counted first and only distinct ones are sorted, so one that repeats is no large range of its own.
     """
+    each = lambda n: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), place.cast("long").alias("at"), weight.cast("double").alias("weight")) for i, (place, weight) in enumerate(wanted(n))]))
+    if not keys:
+        tied = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+        upto, n = with_prefix_sums(tied, ["value"], {"_upto": F.col("_c")})
+        points = F.broadcast(df.sparkSession.range(1).select(each(F.lit(n["_upto"])).alias("p")).select("p.*"))  # two rows for each quantile
+        return upto.join(points, (F.col("at") >= F.col("_upto") - F.col("_c")) & (F.col("at") < F.col("_upto"))).select("i", "weight", "value")
     placed, _ = with_row_number(df.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias("value")), [*keys, "value"], "_n")
     bounds = placed.groupBy(*keys).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), place.cast("long").alias("at"), weight.cast("double").alias("weight")) for i, (place, weight) in enumerate(wanted(F.col("_rows")))]))
-    points = bounds.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], "_first", pairs.alias("p"))
+    points = bounds.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], "_first", each(F.col("_rows")).alias("p"))
     points = points.select(*[c for c in points.columns if c.startswith("_k")], (F.col("_first") + F.col("p.at")).alias("_n"), "p.i", "p.weight")
-    if not keys:
-        points = F.broadcast(points)  # two rows for each quantile
     return placed.select("_n", "value").join(points, "_n").select(*[F.col(f"_k{j}").alias(k) for j, k in enumerate(keys)], "i", "weight", "value")
 
 

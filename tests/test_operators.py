@@ -296,6 +296,16 @@ def test_exact_pairs_each_once(spark):
     assert len(rows) == len(set(rows)) == 25 * 24 // 2
 
 
+def test_quantiles_sort_distinct_values_only(spark, monkeypatch):
+    from causeway.operators import ranking
+
+    sorted_rows, persist = [], ranking.persist_shared
+    monkeypatch.setattr(ranking, "persist_shared", lambda df, name: sorted_rows.append(persist(df, name)) or sorted_rows[-1])
+    df = spark.range(10_001).select((F.col("id") % 7).cast("double").alias("v")).union(spark.createDataFrame([(None,)], "v double"))
+    assert tuple(B.quantile_cuts(df, "v", [0.0, 0.25, 0.5, 1.0]).first()) == tuple(np.quantile(np.arange(10_001) % 7, [0.0, 0.25, 0.5, 1.0]))
+    assert [x.count() for x in sorted_rows] == [7]
+
+
 def test_exact_pairs_thinned_in_their_tasks(spark, monkeypatch):
     """Rows are copied to a bounded number of blocks; what blocks keep suffices for the best partners and the components."""
     monkeypatch.setattr(dense, "MOST_BLOCKS", 3)
