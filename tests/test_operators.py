@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -254,6 +255,37 @@ def test_all_pairs_prefix_filter_loses_nothing(spark, seed, n, vocabulary, lengt
     assert expanded(*S.all_pairs(v, "d", least, 16)) == every_pair(v, least)
 
 
+def plain_tfidf(texts, min_df, max_df):
+    n = len(texts)
+    tf = {d: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for d, w in ((d, (t or "").split()) for d, t in texts)}
+    df = Counter(t for c in tf.values() for t in c)
+    out = {}
+    for d, c in tf.items():
+        w = {t: (1 + math.log(x)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, x in c.items() if min_df <= df[t] <= max_df * n}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        out |= {(d, t): round(x / size, 9) for t, x in w.items()}
+    return out
+
+
+def test_tfidf_sends_texts_as_numbers_and_each_term_once_a_block(spark):
+    """Texts meet no exchange by term: the only one by term has a row for each block and term."""
+    r = random.Random(6)
+    texts = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(30)))) for i in range(200)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(texts, "d long, t string").repartition(3)
+    out = S.tfidf(df, "d", F.col("t"), 3, 0.5)
+    want = plain_tfidf(texts, 3, 0.5)
+    assert {(x["d"], x["term"]): round(x["weight"], 9) for x in out.collect()} == want
+    plan = S.tfidf(df, "d", F.col("t"), 3, 0.5)._jdf.queryExecution().executedPlan().toString()
+    by_term = [x for x in plan.splitlines() if "Exchange hashpartitioning(term" in x]
+    assert len(by_term) == 1 and "Generate posexplode" in plan
+    asked = spark.createDataFrame([("w1",), ("w2 w3",), ("none",)], "term string")
+    some = S.tfidf(df, "d", F.col("t"), 3, 0.5, asked=asked).collect()
+    assert {(x["d"], x["term"]): round(x["weight"], 9) for x in some} == {k: v for k, v in want.items() if k[1] in ("w1", "w2 w3")}
+    few = {x["term"] for x in S.tfidf(df, "d", F.col("t"), 3, 0.5, 5).collect()}
+    total = Counter(t for d, x in texts for t in ((x or "").split()) if (d, t) in want)
+    assert few == {t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:5]}
+
+
 def test_all_pairs_of_equal_vectors_cost_no_pairs(spark):
     r = random.Random(4)
     kinds = [[(f"t{t}", r.random()) for t in r.sample(range(8), 3)] for _ in range(6)]
