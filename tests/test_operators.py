@@ -4,7 +4,7 @@ import itertools
 import math
 import os
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -286,6 +286,26 @@ def test_tfidf_sends_texts_as_numbers_and_each_term_once_a_block(spark):
     assert few == {t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:5]}
 
 
+def test_a_search_shuffles_no_hits(spark, monkeypatch):
+    """Each query meets every document, but a task answers k of a block: hits never meet in an exchange by query and document."""
+    monkeypatch.setattr(S, "SEARCH_ROWS", 100)
+    monkeypatch.setattr(S, "SEARCH_QUERIES", 3)
+    r = random.Random(7)
+    docs = [(d, f"t{t}", r.choice([0.25, 0.5, r.random()])) for d in range(150) for t in r.sample(range(8), 3)]
+    asks = [(f"q{q}", f"t{t}", r.choice([0.5, 1.0])) for q in range(7) for t in r.sample(range(9), 3)]
+    out = S.sparse_top_k(spark.createDataFrame(asks, "q string, term string, weight double"), "q", spark.createDataFrame(docs, "d long, term string, weight double"), "d", 4, 0.3)
+    want = []
+    for q in sorted({x for x, _, _ in asks}):
+        sums = defaultdict(float)
+        for _, t, w in (x for x in asks if x[0] == q):
+            for d, _, v in (x for x in docs if x[1] == t):
+                sums[d] += w * v
+        best = sorted((-round(x, 9), d) for d, x in sums.items() if round(x, 9) >= 0.3)[:4]
+        want += [(q, d, -x, i + 1) for i, (x, d) in enumerate(best)]
+    assert sorted(map(tuple, out.collect()), key=lambda x: (x[0], x[3])) == want
+    assert out._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 0
+
+
 def test_all_pairs_of_equal_vectors_cost_no_pairs(spark):
     r = random.Random(4)
     kinds = [[(f"t{t}", r.random()) for t in r.sample(range(8), 3)] for _ in range(6)]
