@@ -41,3 +41,19 @@ def test_shuffled_batches_equal_the_batch_window(spark, tmp_path, seed):
     assert 200 < len(got) < 400 and out.count() == len(got)
     batch = W.rows_since(spark.createDataFrame(rows, schema).withColumn("f", F.col("hit")), "f", ["u"], ["at", "row"], "x").collect()
     assert all(x["x"] == got[x["row"]] for x in batch if x["row"] in got and x["x"] != 999)
+
+
+def test_keys_share_states(spark, tmp_path, monkeypatch):
+    """A state serves a group of keys, null among them, so calls don't grow with the keys."""
+    monkeypatch.setattr(S, "STATE_GROUPS", 2, raising=False)
+    rows = [(None if i % 50 == 7 else 2**53 + i % 50, i, START + datetime.timedelta(seconds=i), i % 3 == 0) for i in range(300)] + [(1, 300, START + datetime.timedelta(days=1), False)]
+    schema = "u long, row long, at timestamp, hit boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    build = lambda: S.rows_since_flag(S.timed(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), "at", "1 hour"), "u", "at", "hit", "row")
+    got = {(x["u"], x["row"]): x["since"] for x in S.run_to_table(build, "shared", conf=S.ROCKSDB).collect()}
+    want, since = {}, {}
+    for u, row, _, hit in rows[:300]:
+        want[u, row] = since.get(u, 0)
+        since[u] = 0 if hit else want[u, row] + 1
+    assert got == want
+    assert "pmod(xxhash64(u" in build()._jdf.queryExecution().analyzed().toString()
