@@ -306,6 +306,29 @@ def test_a_search_shuffles_no_hits(spark, monkeypatch):
     assert out._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 0
 
 
+def test_text_pairs_shuffle_neither_terms_nor_products(spark, monkeypatch):
+    """Blocks, parts and pairs of blocks lose nothing, and no exchange deals rows by term or by pair."""
+    monkeypatch.setattr(S, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(S, "PRODUCTS", 50)
+    plans, write = [], S.persist_shared
+    monkeypatch.setattr(S, "persist_shared", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    r = random.Random(8)
+    texts = [(i, " ".join(f"w{r.randrange(25)}" for _ in range(r.randrange(1, 30)))) for i in range(120)]
+    texts += [(120 + i, texts[i][1]) for i in range(30)] + [(150 + i, texts[i][1] + " w1 w2") for i in range(30)] + [(180, None), (181, "")]
+    df = spark.createDataFrame(texts, "d long, t string").repartition(3)
+    vectors = S.tfidf_vectors(df, "d", F.col("t"), 2, 0.5, part_words=100)
+    pairs, members = S.pairs_of_vectors(vectors, 0.4, 200)
+    want = [(d, t, w) for (d, t), w in plain_tfidf(texts, 2, 0.5).items()]
+    brute = every_pair(spark.createDataFrame(want, "d long, term string, weight double"), 0.4)
+    got = expanded(pairs, members)
+    assert [x[:2] for x in got] == [x[:2] for x in brute] and len(got) > 60
+    assert all(abs(a[2] - b[2]) < 1e-7 for a, b in zip(got, brute))
+    assert vectors.where("size(steps) > 0").count() == len({d for d, _, _ in want}) == members.count()
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    dealt = {x.split("(")[1].split(",")[0].split("#")[0] for p in plans for x in p.splitlines() if "Exchange hashpartitioning" in x}
+    assert dealt <= {"d", "b", "p", "px", "k", "name", "_h"}
+
+
 def test_all_pairs_of_equal_vectors_cost_no_pairs(spark):
     r = random.Random(4)
     kinds = [[(f"t{t}", r.random()) for t in r.sample(range(8), 3)] for _ in range(6)]
