@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from causeway.operators.dense import exact_pairs, nearest
-from causeway.operators.vector_index import VectorIndex
+from causeway.operators.vector_index import CELL_SAMPLE, VectorIndex, cell_count, training_sample
 
 DATA = "/root/testdata"
 KIND = "k long, v array<double>"
@@ -80,3 +80,20 @@ def test_centers_are_no_literals(spark):
     index = VectorIndex.build(frame(spark, clustered(5, 500)), "k", "v")
     plan = index.near_pairs(0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000
+
+
+def test_training_grows_no_faster_than_the_table(spark):
+    """Centres times sample rows: with a sample of all rows that is the power 1.5."""
+    rows, work = {}, {}
+    for n in (160_000, 640_000):
+        df = spark.range(n).selectExpr("id as k", "array(double(id), 1.0D) as v")
+        rows[n] = training_sample(df, n, cell_count(n), 500_000).count()
+        work[n] = rows[n] * cell_count(n)
+        assert 0.8 < rows[n] / (CELL_SAMPLE * cell_count(n)) < 1.2
+    assert work[640_000] <= 4 * 1.3 * work[160_000]
+
+
+def test_an_index_of_copies_alone(spark):
+    df = spark.range(6_000).selectExpr("id as k", "array(1.0D, 2.0D) as v")
+    pairs = VectorIndex.build(df, "k", "v").near_pairs(0.9)
+    assert pairs.count() == 5_999 and pairs.where("src <> 0 or similarity < 1").count() == 0
