@@ -23,3 +23,13 @@ def test_references_cut_short_stay(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/parts")
     next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "pages.parquet")
     assert same(spark, tmp_path, "X05_html_parser")
+
+
+def test_long_pages_are_read_whole(spark, tmp_path):
+    html = ["<p>" + "word " * 20_000 + "last</p>", "<p>word</p>" * 20_000 + "<script>" + "x " * 20_000 + "</script><b>last</b>", "<p>&copy;é" * 40_000]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id long, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert same(spark, tmp_path, "X05_html_parser")
+    texts = [x["text"] for x in all_queries.QUERIES["X05_html_parser"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert [len(t) for t in texts] == [100_004, 100_004, 119_999] and texts[0].endswith("word last") and texts[1].endswith("word last")
