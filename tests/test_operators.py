@@ -7,6 +7,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +331,33 @@ def test_text_pairs_shuffle_neither_terms_nor_products(spark, monkeypatch):
     assert dealt <= {"d", "b", "p", "px", "k", "name", "_h"}
 
 
+def test_frequent_terms_that_cannot_lead_make_no_products(monkeypatch):
+    """Mid terms of all texts lie in the heads, but no two texts have enough left there: only rare terms are multiplied. Small portions lose nothing."""
+    r, n, least = random.Random(11), 300, 0.5
+    of = [sorted({*r.sample(range(3000), 4), *r.sample(range(3000, 3020), 8)}) for _ in range(n)]
+    of += [sorted({*x[:-2], *r.sample(range(3000, 3020), 2)}) for x in of[:40]]
+    raw = [[1.0 if t < 3000 else 0.6 for t in x] for x in of]
+    length = [math.sqrt(sum(w * w for w in x)) for x in raw]
+    rows = {"k": range(len(of)), "steps": [np.diff(x, prepend=0).astype(np.int32) for x in of], "raw": raw, "length": length}
+    dots = lambda a, b: sum(0.36 if t > 2999 else 1 for t in set(of[a]) & set(of[b])) / length[a] / length[b]
+    want = {(a, b) for a in range(len(of)) for b in range(a + 1, len(of)) if dots(a, b) >= least}
+    for portion, most, blocks in ((1 << 23, 1_500_000, 1), (300, 20, 2)):
+        monkeypatch.setattr(S, "INDEXED", portion, raising=False)
+        monkeypatch.setattr(S, "PRODUCTS", most)
+        table = pa.table(rows | {"x": [k % blocks for k in rows["k"]]}, schema=pa.schema([("k", pa.int64()), ("steps", pa.list_(pa.int32())), ("raw", pa.list_(pa.float64())), ("length", pa.float64()), ("x", pa.int64())]))
+        heads = pa.Table.from_batches(S._pack_heads(0.9 * least)(table.to_batches(max_chunksize=50)))
+        made, got, count = [], [], np.bincount
+        for x in range(blocks):
+            for y in range(x, blocks):
+                two = heads.filter(pc.is_in(heads["x"], pa.array([x, y])))
+                two = two.append_column("px", pa.array([x] * two.num_rows)).append_column("py", pa.array([y] * two.num_rows))
+                monkeypatch.setattr(np, "bincount", lambda v, weights=None, minlength=0: made.append(len(v) * (weights is not None)) or count(v, weights, minlength))
+                got += S._meet_heads(least)(two).to_pylist()
+                monkeypatch.setattr(np, "bincount", count)
+        assert len(got) == len({(g["src"], g["dst"]) for g in got}) < 10 * len(want) and want <= {(g["src"], g["dst"]) for g in got} and len(want) >= 40
+        assert sum(made) < 20 * len(of)
+
+
 def test_all_pairs_of_equal_vectors_cost_no_pairs(spark):
     r = random.Random(4)
     kinds = [[(f"t{t}", r.random()) for t in r.sample(range(8), 3)] for _ in range(6)]
