@@ -288,6 +288,23 @@ def test_tfidf_sends_texts_as_numbers_and_each_term_once_a_block(spark):
     assert few == {t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:5]}
 
 
+def test_tfidf_sends_parts_of_a_block_and_no_strings(spark, monkeypatch):
+    """What is counted is a row for each block and part of its terms; no exchange has terms as strings, asked for or not."""
+    monkeypatch.setattr(S, "BLOCK_WORDS", 400)
+    monkeypatch.setattr(S, "PART_WORDS", 700, raising=False)
+    r = random.Random(12)
+    texts = [(i, " ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(40)))) for i in range(150)] + [(150, "w1 w1 w2 w2"), (151, None), (152, "the of")]
+    df = spark.createDataFrame(texts, "d long, t string").repartition(2)
+    want = plain_tfidf([(d, "" if t == "the of" else t) for d, t in texts], 3, 0.5)
+    asked = spark.createDataFrame([("w1",), ("w2 w3",), ("none",), ("w1 none",), ("w1 w2 w3",)], "term string")
+    for terms in (None, asked):
+        out = S.tfidf(df, "d", F.col("t"), 3, 0.5, asked=terms)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(term_part" in plan and "hashpartitioning(term#" not in plan
+        got = {(x["d"], x["term"]): round(x["weight"], 9) for x in out.collect()}
+        assert got == {k: v for k, v in want.items() if terms is None or k[1] in ("w1", "w2 w3")} and len(got) > 20
+
+
 def test_a_search_shuffles_no_hits(spark, monkeypatch):
     """Each query meets every document, but a task answers k of a block: hits never meet in an exchange by query and document."""
     monkeypatch.setattr(S, "SEARCH_ROWS", 100)
